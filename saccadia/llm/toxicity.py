@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from saccadia.llm.common import fold
 
-BITS, SAMPLE, EPOCHS = 18, 20_000, 3
-ALPHA, BETA, L1, L2 = 0.2, 1.0, 1.5, 0.5
+BITS, SAMPLE, EPOCHS = 22, 20_000, 6
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 15.0, 0.5
+#: Training texts that a feature must stand in; rarer ones say nothing about other texts.
+LEAST = 4
 
 
 class Hasher:
@@ -54,6 +56,8 @@ class Hasher:
 def learn(rows: list[tuple[np.ndarray, int]], bits: int, epochs: int = EPOCHS) -> np.ndarray:
     """Weights after FTRL-proximal passes over (slots, label) rows; the last one is the bias."""
     size = (1 << bits) + 1
+    held = np.bincount(np.concatenate([i for i, _ in rows]), minlength=size)
+    rows = [(i[held[i] >= LEAST], y) for i, y in rows]
     z, n, rng = np.zeros(size), np.zeros(size), np.random.default_rng(7)
     positive = sum(y for _, y in rows)
     # both labels weigh the same in sum
