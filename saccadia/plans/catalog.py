@@ -79,7 +79,7 @@ def sub_slice(spark, sf):
     return sm.sub_slice(pupil_table(spark, sf), 100, 400, units.factor("h")).select("recording_id", "i", r6(units.to_unit(F.col("t_ms"), "h"), "t_h"), "pupil")
 
 
-@query(f"WITH {_P}, k AS (SELECT * FROM p WHERE i >= 3) SELECT recording_id, i, round(t_ms - min(t_ms) OVER (PARTITION BY recording_id), 6) AS t_ms FROM k")
+@query(f"WITH {_P}, k AS (SELECT * FROM p WHERE i >= 3) SELECT recording_id, i, round(t_ms - min(t_ms) OVER (PARTITION BY recording_id), 3) AS t_ms FROM k")
 def reset_time(spark, sf):
     return sm.reset_time(pupil_table(spark, sf).filter("i >= 3")).select("recording_id", "i", F.round("t_ms", 3).alias("t_ms"))
 
