@@ -14,11 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from saccadia.llm.common import lower_ascii
-
 #: What is no word character: ASCII but for digits and letters. Fixed value.
 NO_WORD = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-EDGE = "^" + NO_WORD + "|" + NO_WORD + "$"
 
 #: Phrases that must stand word for word, with their labels. Fixed values.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -39,9 +36,8 @@ NOTICES = {
 
 
 def license_words(text: Column) -> Column:
-    """The `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` words of the text with A-Z lower-cased."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), EDGE, "")
-    return F.when(F.length(bare) > 0, F.split(bare, NO_WORD)).otherwise(F.array().cast("array<string>"))
+    """The `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` words of the text, A-Z taken as lower-case letters."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), NO_WORD), "")
 
 
 def _templates(spark: SparkSession, phrases: dict[str, str], notices: dict[str, str]) -> DataFrame:
@@ -60,9 +56,8 @@ def license_spans(docs: DataFrame, share: float = 0.75, slack: int = 2, phrases:
     diagonals lie within `slack` words of each other and hold `share` of their grams.
     """
     t = F.broadcast(_templates(docs.sparkSession, phrases, notices))
-    ws = license_words(F.col("text"))
-    lowered = F.transform(ws, lambda w: F.lower(w))
-    grams = docs.select("row", lowered.alias("ws")).select(
+    # the templates are ASCII, and lower-casing other letters moves no word's edge
+    grams = docs.select("row", license_words(F.lower("text")).alias("ws")).select(
         "row",
         F.posexplode(F.transform(F.slice("ws", 1, F.greatest(F.size("ws") - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get("ws", i + 1)))).alias("i", "text_gram"),
     )
@@ -108,6 +103,3 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         F.col("first_word").cast("long"), F.col("last_word").cast("long"), F.coalesce("base_labels", F.lit("")).alias("base_labels"),
         F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
     )
-
-
-__all__ = ["NOTICES", "PHRASES", "license_spans", "license_words", "lower_ascii", "scan_licenses"]
