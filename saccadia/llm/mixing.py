@@ -48,16 +48,17 @@ def source_targets(sizes: DataFrame, most: float = 3.0) -> DataFrame:
     return per.select("source", "source_size", "n_docs", target.alias("target"))
 
 
-def balance(hist: DataFrame, targets: DataFrame, most: float = 3.0, tolerance: float = 1e-7) -> DataFrame:
+def balance(hist: DataFrame, targets: DataFrame, most: float = 3.0, tolerance: float = 1e-4) -> DataFrame:
     """targets with `lam` and `mean`: r = least(most, exp(lam * size / mean)) meets the target.
 
     hist: source, size, n. Newton steps on every source at once, each one aggregation;
-    a step that leaves the bracket is replaced by its middle.
+    a step that leaves the bracket is replaced by its middle. Steps end at `tolerance` of
+    the target, well under what whole copies can meet.
     """
     mean = F.col("source_size") / F.greatest(F.col("n_docs"), F.lit(1))
     state = checkpointed(
-        targets.withColumns({
-            "mean": F.greatest(mean, F.lit(1.0)), "lam": F.lit(0.0), "lo": F.lit(-1e4), "hi": F.lit(1e4),
+        targets.coalesce(1).withColumns({
+            "mean": F.greatest(mean, F.lit(1.0)), "lam": F.log(F.col("target") / F.col("source_size")) / 2, "lo": F.lit(-1e4), "hi": F.lit(1e4),
             "done": F.col("source_size") == 0,
         })
     )
