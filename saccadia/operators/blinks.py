@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from saccadia.functions.kernels import slope_weights
 from saccadia.operators import intervals as iv
-from saccadia.operators.samples import BY, ORDERED, filled_linear, fir
+from saccadia.operators.samples import by, filled_linear, fir
 
 
 def zero_blinks(df: DataFrame, signal: str, shortest: int) -> DataFrame:
@@ -34,7 +34,7 @@ def velocity_blinks(df: DataFrame, signal: str, length: int, on: float, off: flo
     """From each onset to the next offset after it; of onsets that share an offset the first counts."""
     a, b = velocity_runs(df, signal, length, on, off, shortest_on, shortest_off)
     marks = a.select("recording_id", F.col("start").alias("i"), F.lit(True).alias("on")).unionByName(b.select("recording_id", (F.col("end") - 1).alias("i"), F.lit(False).alias("on")))
-    after = BY.orderBy("i", F.col("on").desc()).rowsBetween(1, Window.unboundedFollowing)
+    after = by().orderBy("i", F.col("on").desc()).rowsBetween(1, Window.unboundedFollowing)
     paired = marks.withColumn("end", F.min(F.when(~F.col("on"), F.col("i"))).over(after)).filter("on and end > i")
     return paired.groupBy("recording_id", "end").agg(F.min("i").alias("start")).select("recording_id", "start", "end")
 
@@ -42,8 +42,8 @@ def velocity_blinks(df: DataFrame, signal: str, length: int, on: float, off: flo
 def merge_sorted(a: DataFrame, b: DataFrame) -> DataFrame:
     """Onsets and offsets of two sets sorted apart, paired by rank, and joined where they touch."""
     both = a.select("recording_id", "start", "end").unionByName(b.select("recording_id", "start", "end"))
-    on = both.select("recording_id", "start", F.row_number().over(BY.orderBy("start")).alias("k"))
-    off = both.select("recording_id", "end", F.row_number().over(BY.orderBy("end")).alias("k"))
+    on = both.select("recording_id", "start", F.row_number().over(by().orderBy("start")).alias("k"))
+    off = both.select("recording_id", "end", F.row_number().over(by().orderBy("end")).alias("k"))
     return iv.merge(on.join(off, ["recording_id", "k"]).drop("k")).drop("parts")
 
 
@@ -95,4 +95,4 @@ def interpolate_cubic(df: DataFrame, refined: DataFrame, signal: str, out: str)
     return df.join(j, ["recording_id", "i"], "left").withColumn(out, F.coalesce("curve", signal)).drop("curve")
 
 
-__all__ = ["ORDERED", "detect", "interpolate_cubic", "interpolate_linear", "merge_sorted", "refine", "velocity", "velocity_blinks", "zero_blinks"]
+__all__ = ["detect", "interpolate_cubic", "interpolate_linear", "merge_sorted", "refine", "velocity", "velocity_blinks", "zero_blinks"]

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY = Window.partitionBy("recording_id")
+
+def by():
+    return Window.partitionBy("recording_id")
 
 
 def around_events(events: DataFrame, before: float, after: float) -> DataFrame:
@@ -22,7 +24,7 @@ def nearest_index(events: DataFrame, samples: DataFrame) -> DataFrame:
     """
     marks = samples.select("recording_id", "t_ms", F.col("i").cast("long").alias("si"), F.lit(None).cast("long").alias("event_id"))
     asks = events.select("recording_id", "t_ms", F.lit(None).cast("long").alias("si"), F.col("event_id").cast("long").alias("event_id"))
-    w = BY.orderBy("t_ms", F.col("event_id").asc_nulls_first())
+    w = by().orderBy("t_ms", F.col("event_id").asc_nulls_first())
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     t = F.when(F.col("si").isNotNull(), F.col("t_ms"))
     both = marks.unionByName(asks).withColumns({
@@ -36,7 +38,7 @@ def nearest_index(events: DataFrame, samples: DataFrame) -> DataFrame:
 def between_events(starts: DataFrame, ends: DataFrame) -> DataFrame:
     """The k-th start with the k-th end of each recording."""
     def rank(df, name):
-        w = BY.orderBy("t_ms", "event_id")
+        w = by().orderBy("t_ms", "event_id")
         return df.select("recording_id", F.row_number().over(w).alias("k"), F.col("t_ms").alias(name))
 
     return rank(starts, "start").join(rank(ends, "end"), ["recording_id", "k"])
@@ -44,7 +46,7 @@ def between_events(starts: DataFrame, ends: DataFrame) -> DataFrame:
 
 def merge(iv: DataFrame, distance: float = 0.0) -> DataFrame:
     """Joins intervals that overlap, touch or lie within `distance`; counts what went in."""
-    w = BY.orderBy("start", "end")
+    w = by().orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = F.coalesce(F.col("start") > reach + distance, F.lit(True)).cast("int")
     return (
@@ -55,7 +57,7 @@ def merge(iv: DataFrame, distance: float = 0.0) -> DataFrame:
 
 def merge_labels(iv: DataFrame, distance: float = 0.0, sep: str = "_") -> DataFrame:
     """merge() with the labels joined in order of start."""
-    w = BY.orderBy("start", "end", "label")
+    w = by().orderBy("start", "end", "label")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = F.coalesce(F.col("start") > reach + distance, F.lit(True)).cast("int")
     one = F.struct("start", "end", "label")
@@ -78,7 +80,7 @@ def sweep(a: DataFrame, b: DataFrame, keep: str) -> DataFrame:
         return up[0].unionByName(up[1])
 
     deltas = ends(a, "a").unionByName(ends(b, "b")).groupBy("recording_id", "t").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
-    w = BY.orderBy("t")
+    w = by().orderBy("t")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     pieces = deltas.select("recording_id", F.col("t").alias("start"), F.lead("t").over(w).alias("end"), (F.sum("da").over(upto) > 0).alias("in_a"), (F.sum("db").over(upto) > 0).alias("in_b"))
     return merge(pieces.filter(F.expr(keep) & F.col("end").isNotNull()).select("recording_id", "start", "end")).drop("parts")
@@ -115,7 +117,7 @@ def stats(iv: DataFrame) -> DataFrame:
 
 def runs(samples: DataFrame, flag: Column, time: str = "i") -> DataFrame:
     """[start, end) index runs of the samples where flag holds (gaps and islands)."""
-    hit = samples.filter(flag).withColumn("island", F.col("i") - F.row_number().over(BY.orderBy("i")))
+    hit = samples.filter(flag).withColumn("island", F.col("i") - F.row_number().over(by().orderBy("i")))
     return hit.groupBy("recording_id", "island").agg(F.min(time).alias("start"), (F.max(time) + 1).alias("end")).drop("island")
 
 
@@ -124,7 +126,7 @@ def covered(samples: DataFrame, iv: DataFrame, at: str = "i", out: str = "hit")
     d = iv.filter("end > start")
     marks = d.select("recording_id", F.col("start").alias(at), F.lit(1).alias("_d")).unionByName(d.select("recording_id", F.col("end").alias(at), F.lit(-1).alias("_d")))
     both = samples.withColumn("_d", F.lit(None).cast("int")).unionByName(marks, allowMissingColumns=True)
-    w = BY.orderBy(F.col(at), F.col("_d").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    w = by().orderBy(F.col(at), F.col("_d").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     open_ = F.coalesce(F.sum("_d").over(w), F.lit(0)) > 0
     return both.withColumn(out, open_).filter("_d is null").drop("_d")
 

@@ -13,8 +13,13 @@ from pyspark.sql import functions as F
 
 from saccadia.functions.kernels import smoothing_weights
 
-BY = Window.partitionBy("recording_id")
-ORDERED = BY.orderBy("i")
+
+def by():
+    return Window.partitionBy("recording_id")
+
+
+def ordered():
+    return by().orderBy("i")
 
 
 def mask_of(signal: str) -> str:
@@ -28,7 +33,7 @@ def visible(signal: str) -> Column:
 
 def indexed(df: DataFrame, *order: str) -> DataFrame:
     """Adds the sample index i from 0 in the given order."""
-    return df.withColumn("i", (F.row_number().over(BY.orderBy(*order)) - 1).cast("long"))
+    return df.withColumn("i", (F.row_number().over(by().orderBy(*order)) - 1).cast("long"))
 
 
 def ingest(df: DataFrame, signals: list[str]) -> DataFrame:
@@ -44,16 +49,16 @@ def ingest(df: DataFrame, signals: list[str]) -> DataFrame:
 def sub_slice(df: DataFrame, start: float, end: float, factor: float = 1.0) -> DataFrame:
     """Samples with start <= t <= end in a unit of `factor` per ms; i starts at 0 again."""
     t = F.col("t_ms") * factor
-    return df.filter((t >= start) & (t <= end)).withColumn("i", (F.row_number().over(ORDERED) - 1).cast("long"))
+    return df.filter((t >= start) & (t <= end)).withColumn("i", (F.row_number().over(ordered()) - 1).cast("long"))
 
 
 def reset_time(df: DataFrame, t0: float | None = None) -> DataFrame:
-    return df.withColumn("t_ms", F.col("t_ms") - (F.min("t_ms").over(BY) if t0 is None else t0))
+    return df.withColumn("t_ms", F.col("t_ms") - (F.min("t_ms").over(by()) if t0 is None else t0))
 
 
 def sampling_rate(df: DataFrame) -> DataFrame:
     """recording_id, fs: 1000 over the median time step, rounded."""
-    step = df.withColumn("step", F.col("t_ms") - F.lag("t_ms").over(ORDERED))
+    step = df.withColumn("step", F.col("t_ms") - F.lag("t_ms").over(ordered()))
     return step.groupBy("recording_id").agg(F.round(1000 / F.median("step")).alias("fs"))
 
 
@@ -70,8 +75,8 @@ def scale_params(df: DataFrame, signals: list[str]) -> DataFrame:
 
 def scale(df: DataFrame, signals: list[str], mean: float | None = None, sd: float | None = None) -> DataFrame:
     def one(s):
-        m = F.avg(s).over(BY) if mean is None else F.lit(mean)
-        d = F.stddev_pop(s).over(BY) if sd is None else F.lit(sd)
+        m = F.avg(s).over(by()) if mean is None else F.lit(mean)
+        d = F.stddev_pop(s).over(by()) if sd is None else F.lit(sd)
         return F.when(d != 0, (F.col(s) - m) / d)
 
     return df.withColumns({s: one(s) for s in signals})
@@ -104,7 +109,7 @@ def merge_masks(df: DataFrame, signals: list[str]) -> DataFrame:
 
 def fill_gaps(df: DataFrame, signals: list[str], wide: float = 2.0) -> DataFrame:
     """Adds masked rows on the median step's grid where a step is over `wide` medians."""
-    steps = df.withColumn("before", F.lag("t_ms").over(ORDERED)).withColumn("step", F.col("t_ms") - F.col("before"))
+    steps = df.withColumn("before", F.lag("t_ms").over(ordered())).withColumn("step", F.col("t_ms") - F.col("before"))
     median = steps.groupBy("recording_id").agg(F.median("step").alias("usual"))
     gaps = steps.join(median, "recording_id").filter((F.col("usual") > 0) & (F.col("step") > wide * F.col("usual")))
     n = F.ceil(F.col("step") / F.col("usual") - 1e-9).cast("long") - 1
@@ -120,8 +125,8 @@ def fir(signal: str, weights: list[float], first: int, edge: str = "repeat") ->
 
     Null where a sample in the window is null.
     """
-    n, last = F.count("*").over(BY), len(weights) - 1 + first
-    head, tail = F.first(signal).over(ORDERED.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.last(signal).over(ORDERED.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    n, last = F.count("*").over(by()), len(weights) - 1 + first
+    head, tail = F.first(signal).over(ordered().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.last(signal).over(ordered().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     if edge == "mirror":
         reach = max(abs(first), abs(last))
 
@@ -129,13 +134,13 @@ def fir(signal: str, weights: list[float], first: int, edge: str = "repeat") ->
             # sample -j mirrors j, and n - 1 + j mirrors n - 1 - j; both lie in reach of the row
             j = F.abs(F.col("i") + k)
             away = F.when(j > n - 1, 2 * (n - 1) - j).otherwise(j) - F.col("i")
-            near = [(m, F.lag(signal, -m).over(ORDERED) if m < 0 else F.lead(signal, m).over(ORDERED)) for m in range(-reach, reach + 1)]
+            near = [(m, F.lag(signal, -m).over(ordered()) if m < 0 else F.lead(signal, m).over(ordered())) for m in range(-reach, reach + 1)]
             return F.coalesce(*[F.when(away == m, v) for m, v in near])
 
         terms = [w * at(first + k) for k, w in enumerate(weights)]
     else:
         def at(k):
-            v = F.lead(signal, k).over(ORDERED) if k >= 0 else F.lag(signal, -k).over(ORDERED)
+            v = F.lead(signal, k).over(ordered()) if k >= 0 else F.lag(signal, -k).over(ordered())
             return F.when(F.col("i") + k < 0, head).when(F.col("i") + k > n - 1, tail).otherwise(v)
 
         terms = [w * at(first + k) for k, w in enumerate(weights)]
@@ -156,7 +161,7 @@ def smooth(df: DataFrame, signal: str, length: int, shape: str = "hanning", dire
 
 def filled_linear(df: DataFrame, signal: str, out: str) -> DataFrame:
     """Linear interpolation over missing values by index; ends take the nearest value."""
-    before, after = ORDERED.rowsBetween(Window.unboundedPreceding, 0), ORDERED.rowsBetween(0, Window.unboundedFollowing)
+    before, after = ordered().rowsBetween(Window.unboundedPreceding, 0), ordered().rowsBetween(0, Window.unboundedFollowing)
     there = F.when(F.col(signal).isNotNull(), F.col("i"))
     df = df.withColumns({
         "_i0": F.last(there, True).over(before), "_v0": F.last(signal, True).over(before),

@@ -91,7 +91,7 @@ def summary(spark, sf):
 
 @query(f"WITH {_P}, d AS (SELECT recording_id, t_ms - lag(t_ms) OVER (PARTITION BY recording_id ORDER BY i) AS step FROM p), f AS (SELECT recording_id, median(step) AS m FROM d GROUP BY recording_id), c AS (SELECT recording_id, count(*) AS n FROM p GROUP BY recording_id) SELECT recording_id, round(m, 4) AS step_ms, round(n * m / 3600000.0, 6) AS duration_h FROM f JOIN c USING (recording_id)")
 def duration(spark, sf):
-    p = pupil_table(spark, sf).withColumn("step", F.col("t_ms") - F.lag("t_ms").over(sm.ORDERED))
+    p = pupil_table(spark, sf).withColumn("step", F.col("t_ms") - F.lag("t_ms").over(sm.ordered()))
     a = p.groupBy("recording_id").agg(F.median("step").alias("m"), F.count("*").alias("n"))
     return a.select("recording_id", F.round("m", 4).alias("step_ms"), r6(F.col("n") * F.col("m") * units.factor("h"), "duration_h"))
 
@@ -343,8 +343,8 @@ SELECT label, count(d) AS n, round(avg(d), 6) AS mean FROM t GROUP BY label"""
 def response_by_label(spark, sf):
     """Baseline-corrected mean response to each kind of event: one window pass over recordings."""
     p = pupil_table(spark, sf)
-    after = F.avg("pupil").over(sm.ORDERED.rowsBetween(0, 4))
-    before = F.avg("pupil").over(sm.ORDERED.rowsBetween(-2, -1))
+    after = F.avg("pupil").over(sm.ordered().rowsBetween(0, 4))
+    before = F.avg("pupil").over(sm.ordered().rowsBetween(-2, -1))
     return p.select("label", (after - before).alias("d")).groupBy("label").agg(F.count("d").alias("n"), r6(F.avg("d"), "mean"))
 
 
@@ -411,7 +411,7 @@ def interpolate_linear(spark, sf):
 
 @query(f"WITH {_P}, d AS (SELECT recording_id, pupil - lag(pupil) OVER (PARTITION BY recording_id ORDER BY i) AS v FROM p) SELECT recording_id, round(quantile_cont(v, 0.1), 6) AS on_v, round(quantile_cont(v, 0.9), 6) AS off_v FROM d GROUP BY recording_id")
 def velocity_thresholds(spark, sf):
-    d = pupil_table(spark, sf).withColumn("v", F.col("pupil") - F.lag("pupil").over(sm.ORDERED))
+    d = pupil_table(spark, sf).withColumn("v", F.col("pupil") - F.lag("pupil").over(sm.ordered()))
     return d.groupBy("recording_id").agg(r6(F.percentile("v", 0.1), "on_v"), r6(F.percentile("v", 0.9), "off_v"))
 
 
@@ -423,7 +423,7 @@ SETUP = geo.Setup.of(60, 60, 300, 200, 620, (10, 20), (0.1, 0.05), {"r": 600, "t
 @query(f"WITH {_G}, d AS (SELECT recording_id, i, sqrt((left_x - right_x) ** 2 + (left_y - right_y) ** 2) AS dist FROM g), q AS (SELECT recording_id, quantile_cont(dist, 0.9) AS t FROM d GROUP BY 1) SELECT recording_id, i, round(dist, 6) AS dist, round(dist, 9) > round(t, 9) AS diverged FROM d JOIN q USING (recording_id)")
 def eye_divergence(spark, sf):
     g = gaze_table(spark, sf).withColumn("dist", F.sqrt((F.col("left_x") - F.col("right_x")) ** 2 + (F.col("left_y") - F.col("right_y")) ** 2))
-    t = F.percentile("dist", 0.9).over(sm.BY)
+    t = F.percentile("dist", 0.9).over(sm.by())
     return g.select("recording_id", "i", r6("dist", "dist"), (F.round("dist", 9) > F.round(t, 9)).alias("diverged"))
 
 
@@ -492,7 +492,7 @@ def heatmap(spark, sf):
 
 @query(f"WITH {_P} SELECT recording_id, i, round((t_ms - min(t_ms) OVER w) / nullif(max(t_ms) OVER w - min(t_ms) OVER w, 0), 6) AS progress, CAST(floor(t_ms / 86400000.0) AS BIGINT) AS segment FROM p WINDOW w AS (PARTITION BY recording_id)")
 def scanpath(spark, sf):
-    lo, hi = F.min("t_ms").over(sm.BY), F.max("t_ms").over(sm.BY)
+    lo, hi = F.min("t_ms").over(sm.by()), F.max("t_ms").over(sm.by())
     return pupil_table(spark, sf).select("recording_id", "i", r6((F.col("t_ms") - lo) / F.when(hi != lo, hi - lo), "progress"), F.floor(F.col("t_ms") / 86_400_000.0).alias("segment"))
 
 
