@@ -178,6 +178,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.9
         some = whole.any(1)
         return pd.DataFrame({"a": ids[some], "b": root[some], "n": count[some]})
 
+    # blocks are small in bytes and long in work, so they aren't merged into few tasks
+    tasks = max(2 * reps.sparkSession.sparkContext.defaultParallelism, n * cells // 4096)
+    both = both.repartition(tasks, "cell", "part", "to", "to_part")
     found = written(both.groupBy("cell", "part", "to", "to_part").applyInPandas(block, "a long, b long, n long"), "links")
     roots = components(found.select("a", "b"))
     n_links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
