@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from saccadia.functions import geometry as geo
 from saccadia.functions import kernels as K
-from saccadia.functions import units
+from saccadia.functions import rois, units
 from saccadia.operators import blinks as bl
+from saccadia.operators import calibration as cal
 from saccadia.operators import intervals as iv
 from saccadia.operators import models as md
+from saccadia.operators.history import History
 from saccadia.operators import samples as sm
 from saccadia.sources import generators as gen
 from saccadia.sources.recordings import gaze_table, pupil_table
@@ -483,6 +485,57 @@ def calibration_stats(spark, sf):
     return gaze_table(spark, sf).groupBy("recording_id").agg(F.count("*").alias("n"), r6(F.avg(o), "mean"), r6(F.stddev_pop(o), "sd"), r6(F.min(o), "min"), r6(F.max(o), "max"))
 
 
+# --- regions from angles and mm, validation points, replay
+
+_CIRCLE = rois.Circle.from_degrees(("1 deg", "0.5 deg"), "4 deg", SETUP)
+_BOX = rois.Rectangle.from_mm((-60, -40), ("5 cm", "2 cm"), SETUP)
+_DIST = "sqrt(620.0 * 620 - 10 * 10 - 20 * 20)"
+
+
+@query(
+    f"""WITH {_G}, k AS (SELECT {_DIST} AS d), c AS (SELECT 30 + d * tan(radians(1)) / 5 AS cx, 30 - d * tan(radians(0.5)) / (200 / 60.0) AS cy,
+  d * tan(radians(4)) / ((5 + 200 / 60.0) / 2) AS r FROM k)
+SELECT recording_id, CAST(count(*) FILTER (sqrt((left_x - cx) ** 2 + (left_y - cy) ** 2) <= r) AS BIGINT) AS in_circle,
+  CAST(count(*) FILTER (left_x BETWEEN 30 - 60 / 5.0 AND 30 + 50 / 5.0 AND left_y BETWEEN 30 - 20 * 60 / 200.0 AND 30 + 40 * 60 / 200.0) AS BIGINT) AS in_rect FROM g, c GROUP BY recording_id"""
+)
+def roi_from_angles(spark, sf):
+    x, y = F.col("left_x"), F.col("left_y")
+    n = lambda c, a: F.count_if(c).alias(a)
+    return gaze_table(spark, sf).groupBy("recording_id").agg(n(_CIRCLE.contains(x, y), "in_circle"), n(_BOX.contains(x, y), "in_rect"))
+
+
+def _validation(spark, sf) -> DataFrame:
+    g = gaze_table(spark, sf).filter("i < 9")
+    dx, dy = F.col("right_x") - F.col("left_x"), F.col("right_y") - F.col("left_y")
+    return g.select("recording_id", "i", F.lit("LEFT").alias("eye"), F.col("left_x").alias("point_x"), F.col("left_y").alias("point_y"), F.sqrt(dx * dx + dy * dy).alias("offset"), dx.alias("diff_x"), dy.alias("diff_y"))
+
+
+@query(f"WITH {_G} SELECT recording_id, i, 'left' AS eye, round(right_x, 6) AS measured_x, round(right_y, 6) AS measured_y FROM g WHERE i < 9")
+def calibration_points(spark, sf):
+    return cal.measured_points(_validation(spark, sf)).select("recording_id", "i", "eye", r6("measured_x", "measured_x"), r6("measured_y", "measured_y"))
+
+
+@query(f"WITH {_G}, e AS (SELECT recording_id, sqrt((left_x - right_x) ** 2 + (left_y - right_y) ** 2) AS o FROM g WHERE i < 9) SELECT recording_id, 'left' AS eye, count(*) AS n, round(avg(o), 6) AS mean, round(stddev_pop(o), 6) AS sd, round(max(o), 6) AS max, round(min(o), 6) AS min FROM e GROUP BY 1")
+def calibration_errors(spark, sf):
+    e = cal.error_stats(cal.measured_points(_validation(spark, sf)), "recording_id", "eye")
+    return e.select("recording_id", "eye", "n", *[r6(c, c) for c in ("mean", "sd", "max", "min")])
+
+
+REPLAY = History().then(sm.scale, ["v"]).then(sm.downsample, ["v"], by=4)
+
+
+@query(
+    f"""WITH {_P}, {_G}, a AS (SELECT 'pupil' AS kind, recording_id, i, pupil AS v FROM p UNION ALL SELECT 'gaze', recording_id, i, left_x FROM g),
+z AS (SELECT kind, recording_id, i, (v - avg(v) OVER w) / stddev_pop(v) OVER w AS v FROM a WINDOW w AS (PARTITION BY kind, recording_id))
+SELECT kind, recording_id, CAST(floor(i / 4) AS BIGINT) AS i, round(avg(v), 6) AS v FROM z GROUP BY 1, 2, floor(i / 4)"""
+)
+def history_replay(spark, sf):
+    p = pupil_table(spark, sf).select("recording_id", "i", "t_ms", F.col("pupil").alias("v"), F.col("pupil__m").alias("v__m"))
+    g = gaze_table(spark, sf).select("recording_id", "i", "t_ms", F.col("left_x").alias("v"), F.col("left_x__m").alias("v__m"))
+    out = lambda df, kind: REPLAY.apply(df).select(F.lit(kind).alias("kind"), "recording_id", "i", r6("v", "v"))
+    return out(p, "pupil").unionByName(out(g, "gaze"))
+
+
 @query(f"WITH {_G}, v AS (SELECT * FROM g WHERE NOT left_x__m AND left_x BETWEEN 0 AND 50 AND left_y BETWEEN 0 AND 50) SELECT CAST(least(floor(left_x / 5), 9) AS BIGINT) AS bx, CAST(least(floor(left_y / 5), 9) AS BIGINT) AS by, count(*) AS n, round(avg(pupil), 4) AS pupil FROM v GROUP BY 1, 2")
 def heatmap(spark, sf):
     g = gaze_table(spark, sf).filter(~F.col("left_x__m") & geo.in_rectangle(F.col("left_x"), F.col("left_y"), 0, 0, 50, 50))
