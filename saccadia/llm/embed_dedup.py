@@ -69,14 +69,29 @@ def _usable(vectors: DataFrame) -> DataFrame:
 
 def fit(reps: DataFrame, n: int, threshold: float, recall: float) -> tuple[tuple, int, float]:
     """(codebooks, cells to visit, recall measured on the probes)."""
-    spark, ratio = reps.sparkSession, SAMPLE / max(n, 1)
+    ratio = SAMPLE / max(n, 1)
     sample = unit(np.array([r["e"] for r in (reps if ratio >= 1 else reps.sample(ratio, seed=7)).select("e").limit(2 * SAMPLE).collect()]))
     codes = int(min(MOST_CODES, max(4, math.sqrt(n / 8))))
     h = sample.shape[1] // 2
     books = (kmeans(sample[:, :h], codes), kmeans(sample[:, h:], codes))
     probes = sample[np.random.default_rng(1).permutation(len(sample))[:PROBES]]
-    most = min(len(books[0]) * len(books[1]), 64)
-    seen = spark.sparkContext.broadcast((probes, visits(probes, books, most), books))
+    grid = len(books[0]) * len(books[1])
+    most = min(grid, 64)
+    while True:
+        got = _ranks(reps, probes, books, most, threshold)
+        share = np.cumsum(got)[:most] / max(got.sum(), 1)
+        enough = np.flatnonzero(share >= recall)
+        if not got.sum():
+            return books, 1, 1.0
+        if len(enough) or most == grid:
+            cells = int(enough[0]) + 1 if len(enough) else grid
+            return books, cells, float(share[cells - 1])
+        most = min(grid, 4 * most)  # in the end every cell, which is brute force in blocks
+
+
+def _ranks(reps: DataFrame, probes: np.ndarray, books, most: int, threshold: float) -> np.ndarray:
+    """How many links of the probes lie in their n-th nearest cell, over all rows; beyond `most`: last."""
+    seen = reps.sparkSession.sparkContext.broadcast((probes, visits(probes, books, most), books))
 
     def ranks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q, cells, cb = seen.value
@@ -86,17 +101,14 @@ def fit(reps: DataFrame, n: int, threshold: float, recall: float) -> tuple[tuple
                 x = unit(b["e"].iloc[at : at + 4096])
                 own = visits(x, cb, 1)[:, 0]
                 i, j = np.nonzero((q @ x.T >= threshold) & (q @ x.T < 1 - 1e-12))
-                at_rank = np.where((cells[i] == own[j][:, None]).any(1), (cells[i] == own[j][:, None]).argmax(1), most)
-                hits += np.bincount(at_rank, minlength=most + 1)
+                met = cells[i] == own[j][:, None]
+                hits += np.bincount(np.where(met.any(1), met.argmax(1), most), minlength=most + 1)
         yield pd.DataFrame({"rank": np.arange(most + 1), "hits": hits})
 
     got = np.zeros(most + 1, np.int64)
     for r in reps.select("e").mapInPandas(ranks, "rank int, hits long").groupBy("rank").agg(F.sum("hits").alias("hits")).collect():
         got[r["rank"]] = r["hits"]
-    share = np.cumsum(got)[:most] / max(got.sum(), 1)
-    enough = np.flatnonzero(share >= recall)
-    cells = int(enough[0]) + 1 if got.sum() and len(enough) else (1 if not got.sum() else most)
-    return books, cells, float(share[cells - 1]) if got.sum() else 1.0
+    return got
 
 
 def _forest(close: np.ndarray) -> np.ndarray:
