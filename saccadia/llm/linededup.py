@@ -10,7 +10,6 @@ back is a compressed keep bitmap for each document, never its text.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saccadia.llm.common import BLANKS, written
+from saccadia.llm.common import BLANKS, let, written
 
 _KEYS = "h1 long, h2 long, doc_id long, row long, pos int"
 _SEEN = "kind string, " + _KEYS
@@ -135,25 +134,32 @@ def line_bitmaps(docs: DataFrame, least: int = 10) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for doc, text, gone in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                lines = (text or "").split("\n")
-                keep = _bitmap(len(lines), gone)
-                kept = "\n".join(x for x, k in zip(lines, keep.tolist(), strict=True) if k) if gone else text or ""
-                out.append((doc, len(lines), int((~keep).sum()), zlib.compress(np.packbits(keep).tobytes()), hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest()))
-            cols = list(zip(*out, strict=True)) if out else [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "n_lines", "n_dropped", "keep", "kept_sha256"])
+            sizes, gone = b.column(1).to_pylist(), b.column(4).to_pylist()
+            bits = [zlib.compress(np.packbits(_bitmap(n, g)).tobytes()) for n, g in zip(sizes, gone, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(bits, pa.binary()), b.column(3)], ["doc_id", "n_lines", "n_dropped", "keep", "kept_sha256"])
 
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return _with_positions(slim, least).select("doc_id", "text", "_gone").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, keep binary, kept_sha256 string")
+    # texts are hashed where they are: only positions go to Python
+    marked = _with_positions(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), least).select(
+        "doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_dropped"),
+        F.sha2(F.coalesce(_kept_text(), F.lit("")), 256).alias("kept_sha256"), "_gone",
+    )
+    return marked.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, keep binary, kept_sha256 string")
+
+
+def _kept_text():
+    """`text` without the lines at the positions of `_gone`: the stretches between them, joined."""
+    bounds = F.concat(F.array(F.lit(-1)), F.sort_array("_gone"), F.array(F.lit(1 << 30)))
+
+    def stretches(lines, cuts):
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), lambda k: F.slice(lines, F.get(cuts, k) + 2, F.get(cuts, k + 1) - F.get(cuts, k) - 1)))
+
+    rest = let(F.split("text", "\n", -1), lambda lines: let(bounds, lambda cuts: F.array_join(stretches(lines, cuts), "\n")))
+    return F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest)
 
 
 def drop_repeated_lines(docs: DataFrame, least: int = 10) -> DataFrame:
     """documents with the kept lines alone as text; every row stays, n_chars follows the text."""
-    at = F.split("text", "\n", -1)
-    rest = F.array_join(F.filter(at, lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    out = _with_positions(docs, least).withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest)).drop("_gone")
+    out = _with_positions(docs, least).withColumn("text", _kept_text()).drop("_gone")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
