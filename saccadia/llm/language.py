@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from saccadia.llm.common import fold
 
+#: ALPHABET: columns of a dense table; rarer characters have a list of their own.
 CHARS, EXCERPT, SEGMENT, ALPHABET, UNKNOWN = 160_000, 400, 2048, 62, "und"
 #: Code points parsed side by side.
 BATCH = 6_000_000
@@ -56,41 +57,49 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 class Parser:
-    """Automata of some languages as one table, and the parse of many texts at once."""
+    """Automata of some languages, and the parse of many texts at once.
+
+    Each language has codes for all characters of its own sample: transitions of its
+    `ALPHABET` - 2 commonest ones are a dense table, those of the others a sorted list.
+    """
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
         plain = {k: self._plain(v) for k, v in samples.items()}
-        top = [c for c, _ in sorted(Counter("".join(plain.values())).items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - 2]]
-        self.letters = "".join(top)
-        codes = {c: n for n, c in enumerate(top)}
-        other, width = len(top), ALPHABET
-        tables, self.roots = [], []
-        base = 0
-        for k in self.langs:
-            go = suffix_automaton([codes.get(c, other) for c in plain[k]])
-            here = np.full((len(go), width), -1, np.int64)
-            for s, out in enumerate(go):
-                for c, t in out.items():
-                    if c != other:
-                        here[s, c] = t
-            # an entry is next state * width * 2 + phrase ended; a letter never seen is a phrase of its own
-            root = np.where(here[0] >= 0, here[0], 0)
-            step = np.where(here >= 0, (here + base) * 2 * width, (root + base) * 2 * width + 1)
-            step[:, width - 1] = (np.arange(len(go)) + base) * 2 * width
-            tables.append(step.astype(np.int32))
-            self.roots.append(base * width)
-            base += len(go)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        self.letters = sorted(set("".join(plain.values())))
+        self.models = [self._model(plain[k]) for k in self.langs]
         self._map = None
 
+    def _model(self, plain: str):
+        """(code of each letter and of an unknown one, dense table, sorted keys of other transitions, their targets, targets from the root)."""
+        top = [c for c, _ in sorted(Counter(plain).items(), key=lambda x: (-x[1], x[0]))]
+        few, width = ALPHABET - 2, ALPHABET
+        codes = {c: n if n < few else n - few + width for n, c in enumerate(top)}
+        go = suffix_automaton([codes[c] for c in plain])
+        rare = max(1, len(top) - few)
+        here, far = np.full((len(go), width), -1, np.int64), []
+        for s, out in enumerate(go):
+            for c, t in out.items():
+                if c < width:
+                    here[s, c] = t
+                else:
+                    far.append((s * rare + c - width, t))
+        # an entry is next state * width * 2 + phrase ended; a letter that the sample lacks ends a phrase and is skipped
+        root = np.where(here[0] >= 0, here[0], 0)
+        step = np.where(here >= 0, here * 2 * width, root * 2 * width + 1)
+        step[:, width - 1] = np.arange(len(go)) * 2 * width
+        far = np.array(sorted(far), np.int64).reshape(-1, 2)
+        from_root = np.array([go[0].get(width + n, 0) for n in range(rare)], np.int64)
+        of = np.array([codes.get(c, few) for c in self.letters] + [few], np.int32)
+        return of, step.astype(np.int32).ravel(), far[:, 0].copy(), far[:, 1].copy(), from_root
+
     @staticmethod
     def _plain(text: str) -> str:
         return " ".join("".join("0" if c.isdigit() else c for c in text.lower()).split())
 
     def _codes(self):
         if self._map is None:
-            points = np.full(0x110000, len(self.letters), np.uint8)
+            points = np.full(0x110000, len(self.letters), np.int32)
             alpha = np.zeros(0x110000, bool)
             for c in range(0x30000):
                 alpha[c] = chr(c).isalpha()
@@ -118,21 +127,34 @@ class Parser:
             return total, letters
         order = sorted(range(len(spans)), key=lambda k: -len(spans[k]))
         lens = np.array([len(spans[k]) for k in order])
-        chars = np.zeros((lens[0], len(order)), np.int32)
+        ids = np.zeros((lens[0], len(order)), np.int32)
         for col, k in enumerate(order):
-            chars[: lens[col], col] = points[spans[k]]
+            ids[: lens[col], col] = points[spans[k]]
         live = np.searchsorted(-lens, -np.arange(lens[0]), "left")  # segments longer than t
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(order), 1)
-        count = np.zeros(state.shape, np.int32)
-        table = self.table
-        for t in range(lens[0]):
-            m = live[t]
-            got = table.take(state[:, :m] + chars[t, :m])
-            count[:, :m] += got & 1
-            state[:, :m] = got >> 1
-        np.add.at(total, np.array(owner)[order], count.T + 1)
+        owners = np.array(owner)[order]
+        for k, model in enumerate(self.models):
+            np.add.at(total[:, k], owners, self._parse(model, ids, live) + 1)
         return total, letters
 
+    @staticmethod
+    def _parse(model, ids: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """Phrases ended in each column of letters, of which the first live[t] go on at row t."""
+        of, table, keys, targets, from_root = model
+        state, count = np.zeros(ids.shape[1], np.int32), np.zeros(ids.shape[1], np.int32)
+        for t, m in enumerate(live):
+            c = of.take(ids[t, :m])
+            odd = np.flatnonzero(c >= ALPHABET)
+            n = c[odd] - ALPHABET
+            c[odd] = ALPHABET - 2
+            got = table.take(state[:m] + c)
+            if len(odd):
+                key = state[odd].astype(np.int64) // ALPHABET * len(from_root) + n
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                goes = keys[at] == key
+                got[odd] = np.where(goes, targets[at], from_root[n]) * (2 * ALPHABET) + ~goes
+            count[:m] += got & 1
+            state[:m] = got >> 1
+        return count
 
 def samples(docs: DataFrame, chars: int = CHARS) -> dict[str, str]:
     """Sample text of each language: EXCERPT code points from the middle of the texts with the smallest hashes."""

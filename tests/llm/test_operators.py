@@ -246,3 +246,23 @@ def test_quality(spark):
         r = got[i]
         assert (r["n_words"], r["word_chars"], r["n_repeat_words"], r["n_dup_lines"]) == (len(ws), sum(map(len, ws)), len(rep), len(lines) - len(set(lines)))
         assert r["base_failed"] == (len(ws) < 50 or 100 * len(rep) > 50 * len(ws)) and (not r["base_failed"] or not r["kept"])
+
+
+def test_languages_of_other_scripts_beside_latin_ones():
+    rng = np.random.default_rng(6)
+    latin = {k: " ".join("".join(rng.choice(list(abc), 5)) for _ in range(3000)) for k, abc in (("de", "abcdefghijklmnopqrstuvwxyzäöüß"), ("es", "abcdefghijklmnopqrstuvwxyzñáéíóú'-.,;:!?0123456789"))}
+    phrases = {k: ["".join(chr(c) for c in rng.integers(lo, hi, 6)) for _ in range(300)] for k, lo, hi in (("ja", 0x4E00, 0x5200), ("zh", 0x4E00, 0x5200), ("ru", 0x430, 0x450))}
+    sample = latin | {k: " ".join(v) for k, v in phrases.items()}
+    p = language.Parser(sample)
+    texts = [" ".join(phrases[k][5:9]) for k in ("ja", "zh", "ru")]
+    got, letters = p.phrases(texts)
+    assert letters.all() and [p.langs[i] for i in got.argmin(1)] == ["ja", "zh", "ru"]
+    assert (np.sort(got, 1)[:, 0] < np.sort(got, 1)[:, 1]).all()
+    plain, text = p._plain(sample["zh"]), texts[1] + texts[1][::-1]
+    at = n = 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in plain:
+            size += 1
+        at, n = at + size, n + 1
+    assert abs(int(p.phrases([text])[0][0, p.langs.index("zh")]) - n) <= 1
