@@ -3,8 +3,8 @@
 Each half of the (unit-length) vectors has a codebook of its own, fitted by k-means on a
 bounded sample of rows; pairs of codes form a grid of cells, and every vector is indexed
 in its cell. A vector visits cells in the order of its summed half distances
-(multi-sequence order) - as many as a bounded sample of queries, compared by brute force
-with all rows, needs for the target recall. Visits meet cells by an equality join on
+(multi-sequence order) - as many as random queries, compared by brute force with all
+rows until enough groups of links are found, need for the target recall. Visits meet cells by an equality join on
 blocks of bounded size, and cosines are verified in double precision.
 
 A pair counts if either visits the other's cell. A block gives per-vector link counts and
@@ -14,6 +14,7 @@ a spanning forest of its links, never all its pairs. Equal vectors are one row i
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 
 from saccadia.llm.common import components, written
 
-#: Vectors in a block of one cell; codebook sample; recall queries; most codes in a half.
-BLOCK, SAMPLE, PROBES, MOST_CODES = 512, 20_000, 200, 256
+#: Vectors in a block of one cell; codebook sample; recall queries at once; most codes in a half.
+BLOCK, SAMPLE, PROBES, MOST_CODES = 512, 20_000, 2048, 256
+#: Groups of linked recall queries to be found (fewer only if all rows have been queries); queries kept of a group.
+LINKED, MEMBERS = 300, 8
 
 
 def unit(rows) -> np.ndarray:
@@ -68,46 +71,105 @@ def _usable(vectors: DataFrame) -> DataFrame:
 
 
 def fit(reps: DataFrame, n: int, threshold: float, recall: float) -> tuple[tuple, int, float]:
-    """(codebooks, cells to visit, recall measured on the probes)."""
+    """(codebooks, cells to visit, recall measured on the probes).
+
+    Recall is the mean over groups of linked probes, so a large group counts once. The
+    cells are the fewest whose recall is enough at its lower bound - or as it stands, once
+    all rows have been probes. If no number of cells is enough, one cell holds all rows.
+    """
     ratio = SAMPLE / max(n, 1)
     sample = unit(np.array([r["e"] for r in (reps if ratio >= 1 else reps.sample(ratio, seed=7)).select("e").limit(2 * SAMPLE).collect()]))
     codes = int(min(MOST_CODES, max(4, math.sqrt(n / 8))))
     h = sample.shape[1] // 2
     books = (kmeans(sample[:, :h], codes), kmeans(sample[:, h:], codes))
-    probes = sample[np.random.default_rng(1).permutation(len(sample))[:PROBES]]
+    probes, group, whole = _linked(reps, n, sample.shape[1], threshold)
+    if not len(probes):  # every row has been compared with all others: only copies on another scale are left,
+        return books, min(len(books[0]) * len(books[1]), 4), 1.0  # which may round to either side of a border in each half
     grid = len(books[0]) * len(books[1])
     most = min(grid, 64)
     while True:
         got = _ranks(reps, probes, books, most, threshold)
-        share = np.cumsum(got)[:most] / max(got.sum(), 1)
-        enough = np.flatnonzero(share >= recall)
-        if not got.sum():
-            return books, 1, 1.0
-        if len(enough) or most == grid:
-            cells = int(enough[0]) + 1 if len(enough) else grid
-            return books, cells, float(share[cells - 1])
-        most = min(grid, 4 * most)  # in the end every cell, which is brute force in blocks
+        share = np.cumsum(got, 1)[:, :most] / got.sum(1, keepdims=True)
+        times = np.bincount(group)
+        share = np.stack([np.bincount(group, share[:, c]) for c in range(most)], 1) / times[:, None]
+        mean = share.mean(0)
+        enough = np.flatnonzero((mean if whole else lower_bound(mean, len(times))) >= recall)
+        if len(enough):
+            return books, int(enough[0]) + 1, float(mean[enough[0]])
+        if most == grid:
+            return tuple(b.mean(0, keepdims=True) for b in books), 1, 1.0
+        most = min(grid, 4 * most)
+
+
+def lower_bound(mean, k: int, z: float = 1.645):
+    """Wilson's one-sided lower bound of a mean of k shares."""
+    return (mean + z * z / (2 * k) - z * np.sqrt(mean * (1 - mean) / k + z * z / (4 * k * k))) / (1 + z * z / k)
+
+
+def _links(q: np.ndarray, x: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows of x are links of each probe; equal directions, which share a cell, aren't counted."""
+    cos = q @ x.T
+    return (cos >= threshold) & (cos < 1 - 1e-12)
+
+
+def _linked(reps: DataFrame, n: int, width: int, threshold: float) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(probes with a link, their groups, whether all rows have been probes).
+
+    Random rows are compared with all rows, in blocks, until the linked ones form `LINKED`
+    groups; probes that link with each other are one group. If need be all rows are probes.
+    """
+    parts = max(1, math.ceil(n / max(1, min(PROBES, (1 << 22) // width))))
+    at = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(parts))
+    found, group, done, step = np.zeros((0, width)), np.zeros(0, np.int64), 0, 1
+    while done < parts:
+        probes = unit(np.array([r["e"] for r in reps.filter((at >= done) & (at < done + step)).select("e").collect()]).reshape(-1, width))
+        done += step
+        if len(probes):
+            found = np.concatenate([found, probes[_has_link(reps, probes, threshold)]])
+            group = np.unique(_forest(np.concatenate([found[i : i + 256] @ found.T >= threshold for i in range(0, len(found), 256)])), return_inverse=True)[1] if len(found) else group
+        if len(found) and group.max() + 1 >= LINKED:
+            break
+    # a large group tells no more by each further member
+    keep = np.zeros(0, np.int64) if not len(found) else np.flatnonzero([(group[:i] == g).sum() < MEMBERS for i, g in enumerate(group)])
+    return found[keep], group[keep], done >= parts
+
+
+def _has_link(reps: DataFrame, probes: np.ndarray, threshold: float) -> np.ndarray:
+    seen = reps.sparkSession.sparkContext.broadcast(probes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q = seen.value
+        hit = np.zeros(len(q), bool)
+        for b in batches:
+            for at in range(0, len(b), 512):
+                hit |= _links(q, unit(b["e"].iloc[at : at + 512]), threshold).any(1)
+        yield pd.DataFrame({"probe": np.flatnonzero(hit)})
+
+    got = [r["probe"] for r in reps.select("e").mapInPandas(run, "probe long").distinct().collect()]
+    return np.array(sorted(got), np.int64)
 
 
 def _ranks(reps: DataFrame, probes: np.ndarray, books, most: int, threshold: float) -> np.ndarray:
-    """How many links of the probes lie in their n-th nearest cell, over all rows; beyond `most`: last."""
+    """How many links of each probe lie in its n-th nearest cell, over all rows; beyond `most`: last."""
     seen = reps.sparkSession.sparkContext.broadcast((probes, visits(probes, books, most), books))
 
     def ranks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q, cells, cb = seen.value
-        hits = np.zeros(most + 1, np.int64)
+        hits: Counter = Counter()
         for b in batches:
             for at in range(0, len(b), 4096):
                 x = unit(b["e"].iloc[at : at + 4096])
                 own = visits(x, cb, 1)[:, 0]
-                i, j = np.nonzero((q @ x.T >= threshold) & (q @ x.T < 1 - 1e-12))
-                met = cells[i] == own[j][:, None]
-                hits += np.bincount(np.where(met.any(1), met.argmax(1), most), minlength=most + 1)
-        yield pd.DataFrame({"rank": np.arange(most + 1), "hits": hits})
-
-    got = np.zeros(most + 1, np.int64)
-    for r in reps.select("e").mapInPandas(ranks, "rank int, hits long").groupBy("rank").agg(F.sum("hits").alias("hits")).collect():
-        got[r["rank"]] = r["hits"]
+                i, j = np.nonzero(_links(q, x, threshold))
+                for lo in range(0, len(i), 4096):
+                    k, to = i[lo : lo + 4096], j[lo : lo + 4096]
+                    met = cells[k] == own[to][:, None]
+                    hits.update(zip(k.tolist(), np.where(met.any(1), met.argmax(1), most).tolist(), strict=True))
+        yield pd.DataFrame([(*key, v) for key, v in hits.items()], columns=["probe", "rank", "hits"])
+
+    got = np.zeros((len(probes), most + 1), np.int64)
+    for r in reps.select("e").mapInPandas(ranks, "probe long, rank int, hits long").groupBy("probe", "rank").agg(F.sum("hits").alias("hits")).collect():
+        got[r["probe"], r["rank"]] = r["hits"]
     return got
 
 

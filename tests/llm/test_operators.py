@@ -248,6 +248,25 @@ def test_quality(spark):
         assert r["base_failed"] == (len(ws) < 50 or 100 * len(rep) > 50 * len(ws)) and (not r["base_failed"] or not r["kept"])
 
 
+def far_pairs(rng, n_alone, n_pairs, n_tight=0):
+    """Random directions, pairs at cosine 0.92 or so, and a tight group."""
+    x = rng.normal(size=(n_alone + n_pairs, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    twin = x[:n_pairs] + rng.normal(scale=0.43 / 4, size=(n_pairs, 16))
+    tight = x[-1] + rng.normal(scale=1e-4, size=(n_tight, 16))
+    return np.concatenate([x, twin, tight])
+
+
+@pytest.mark.parametrize(("n_pairs", "n_tight"), [(6, 0), (100, 300)])
+def test_embeddings_recall_of_rare_pairs_and_beside_a_tight_group(spark, n_pairs, n_tight):
+    x = far_pairs(np.random.default_rng(11), 1500, n_pairs, n_tight)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = [i for i in range(n_pairs) if u[i] @ u[1500 + n_pairs + i] >= 0.9]
+    assert len(linked) > n_pairs / 2 and np.mean([got[i] > 0 for i in linked]) >= 0.95
+
+
 def test_languages_of_other_scripts_beside_latin_ones():
     rng = np.random.default_rng(6)
     latin = {k: " ".join("".join(rng.choice(list(abc), 5)) for _ in range(3000)) for k, abc in (("de", "abcdefghijklmnopqrstuvwxyzäöüß"), ("es", "abcdefghijklmnopqrstuvwxyzñáéíóú'-.,;:!?0123456789"))}
