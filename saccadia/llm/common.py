@@ -48,17 +48,19 @@ def let(value: Column, body) -> Column:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for a written table, in the folder that the cluster shares.
 
-    spark.checkpoint.dir names that folder. Only where it is unset (tests, one
-    machine) a temporary folder takes its place and becomes the checkpoint folder.
+    spark.checkpoint.dir names that folder. Only where it is unset and the master is one
+    machine (tests) a temporary folder takes its place and becomes the checkpoint folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             base = current.get()
-        else:
+        elif spark.sparkContext.master.split("[")[0] == "local":
             base = "file://" + tempfile.mkdtemp(prefix="spark-")
             spark.sparkContext.setCheckpointDir(base)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
@@ -69,27 +71,49 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_KEPT: set[str] = set()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives executors.
 
-    The table goes when the driver's Python ends, as lazy results may read it till then.
+    The table goes with `released`, or else when the driver's Python ends, as lazy results
+    may read it till then.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
+    if not _KEPT:
+        atexit.register(_clean, spark)
+    _KEPT.add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
 
-    def clean():
+def _clean(spark: SparkSession) -> None:
+    for path in list(_KEPT):
         try:
             drop_path(spark, path)
         except Exception:  # the session may have ended before
-            pass
+            return
+
 
-    atexit.register(clean)
-    return spark.read.schema(df.schema).parquet(path)
+def released(*tables: DataFrame) -> None:
+    """Deletes tables of `written` that nothing reads any more."""
+    for t in tables:
+        drop_path(t.sparkSession, t.scratch_path)
+        _KEPT.discard(t.scratch_path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    scratch(df.sparkSession, "x")  # sets a folder where none is set
-    return df.checkpoint()
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it till no column of df clashes."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n)
+        out.append(n)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -99,9 +123,7 @@ def components(edges: DataFrame) -> DataFrame:
     equality join, so no component is ever gathered in one place; rounds grow with
     the logarithm of the longest path. Nodes without an edge don't appear.
     """
-    e = checkpointed(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    )
+    e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     state = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -116,7 +138,8 @@ def components(edges: DataFrame) -> DataFrame:
             .filter("u <> v")
             .distinct()
         )
-        e = checkpointed(small)
+        e, last = written(small, "edges"), e
+        released(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))

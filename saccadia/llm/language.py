@@ -1,15 +1,20 @@
 """Language identification by cross-parsing with suffix automata.
 
 For each language a suffix automaton is built over a bounded sample of labelled text
-(`chars` code points in all, shared evenly, in excerpts from as many texts as fit). A text
-is parsed greedily into the longest stretches that the language's sample holds; fewer
-phrases for its length mean less cross entropy, and the language that needs fewest wins.
-The automata are small tables that are broadcast. Whole texts are parsed, in segments of
-`SEGMENT` code points that run side by side in numpy.
+(about `chars` code points in all, shared evenly, whole texts as far as they fit). A text
+is parsed greedily into the longest stretches that the language's sample holds; a letter
+that the sample lacks is a phrase of its own. Fewer phrases for its length mean less cross
+entropy, and the language that needs fewest wins.
+
+What is broadcast is the sample text; each Python worker builds the automata from it once.
+Whole texts are parsed. Segments of `SEGMENT` code points run side by side in numpy, each
+as if a phrase began with it; then each takes up the state that the segment before it
+ended in, until both parses agree, so phrases cross the borders as in one long parse.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,10 +25,10 @@ from pyspark.sql import functions as F
 
 from saccadia.llm.common import fold
 
-#: ALPHABET: columns of a dense table; rarer characters have a list of their own.
-CHARS, EXCERPT, SEGMENT, ALPHABET, UNKNOWN = 160_000, 400, 2048, 62, "und"
+#: ALPHABET: columns of a dense table; rarer characters have a list of their own. ROWS: labelled texts of a language at most.
+CHARS, ROWS, SEGMENT, ALPHABET, UNKNOWN = 160_000, 400, 2048, 62, "und"
 #: Code points parsed side by side.
-BATCH = 6_000_000
+BATCH = 2_000_000
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -56,118 +61,183 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return go
 
 
-class Parser:
-    """Automata of some languages, and the parse of many texts at once.
+def plain(text: str) -> str:
+    """What is learned and parsed: lower case, digits as 0, white space as blanks."""
+    return "".join("0" if c.isdigit() else " " if c.isspace() else c for c in text.lower())
+
+
+class Model:
+    """One language's automaton: a dense table over the commonest letters, sorted keys for others.
 
-    Each language has codes for all characters of its own sample: transitions of its
-    `ALPHABET` - 2 commonest ones are a dense table, those of the others a sorted list.
+    A table entry is next state * ALPHABET * 2 + whether a phrase began with the letter.
     """
 
-    def __init__(self, samples: dict[str, str]):
-        self.langs = sorted(samples)
-        plain = {k: self._plain(v) for k, v in samples.items()}
-        self.letters = sorted(set("".join(plain.values())))
-        self.models = [self._model(plain[k]) for k in self.langs]
-        self._map = None
-
-    def _model(self, plain: str):
-        """(code of each letter and of an unknown one, dense table, sorted keys of other transitions, their targets, targets from the root)."""
-        top = [c for c, _ in sorted(Counter(plain).items(), key=lambda x: (-x[1], x[0]))]
-        few, width = ALPHABET - 2, ALPHABET
-        codes = {c: n if n < few else n - few + width for n, c in enumerate(top)}
-        go = suffix_automaton([codes[c] for c in plain])
-        rare = max(1, len(top) - few)
-        here, far = np.full((len(go), width), -1, np.int64), []
+    def __init__(self, text: str, letters: list[str]):
+        top = [c for c, _ in sorted(Counter(text).items(), key=lambda x: (-x[1], x[0]))]
+        few = ALPHABET - 2
+        codes = {c: n if n < few else n - few + ALPHABET for n, c in enumerate(top)}
+        go = suffix_automaton([codes[c] for c in text])
+        self.rare = max(1, len(top) - few)
+        here, far = np.full((len(go), ALPHABET), -1, np.int32), []
         for s, out in enumerate(go):
             for c, t in out.items():
-                if c < width:
+                if c < ALPHABET:
                     here[s, c] = t
-                else:
-                    far.append((s * rare + c - width, t))
-        # an entry is next state * width * 2 + phrase ended; a letter that the sample lacks ends a phrase and is skipped
-        root = np.where(here[0] >= 0, here[0], 0)
-        step = np.where(here >= 0, here * 2 * width, root * 2 * width + 1)
-        step[:, width - 1] = np.arange(len(go)) * 2 * width
+                elif s:
+                    far.append((s * self.rare + c - ALPHABET, t))
+        root = np.maximum(here[0], 0) * (2 * ALPHABET) + 1
+        here *= 2 * ALPHABET
+        self.step = np.where(here >= 0, here, root)
+        self.step[0] = root
+        self.step = self.step.ravel()
         far = np.array(sorted(far), np.int64).reshape(-1, 2)
-        from_root = np.array([go[0].get(width + n, 0) for n in range(rare)], np.int64)
-        of = np.array([codes.get(c, few) for c in self.letters] + [few], np.int32)
-        return of, step.astype(np.int32).ravel(), far[:, 0].copy(), far[:, 1].copy(), from_root
-
-    @staticmethod
-    def _plain(text: str) -> str:
-        return " ".join("".join("0" if c.isdigit() else c for c in text.lower()).split())
-
-    def _codes(self):
-        if self._map is None:
-            points = np.full(0x110000, len(self.letters), np.int32)
-            alpha = np.zeros(0x110000, bool)
-            for c in range(0x30000):
-                alpha[c] = chr(c).isalpha()
-                if chr(c).isdigit() and "0" in self.letters:
-                    points[c] = self.letters.index("0")
-                if chr(c).isspace() and " " in self.letters:
-                    points[c] = self.letters.index(" ")
-            for n, c in enumerate(self.letters):
-                points[ord(c)] = n
-            self._map = points, alpha
-        return self._map
+        self.keys, self.targets = far[:, 0].copy(), far[:, 1].copy()
+        self.from_root = np.array([go[0].get(ALPHABET + n, 0) for n in range(self.rare)], np.int64)
+        self.of = np.array([codes.get(c, few) for c in letters] + [few], np.int32)
+
+    def move(self, state: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Entries after one letter (as an index of all letters) in each state."""
+        c = self.of.take(ids)
+        odd = np.flatnonzero(c >= ALPHABET)
+        if not len(odd):
+            return self.step.take(state + c)
+        n = c[odd] - ALPHABET
+        c[odd] = ALPHABET - 2
+        got = self.step.take(state + c)
+        got[odd] = self.from_root[n] * (2 * ALPHABET) + 1
+        if len(self.keys):
+            key = state[odd].astype(np.int64) // ALPHABET * self.rare + n
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            goes = self.keys[at] == key
+            got[odd[goes]] = self.targets[at[goes]] * (2 * ALPHABET)
+        return got
+
+
+class Parser:
+    """Automata of some languages, and the parse of many texts at once."""
+
+    def __init__(self, samples: dict[str, str]):
+        self.langs = sorted(samples)
+        texts = {k: plain(v) for k, v in samples.items()}
+        self.letters = sorted(set("".join(texts.values())))
+        self.models = [Model(texts[k], self.letters) for k in self.langs]
+        index = {c: n for n, c in enumerate(self.letters)}
+        self.points, self.alpha = np.full(0x110000, len(self.letters), np.int32), np.zeros(0x110000, bool)
+        for c in range(0x110000):
+            x = chr(c)
+            self.alpha[c] = x.isalpha()
+            if x.isdigit() and "0" in index:
+                self.points[c] = index["0"]
+            elif x.isspace() and " " in index:
+                self.points[c] = index[" "]
+        for x, n in index.items():
+            self.points[ord(x)] = n
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(texts x languages) phrase counts, and whether each text has a letter."""
-        points, alpha = self._codes()
         raw = [np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
-        letters = np.array([bool(alpha[r].any()) for r in raw], bool)
-        owner, spans = [], []
-        for n, r in enumerate(raw):
-            for at in range(0, len(r), SEGMENT):
-                owner.append(n)
-                spans.append(r[at : at + SEGMENT])
+        letters = np.array([bool(self.alpha[r].any()) for r in raw], bool)
+        spans = [(n, at) for n, r in enumerate(raw) for at in range(0, len(r), SEGMENT)]
         total = np.zeros((len(texts), len(self.langs)), np.int64)
         if not spans or not self.langs:
             return total, letters
-        order = sorted(range(len(spans)), key=lambda k: -len(spans[k]))
-        lens = np.array([len(spans[k]) for k in order])
+        size = [min(SEGMENT, len(raw[n]) - at) for n, at in spans]
+        order = sorted(range(len(spans)), key=lambda k: -size[k])
+        place = {spans[k]: col for col, k in enumerate(order)}
+        lens = np.array([size[k] for k in order])
+        before = np.array([place.get((spans[k][0], spans[k][1] - SEGMENT), -1) for k in order])
         ids = np.zeros((lens[0], len(order)), np.int32)
         for col, k in enumerate(order):
-            ids[: lens[col], col] = points[spans[k]]
-        live = np.searchsorted(-lens, -np.arange(lens[0]), "left")  # segments longer than t
-        owners = np.array(owner)[order]
+            n, at = spans[k]
+            ids[: lens[col], col] = self.points[raw[n][at : at + SEGMENT]]
+        owners = np.array([spans[k][0] for k in order])
         for k, model in enumerate(self.models):
-            np.add.at(total[:, k], owners, self._parse(model, ids, live) + 1)
+            np.add.at(total[:, k], owners, _parse(model, ids, lens, before))
         return total, letters
 
-    @staticmethod
-    def _parse(model, ids: np.ndarray, live: np.ndarray) -> np.ndarray:
-        """Phrases ended in each column of letters, of which the first live[t] go on at row t."""
-        of, table, keys, targets, from_root = model
-        state, count = np.zeros(ids.shape[1], np.int32), np.zeros(ids.shape[1], np.int32)
-        for t, m in enumerate(live):
-            c = of.take(ids[t, :m])
-            odd = np.flatnonzero(c >= ALPHABET)
-            n = c[odd] - ALPHABET
-            c[odd] = ALPHABET - 2
-            got = table.take(state[:m] + c)
-            if len(odd):
-                key = state[odd].astype(np.int64) // ALPHABET * len(from_root) + n
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                goes = keys[at] == key
-                got[odd] = np.where(goes, targets[at], from_root[n]) * (2 * ALPHABET) + ~goes
-            count[:m] += got & 1
-            state[:m] = got >> 1
-        return count
+
+def _parse(model: Model, ids: np.ndarray, lens: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Phrases begun in each column of letters (longest first); column k goes on from column before[k], if any."""
+    state, count = np.zeros(len(lens), np.int32), np.zeros(len(lens), np.int32)
+    later = np.flatnonzero(before >= 0)
+    run = np.zeros((len(ids), len(later)), np.int32)
+    live = np.searchsorted(-lens, -np.arange(len(ids)), "left")  # columns longer than t
+    for t, m in enumerate(live):
+        got = model.move(state[:m], ids[t, :m])
+        count[:m] += got & 1
+        state[:m] = got >> 1
+        if len(later):
+            k = np.searchsorted(later, m)
+            run[t, :k] = got[later[:k]]
+    todo = np.arange(len(later))
+    while len(todo):
+        cols, new, changed, t = later[todo], state[before[later[todo]]], [], 0
+        on = np.arange(len(todo))
+        while len(on):
+            c = cols[on]
+            got, old = model.move(new[on], ids[t, c]), run[t, todo[on]]
+            count[c] += (got & 1) - (old & 1)
+            run[t, todo[on]] = got
+            new[on] = got >> 1
+            apart, t = (got >> 1) != (old >> 1), t + 1
+            over = on[apart & (lens[c] == t)]
+            state[cols[over]] = new[over]
+            changed += cols[over].tolist()
+            on = on[apart & (lens[c] > t)]
+        todo = np.flatnonzero(np.isin(before[later], changed))
+    return count
+
+
+_PARSERS: dict[str, Parser] = {}
+
+
+def parser(samples: dict[str, str]) -> Parser:
+    """The parser of these samples, built once in a process."""
+    key = hashlib.sha256(repr(sorted(samples.items())).encode("utf-8", "surrogatepass")).hexdigest()
+    if key not in _PARSERS:
+        _PARSERS.clear()
+        _PARSERS[key] = Parser(samples)
+    return _PARSERS[key]
+
 
 def samples(docs: DataFrame, chars: int = CHARS) -> dict[str, str]:
-    """Sample text of each language: EXCERPT code points from the middle of the texts with the smallest hashes."""
-    labelled = docs.filter("lang is not null and text is not null and length(text) > 0").select("lang", "text")
+    """Sample text of each language: whole texts in the order of their hashes until its share of `chars` is full.
+
+    `ROWS` texts of a language at most. Texts over a quarter of the share come after all
+    others, and only such a text is cut to the share, where a language has no other.
+    """
+    labelled = docs.filter("lang is not null and text is not null and length(text) > 0").select("lang", F.col("text").cast("string").alias("text"))
     kinds = labelled.select("lang").distinct().count()
     each = max(2_000, chars // max(kinds, 1))
-    start = F.greatest(F.lit(1), (F.length("text") / 2).cast("int") - EXCERPT // 2)
-    cut = labelled.select("lang", F.substring(F.col("text"), start, F.lit(EXCERPT)).alias("piece"), F.xxhash64("text").alias("h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))
+    long, order = F.length("text") > each // 4, ["long", "h", "text"]
+    w = Window.partitionBy("lang").orderBy(*order)
+    some = labelled.withColumns({"h": F.xxhash64("text"), "long": long}).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= ROWS)
+    upto = F.coalesce(F.sum(F.least(F.length("text"), F.lit(each))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = F.when(F.col("long"), F.substring("text", 1, each)).otherwise(F.col("text"))
     out: dict[str, list[str]] = {}
-    for r in cut.withColumn("rank", rank).filter(F.col("rank") <= 2 * each // EXCERPT).orderBy("lang", "rank").collect():
-        out.setdefault(r["lang"], []).append(r["piece"])
-    return {k: "\n".join(v)[:each] for k, v in out.items()}
+    for r in some.withColumn("upto", upto).filter(F.col("upto") < each).select("lang", "rank", cut.alias("text")).orderBy("lang", "rank").collect():
+        out.setdefault(r["lang"], []).append(r["text"])
+    return {k: "\n".join(v) for k, v in out.items()}
+
+
+def _shared_samples(docs: DataFrame, mod: int, held: int, chars: int):
+    return docs.sparkSession.sparkContext.broadcast(samples(docs.filter(fold(F.col("doc_id"), mod) != held), chars))
+
+
+def predict(p: Parser, texts: list[str]) -> tuple[list[str], list[float]]:
+    """The language of each text, and the winner's share."""
+    pred, score = [], []
+    names = np.array([*p.langs, UNKNOWN], object)
+    for part in _groups(texts):
+        counts, letters = p.phrases(part)
+        if not p.langs:
+            pred += [UNKNOWN] * len(part)
+            score += [0.0] * len(part)
+            continue
+        weight = np.exp2(-np.minimum(counts - counts.min(1, keepdims=True), 60).astype(float))
+        pred += names[np.where(letters, counts.argmin(1), len(p.langs))].tolist()
+        score += np.where(letters, 1 / weight.sum(1), 0.0).tolist()
+    return pred, score
 
 
 def identify(docs: DataFrame, mod: int = 4, held: int = 2, chars: int = CHARS) -> DataFrame:
@@ -180,25 +250,12 @@ def identify(docs: DataFrame, mod: int = 4, held: int = 2, chars: int = CHARS) -
     to the first language in code-point order. Repeated rows give repeated rows; other
     columns are not read.
     """
-    parser = Parser(samples(docs.filter(fold(F.col("doc_id"), mod) != held), chars))
-    share = docs.sparkSession.sparkContext.broadcast(parser)
+    share = _shared_samples(docs, mod, held, chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = share.value
-        names = np.array([*p.langs, UNKNOWN], object)
+        p = parser(share.value)
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            pred, score = [], []
-            for part in _groups(texts):
-                counts, letters = p.phrases(part)
-                if not p.langs:
-                    pred += [UNKNOWN] * len(part)
-                    score += [0.0] * len(part)
-                    continue
-                best = counts.argmin(1)
-                weight = np.exp2(-np.minimum(counts - counts.min(1, keepdims=True), 60).astype(float))
-                pred += names[np.where(letters, best, len(p.langs))].tolist()
-                score += np.where(letters, 1 / weight.sum(1), 0.0).tolist()
+            pred, score = predict(p, [t or "" for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -217,8 +274,18 @@ def _groups(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
-def known_language(docs: DataFrame) -> DataFrame:
-    """The rows of documents whose language could be told; rows without a letter go."""
-    keep = identify(docs).filter(F.col("lang_pred") != UNKNOWN).select("doc_id").distinct()
-    none = docs.filter("doc_id is null")
-    return docs.join(keep, "doc_id", "left_semi").select(docs.columns).unionByName(none)
+def known_language(docs: DataFrame, mod: int = 4, held: int = 2, chars: int = CHARS) -> DataFrame:
+    """The rows of documents whose language could be told, all columns as they are.
+
+    Row by row: a null text or one without a letter goes, whatever its doc_id and its
+    repeats; with nothing to learn from every row goes; no rows give no rows.
+    """
+    share, at = _shared_samples(docs, mod, held, chars), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = parser(share.value)
+        for b in batches:
+            pred, _ = predict(p, [t or "" for t in b.column(at).to_pylist()])
+            yield b.filter(pa.array([x != UNKNOWN for x in pred], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -14,6 +14,7 @@ only members of different components, met again on a finer key, are compared.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,19 +23,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saccadia.llm.common import components, written
+from saccadia.llm.common import components, fresh, released, written
 
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 DENSE = 48
-#: Shingles whose bits are counted at once, to bound the memory of a very long text.
-BLOCK = 1 << 18
+#: The pipeline's stage: 64-bit words of a fingerprint, segments (two a word at most), its widest difference, runs paired in full.
+WORDS, PARTS, FAR, THIN = 7, 14, 110, 8
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """SimHash of a text's word shingles, unsigned; 0 for null or a text without words."""
+LANES = np.uint64(0x0101010101010101)
+
+
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of each word shingle, repeats included; fewer words: of the whole sequence."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -42,12 +46,23 @@ def fingerprint(text: str | None, width: int = 4) -> int:
         starts, ends = starts[: len(parts) - width + 1], ends[width - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    n, ones, digest = len(starts), np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for at in range(0, n, BLOCK):
-        pairs = zip(starts[at : at + BLOCK].tolist(), ends[at : at + BLOCK].tolist(), strict=True)
-        h = np.array([digest(joined[a:b], 42) for a, b in pairs], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+
+
+def majority(h: np.ndarray) -> np.ndarray:
+    """For rows of hashes (words x n), one word a row: the bits set in over half of its hashes."""
+    ones = np.zeros((len(h), 8, 8), np.int64)
+    for at in range(0, h.shape[1], 255):  # eight byte-wide counters in a word hold 255
+        part = h[:, at : at + 255]
+        for k in range(8):
+            ones[:, :, k] += ((part >> np.uint64(k)) & LANES).sum(1).view(np.uint8).reshape(-1, 8)
+    return np.packbits((2 * ones > h.shape[1]).reshape(len(h), 64), axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """SimHash of a text's word shingles, unsigned; 0 for null or a text without words."""
+    return int(majority(shingle_hashes(text, width)[None, :])[0])
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
@@ -85,7 +100,8 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """
     if radius > 4:
         raise ValueError("three segments with one free bit reach 4 differing bits")
-    v = _variants(fps)
+    # few narrow rows become 64 times as many: spread them first, by a number that isn't merged again
+    v = _variants(fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"))
     dense = written(
         v.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("pivot")).filter(F.col("n") > DENSE).select("key", "pivot"),
         "dense",
@@ -134,11 +150,182 @@ def simhash_groups(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFram
     return fps.join(of, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def near_unique(docs: DataFrame) -> DataFrame:
-    """The rows of documents with the smallest doc_id of each near-duplicate group.
+# --- the pipeline's stage: five words, Jaccard similarity
+
+
+def prints(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(doc_id, th, node, fp, sh) for each row of documents.
+
+    th: hash of the text. sh: 32 bits of the hash of each distinct shingle. fp: WORDS words
+    of a SimHash of these, where similar sets agree in most bits. node stands for the set:
+    32 more such bits above 32 bits of the hash of the whole set.
+    """
+    salts = (np.arange(WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                cut = b.slice(at, 512)
+                node, fps, sets = [], [], []
+                for t in cut.column(2).to_pylist():
+                    h = np.unique(shingle_hashes(t, width))
+                    z = h[None, :] + salts
+                    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                    m = majority(z ^ (z >> np.uint64(31)))
+                    node.append((int(m[-1]) & 0xFFFFFFFF) << 32 | xxhash.xxh32_intdigest(h.tobytes()))
+                    fps.append(m[:WORDS].view(np.int64))
+                    sets.append(np.unique(h.astype(np.uint32)).view(np.int32))
+                ends = lambda x: pa.array(np.concatenate(([0], np.cumsum([len(v) for v in x]))), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends(x), pa.array(np.concatenate(x))) for x in (fps, sets)]
+                yield pa.RecordBatch.from_arrays([*cut.columns[:2], pa.array(np.array(node, np.uint64).view(np.int64)), *lists], ["doc_id", "th", "node", "fp", "sh"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.col("text").cast("string")).mapInArrow(
+        run, "doc_id long, th long, node long, fp array<long>, sh array<int>"
+    )
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by (key, node): candidate pairs, and the members of long runs.
+
+    A run of up to THIN nodes gives all its pairs, a longer one each node with the first.
+    kind 0: nodes a, b; 1: key and node of a long run, or of a run at this partition's edge,
+    which may go on elsewhere; 2: of those, the ones that stand for it there.
+    """
+    key, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    open_key = open_pivot = None
+    first = True
+
+    def rows(kind, k, a, b):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(k), pa.array(a), pa.array(b)], ["kind", "key", "a", "b"])
+
+    def flush(key, node, edges):
+        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(at, len(key)))
+        pivot = node[at]
+        long = size > THIN
+        if open_key is not None and key[0] == open_key:
+            long[0], pivot[0] = True, open_pivot
+        each = np.repeat(np.arange(len(at)), size)
+        thin = ~long[each]
+        for d in range(1, THIN):
+            i = np.flatnonzero((key[d:] == key[:-d]) & thin[d:])
+            if len(i):
+                yield close(key[i], node[i], node[i + d])
+        i = np.flatnonzero(~thin & (node != pivot[each]))
+        yield close(key[i], pivot[each][i], node[i])
+        i = np.flatnonzero(~thin | np.isin(each, edges))
+        yield rows(1, key[i], node[i], node[i])
+        edge = [e for e in edges if not (e == 0 and open_key is not None and key[0] == open_key)]
+        i = np.flatnonzero(np.isin(each, edge) & (thin | (node == pivot[each])))
+        yield rows(2, key[i], node[i], node[i])
+
+    def close(k, a, b):
+        few = np.bitwise_count((a ^ b).view(np.uint64) >> np.uint64(32)) <= 14
+        return rows(0, k[few], np.minimum(a, b)[few], np.maximum(a, b)[few])
+
+    for b in batches:
+        key, node = np.concatenate([key, b.column(0).to_numpy()]), np.concatenate([node, b.column(1).to_numpy()])
+        if len(key) < 200_000:
+            continue
+        # the last run waits for its rest, unless it is long already
+        last = int(np.searchsorted(key, key[-1], "left"))
+        if len(key) - last <= THIN and last and not (open_key is not None and key[-1] == open_key):
+            yield from flush(key[:last], node[:last], [0] if first else [])
+            key, node, open_key = key[last:], node[last:], None
+        else:
+            yield from flush(key, node, [0] if first else [])
+            pivot = open_pivot if open_key is not None and key[-1] == open_key else node[last]
+            open_key, open_pivot = key[-1], pivot
+            key, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        first = False
+    if len(key):
+        n = int((key[1:] != key[:-1]).sum())
+        yield from flush(key, node, [0, n] if first else [n])
+    elif open_key is not None:
+        one = np.array([open_pivot])
+        yield rows(2, np.array([open_key]), one, one)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (a, b) those whose shingle sets are similar: first by fingerprints, then by the sets."""
+    fps = sets.select("node", "fp")
+    x, y = fps.toDF("a", "fa"), fps.toDF("b", "fb")
+    apart = F.aggregate(F.zip_with("fa", "fb", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, v: s + v)
+    near = written(pairs.join(x, "a").join(y, "b").filter(apart <= FAR).select("a", "b"), "candidates")
+    need = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    full = sets.join(need, "node", "left_semi").select("node", "sh")
+    both = F.size(F.array_intersect("sa", "sb"))
+    pair = near.join(full.toDF("a", "sa"), "a").join(full.toDF("b", "sb"), "b")
+    # two empty sets (texts without words) are one node, so no sum is 0
+    out = written(pair.filter(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "similar")
+    released(near)
+    return out
+
+
+def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(node, root, doc_id, th): for each distinct shingle set its group and its first row.
+
+    Sets are linked where their Jaccard similarity is at least `similarity`, verified on the
+    sets. Candidates agree in one of PARTS segments of a fingerprint but for one bit; the
+    segments grow with the number of sets, so buckets stay thin. Members of long runs are
+    linked to the run's first node, then to others chosen by chance, and those that are
+    still in different components are compared with one another.
+    """
+    spark = docs.sparkSession
+    rows = written(prints(docs, width), "prints")
+    nodes = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"), F.min("fp").alias("fp"))
+    nodes = written(nodes, "nodes")
+    bits = min(32, max(12, math.ceil(math.log2(max(nodes.count(), 1))) + 4))
+    mask, keys = (1 << bits) - 1, []
+    for n in range(PARTS):
+        seg = F.shiftrightunsigned(F.element_at("fp", n // 2 + 1), 32 * (n % 2)).bitwiseAND(mask)
+        for k in range(bits):
+            keys.append(seg.bitwiseAND(mask & ~(1 << k)).bitwiseOR(F.lit((n * 32 + k) << 33)))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    v = nodes.select("node", "fp").repartition(tasks, "node").select(F.explode(F.array(*keys)).alias("key"), "node")
+    met = written(v.repartitionByRange(2 * tasks, "key", "node").sortWithinPartitions("key", "node").mapInArrow(_met, "kind int, key long, a long, b long"), "met")
+    edge = met.filter("kind = 2").select("key", "a")
+    over = edge.join(edge.withColumnRenamed("a", "b"), "key").filter("a < b").select("a", "b")
+    pairs = met.filter("kind = 0").select("a", "b").unionByName(over).distinct()
+    one_each = rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("sh").alias("sh"))
+    links = _similar(pairs, one_each, similarity)
+    runs = met.filter("kind = 1").select("key", F.col("a").alias("node"))
+    for turn in range(3):
+        roots = components(links)
+        root = F.coalesce("root", "node").alias("root")
+        known = runs.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("key", "node", root)
+        split = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("pivot")).filter("lo <> hi")
+        if turn < 2:
+            more = known.join(split, "key").filter(F.col("root") != F.col("pivot.root")).select(F.col("pivot.node").alias("x"), F.col("node").alias("y"))
+        else:
+            left = known.join(split.select("key"), "key", "left_semi")
+            more = left.alias("l").join(left.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.root") < F.col("r.root"))).select(F.col("l.node").alias("x"), F.col("r.node").alias("y"))
+        far = F.bit_count(F.shiftrightunsigned(F.col("x").bitwiseXOR(F.col("y")), 32)) > 14
+        more = written(more.filter(~far).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "more")
+        if more.isEmpty():
+            released(more)
+            break
+        found = _similar(more, one_each, similarity)
+        old, links = links, written(links.unionByName(found), "links")
+        released(old, found, more)
+        if turn == 2:
+            roots = components(links)
+    return nodes.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", F.coalesce("root", "node").alias("root"), "first")
+
+
+def near_unique(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of documents from each group of near duplicates, all columns as they are.
 
-    Rows whose doc_id is null stay, as nothing tells them apart.
+    Groups are the components of links between texts whose sets of `width`-word shingles
+    have a Jaccard similarity of `similarity` or more. The row of the smallest doc_id stays
+    (null ids last; of rows that share it the one of the smaller text hash); rows that
+    repeat it to the letter are one document and stay once. Rows of one doc_id with other
+    texts are documents of their own. Null and wordless texts are alike. No rows give none.
     """
-    groups = simhash_groups(docs)
-    drop = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti")
+    groups = near_groups(docs, width, similarity).groupBy("root").agg(F.min("first").alias("first"))
+    th, kid, kth = fresh(docs, "th", "keep_id", "keep_th")
+    keep = groups.select(F.col("first.doc_id").alias(kid), F.col("first.th").alias(kth))
+    marked = docs.withColumn(th, F.xxhash64("text"))
+    same = marked["doc_id"].cast("long").eqNullSafe(keep[kid]) & (marked[th] == keep[kth])
+    return marked.join(keep, same, "left_semi").dropDuplicates(["doc_id", th]).select(docs.columns)
