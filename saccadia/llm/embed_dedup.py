@@ -22,10 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saccadia.llm.common import components, written
+from saccadia.llm.common import components, released, written
 
-#: Vectors in a block of one cell; codebook sample; recall queries at once; most codes in a half.
-BLOCK, SAMPLE, PROBES, MOST_CODES = 512, 20_000, 2048, 256
+#: Vectors in a block of one cell; codebook sample, and rows of it for each code; recall queries at once.
+BLOCK, SAMPLE, EACH, PROBES = 512, 20_000, 16, 2048
+#: Most codes in a half (33 million vectors; beyond that cells fill up), most cells to visit before all rows become one cell.
+MOST_CODES, MOST_VISITS = 2048, 1024
 #: Groups of linked recall queries to be found (fewer only if all rows have been queries); queries kept of a group.
 LINKED, MEMBERS = 300, 8
 
@@ -43,7 +45,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray
     x = np.unique(x, axis=0)
     c = x[np.random.default_rng(seed).permutation(len(x))[:k]]
     for _ in range(rounds):
-        near = ((c * c).sum(1) - 2 * x @ c.T).argmin(1)
+        near = np.concatenate([((c * c).sum(1) - 2 * x[at : at + 4096] @ c.T).argmin(1) for at in range(0, len(x), 4096)])
         n = np.bincount(near, minlength=len(c))
         sums = np.stack([np.bincount(near, x[:, j], len(c)) for j in range(x.shape[1])], 1) if x.shape[1] else c
         c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
@@ -63,11 +65,10 @@ def visits(x: np.ndarray, books, most: int) -> np.ndarray:
     return order[0][np.arange(len(x))[:, None], ij[best, 0]] * len(books[1]) + order[1][np.arange(len(x))[:, None], ij[best, 1]]
 
 
-def _usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding as doubles) of rows that can link: finite, not all zero, of the commonest width."""
-    fine = F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists("e", lambda v: v != 0)
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("e")).filter(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & (F.size("e") > 0) & F.coalesce(fine, F.lit(False)))
-    return rows
+def _usable(e):
+    """Whether a vector can link: finite and not all zero."""
+    fine = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists(e, lambda v: v != 0)
+    return F.coalesce((F.size(e) > 0) & fine, F.lit(False))
 
 
 def fit(reps: DataFrame, n: int, threshold: float, recall: float) -> tuple[tuple, int, float]:
@@ -77,9 +78,10 @@ def fit(reps: DataFrame, n: int, threshold: float, recall: float) -> tuple[tuple
     cells are the fewest whose recall is enough at its lower bound - or as it stands, once
     all rows have been probes. If no number of cells is enough, one cell holds all rows.
     """
-    ratio = SAMPLE / max(n, 1)
-    sample = unit(np.array([r["e"] for r in (reps if ratio >= 1 else reps.sample(ratio, seed=7)).select("e").limit(2 * SAMPLE).collect()]))
     codes = int(min(MOST_CODES, max(4, math.sqrt(n / 8))))
+    size = max(SAMPLE, EACH * codes)
+    by_hash = F.pmod(F.xxhash64("node", F.lit(0)), F.lit(1 << 30)) < F.lit(int(min(1.0, size / max(n, 1)) * (1 << 30)))
+    sample = unit(np.array([r["e"] for r in reps.filter(by_hash).orderBy("node").limit(size).select("e").collect()]))
     h = sample.shape[1] // 2
     books = (kmeans(sample[:, :h], codes), kmeans(sample[:, h:], codes))
     probes, group, whole = _linked(reps, n, sample.shape[1], threshold)
@@ -96,9 +98,9 @@ def fit(reps: DataFrame, n: int, threshold: float, recall: float) -> tuple[tuple
         enough = np.flatnonzero((mean if whole else lower_bound(mean, len(times))) >= recall)
         if len(enough):
             return books, int(enough[0]) + 1, float(mean[enough[0]])
-        if most == grid:
+        if most >= min(grid, MOST_VISITS):
             return tuple(b.mean(0, keepdims=True) for b in books), 1, 1.0
-        most = min(grid, 4 * most)
+        most = min(grid, MOST_VISITS, 4 * most)
 
 
 def lower_bound(mean, k: int, z: float = 1.645):
@@ -119,7 +121,7 @@ def _linked(reps: DataFrame, n: int, width: int, threshold: float) -> tuple[np.n
     groups; probes that link with each other are one group. If need be all rows are probes.
     """
     parts = max(1, math.ceil(n / max(1, min(PROBES, (1 << 22) // width))))
-    at = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(parts))
+    at = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(parts))
     found, group, done, step = np.zeros((0, width)), np.zeros(0, np.int64), 0, 1
     while done < parts:
         probes = unit(np.array([r["e"] for r in reps.filter((at >= done) & (at < done + step)).select("e").collect()]).reshape(-1, width))
@@ -135,7 +137,7 @@ def _linked(reps: DataFrame, n: int, width: int, threshold: float) -> tuple[np.n
 
 
 def _has_link(reps: DataFrame, probes: np.ndarray, threshold: float) -> np.ndarray:
-    seen = reps.sparkSession.sparkContext.broadcast(probes)
+    seen = reps.sparkSession.sparkContext.broadcast(probes)  # destroyed below: its rows are collected here
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q = seen.value
@@ -146,6 +148,7 @@ def _has_link(reps: DataFrame, probes: np.ndarray, threshold: float) -> np.ndarr
         yield pd.DataFrame({"probe": np.flatnonzero(hit)})
 
     got = [r["probe"] for r in reps.select("e").mapInPandas(run, "probe long").distinct().collect()]
+    seen.destroy()
     return np.array(sorted(got), np.int64)
 
 
@@ -170,6 +173,7 @@ def _ranks(reps: DataFrame, probes: np.ndarray, books, most: int, threshold: flo
     got = np.zeros((len(probes), most + 1), np.int64)
     for r in reps.select("e").mapInPandas(ranks, "probe long, rank int, hits long").groupBy("probe", "rank").agg(F.sum("hits").alias("hits")).collect():
         got[r["probe"], r["rank"]] = r["hits"]
+    seen.destroy()
     return got
 
 
@@ -185,24 +189,14 @@ def _forest(close: np.ndarray) -> np.ndarray:
         label = new
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.98) -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row of embeddings.
+def _linked_pairs(reps: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
+    """(a, b, n) for the nodes of n distinct vectors of one width that have a link.
 
-    Links: other vectors with cosine >= threshold, in double precision, found through the
-    index (no pair below it). Null, zero and non-finite vectors, and vectors of a width
-    other than that of the smallest linking vec_id, link with nothing: their component is
-    themselves. Rows that repeat a vec_id are vectors of their own that share the id's
-    component; a null vec_id links with nothing and is its own row. No rows give no rows.
+    n: other vectors linked, copies counted; b: a node linked to a over some links of its block.
     """
-    rows = written(_usable(vectors), "vectors")
-    ids = vectors.select(F.col("vec_id").cast("long"))
-    first = rows.agg(F.min_by(F.size("e"), "vec_id").alias("d")).first()["d"]
-    reps = written(rows.filter(F.size("e") == F.lit(first)).groupBy("e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times")), "distinct-vectors")
-    n = reps.count()
-    if not n:
-        return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     books, cells, _ = fit(reps, n, threshold, recall)
-    share = reps.sparkSession.sparkContext.broadcast((books, cells))
+    spark = reps.sparkSession
+    share = spark.sparkContext.broadcast((books, cells))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cb, most = share.value
@@ -212,17 +206,18 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.9
                 c["visited"] = list(visits(unit(c["e"]), cb, most))
                 yield c
 
-    indexed = written(reps.mapInPandas(place, "e array<double>, rep long, times long, visited array<int>"), "cells")
-    chunk = indexed.groupBy(F.get("visited", F.lit(0)).alias("cell")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
-    cut = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
-    own = indexed.withColumn("cell", F.get("visited", F.lit(0))).join(chunk, "cell").withColumn("part", cut)
+    table = written(reps.select("e", "node", "times").mapInPandas(place, "e array<double>, node long, times long, visited array<int>"), "cells")
+    indexed = table.withColumn("cell", F.get("visited", F.lit(0)))
+    chunk = indexed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+    own = indexed.join(chunk, "cell").withColumn("part", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     # a block: one part of a cell's members, and one part of a home cell's vectors that visit it
     to = chunk.select(F.col("cell").alias("to"), F.col("chunks").alias("to_chunks"))
-    asks = own.withColumn("to", F.explode("visited")).join(to, "to").withColumn("to_part", F.explode(F.sequence(F.lit(0), F.col("to_chunks") - 1)))
-    asks = asks.filter((F.col("to") != F.col("cell")) | (F.col("to_part") >= F.col("part")))
-    left = asks.select("cell", "part", "to", "to_part", "e", "rep", "times", "visited")
+    asks = own.select("cell", "part", "e", "node", "times", F.explode("visited").alias("to")).join(to, "to").withColumn("to_part", F.explode(F.sequence(F.lit(0), F.col("to_chunks") - 1)))
+    left = asks.filter((F.col("to") != F.col("cell")) | (F.col("to_part") >= F.col("part"))).select("cell", "part", "to", "to_part", "e", "node", "times", F.lit(True).alias("back"))
     pairs = left.select("cell", "part", "to", "to_part").distinct()
-    right = pairs.join(own.select(F.col("cell").alias("to"), F.col("part").alias("to_part"), "e", "rep", "times", "visited"), ["to", "to_part"])
+    members = own.select(F.col("cell").alias("to"), F.col("part").alias("to_part"), "e", "node", "times", "visited")
+    # of the cells that a member visits only one bit goes into the block
+    right = pairs.join(members, ["to", "to_part"]).select("cell", "part", "to", "to_part", "e", "node", "times", F.array_contains("visited", F.col("cell")).alias("back"))
     both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
 
     def block(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
@@ -232,15 +227,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.9
             return pd.DataFrame({"a": [], "b": [], "n": []})
         x, y = unit(q["e"]), unit(m["e"])
         close = np.concatenate([x[i : i + 256] @ y.T >= threshold for i in range(0, len(x), 256)])
-        a, c = q["rep"].to_numpy(), m["rep"].to_numpy()
+        a, c = q["node"].to_numpy(), m["node"].to_numpy()
         ta, tc = q["times"].to_numpy(), m["times"].to_numpy()
         close &= a[:, None] != c[None, :]
         if not close.any():
             return pd.DataFrame({"a": [], "b": [], "n": []})
-        back = np.array([cell in set(v) for v in m["visited"].map(list)], bool)
         # a vector that visits back counts the pair in its own block
         same = cell == to and part == to_part
-        to_members = np.zeros_like(close) if same else close & (~back[None, :] if cell != to else True)
+        to_members = np.zeros_like(close) if same else close & (~m["back"].to_numpy(bool)[None, :] if cell != to else True)
         ids = np.unique(np.concatenate([a, c]))
         whole = np.zeros((len(ids), len(ids)), bool)
         whole[np.ix_(np.searchsorted(ids, a), np.searchsorted(ids, c))] |= close
@@ -253,12 +247,34 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.9
         return pd.DataFrame({"a": ids[some], "b": root[some], "n": count[some]})
 
     # blocks are small in bytes and long in work, so they aren't merged into few tasks
-    tasks = max(2 * reps.sparkSession.sparkContext.defaultParallelism, n * cells // 4096)
-    both = both.repartition(tasks, "cell", "part", "to", "to_part")
-    found = written(both.groupBy("cell", "part", "to", "to_part").applyInPandas(block, "a long, b long, n long"), "links")
+    tasks = max(2 * spark.sparkContext.defaultParallelism, n * cells // 4096)
+    found = both.repartition(tasks, "cell", "part", "to", "to_part").groupBy("cell", "part", "to", "to_part").applyInPandas(block, "a long, b long, n long")
+    found = written(found, "links")
+    released(table)
+    return found
+
+
+def near_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.98) -> DataFrame:
+    """vec_id, n_links, component_id, kept for each row of embeddings.
+
+    Links: other vectors of the same width with cosine >= threshold, in double precision,
+    found through an index for each width (no pair below it). Null, zero and non-finite
+    vectors, and rows without a vec_id, link with nothing: their component is their own id.
+    Rows that repeat a vec_id are vectors of their own with links of their own; component_id
+    is the smallest vec_id reachable. No rows give no rows. A table has few widths: each
+    costs jobs of its own.
+    """
+    marked = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("e")).withColumn("usable", F.col("vec_id").isNotNull() & _usable(F.col("e")))
+    alone = marked.filter(~F.coalesce("usable", F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    rows = written(marked.filter("usable").select("vec_id", "e"), "vectors")
+    reps = written(rows.groupBy("e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times")).withColumn("node", F.monotonically_increasing_id()), "distinct-vectors")
+    found = rows.sparkSession.createDataFrame([], "a long, b long, n long")
+    for width, n in reps.groupBy(F.size("e").alias("width")).count().orderBy("width").collect():
+        found = found.unionByName(_linked_pairs(reps.filter(F.size("e") == width), n, threshold, recall))
     roots = components(found.select("a", "b"))
-    n_links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    per = reps.join(n_links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left").select("e", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    n_links = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    per = reps.join(n_links, "node", "left").join(roots.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").withColumn("root", F.coalesce("root", "node"))
+    least = per.groupBy("root").agg(F.min("rep").alias("component_id"))
+    per = per.join(least, "root").select("e", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), "component_id")
     linked = rows.join(per, "e").select("vec_id", "n_links", "component_id")
-    alone = ids.join(linked.select("vec_id").distinct(), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

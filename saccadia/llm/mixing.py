@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from saccadia.llm.common import checkpointed, n_words, written
+from saccadia.llm.common import checkpointed, fresh, n_words, written
 
 #: Documents in a rounding block, on average; a block is one short array.
 BLOCK = 128
@@ -72,8 +72,9 @@ def balance(hist: DataFrame, targets: DataFrame, most: float = 3.0, tolerance: f
         sums = (
             hist.filter("size > 0").join(s, F.col("source").eqNullSafe(F.col("s")))
             .groupBy("s").agg(
-                F.sum(F.col("n") * F.col("size") * rate).alias("took"),
-                F.sum(F.when(free, F.col("n") * F.col("size") * x * rate).otherwise(0.0)).alias("slope"),
+                # decimals add up alike in any order, so reruns take the same steps
+                F.sum((F.col("n") * F.col("size") * rate).cast("decimal(38,9)")).cast("double").alias("took"),
+                F.sum(F.when(free, F.col("n") * F.col("size") * x * rate).otherwise(0.0).cast("decimal(38,9)")).cast("double").alias("slope"),
             )
         )
         state = state.join(sums, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
@@ -90,6 +91,8 @@ def balance(hist: DataFrame, targets: DataFrame, most: float = 3.0, tolerance: f
         state = checkpointed(state.withColumn("lam", F.when(F.col("done"), F.col("lam")).when(inside, step).otherwise(middle)).drop("took", "slope"))
         if state.filter(~F.col("done")).isEmpty():
             break
+    else:
+        raise RuntimeError(f"sources that miss their target after {STEPS} steps: {state.filter(~F.col('done')).count()}")
     return state.drop("lo", "hi", "done")
 
 
@@ -145,7 +148,16 @@ def mixed(docs: DataFrame, most: int = 3) -> DataFrame:
 
 
 def repeat_documents(docs: DataFrame, most: int = 3) -> DataFrame:
-    """documents with each row as often as the mix takes it (0 to `most` times)."""
-    chosen = mix_sources(docs, most).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.avg("copies").alias("_copies"))
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_th"))
-    return docs.join(chosen, same).withColumn("_n", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.round("_copies").cast("int"))))).filter("_copies >= 0.5").select(docs.columns)
+    """documents with each row as often as the mix takes it (0 to `most` times), columns as they are.
+
+    Rows that repeat doc_id and text share the copies of all of them: each takes the whole
+    part of their mean, and one more by a chance that makes up the rest. Null texts count
+    as one copy; a null source is a source; no rows give no rows.
+    """
+    kid, kth, n, th = fresh(docs, "mix_id", "mix_th", "mix_copies", "mix_hash")
+    chosen = mix_sources(docs, most).groupBy(F.col("doc_id").alias(kid), F.col("th").alias(kth)).agg(F.avg("copies").alias(n))
+    marked = docs.withColumn(th, F.xxhash64("text"))
+    joined = marked.join(chosen, marked["doc_id"].eqNullSafe(chosen[kid]) & (marked[th] == chosen[kth]))
+    chance = F.pmod(F.xxhash64(F.monotonically_increasing_id(), th), F.lit(1 << 30)) / float(1 << 30)
+    times = F.floor(n) + F.when(chance < F.col(n) - F.floor(n), 1).otherwise(0)
+    return joined.withColumn(n, F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(docs.columns)

@@ -4,7 +4,7 @@ Features of a text: its lower-cased words, neighbouring pairs and pairs with one
 between, each hashed to one of 2**`bits` slots and counted once. The weights are learned
 from a bounded sample of labelled rows (`sample` rows, all of them where there are fewer)
 by FTRL-proximal steps with rates for each coordinate; L1 leaves few weights, which are
-broadcast (2**bits at most) to score every text.
+broadcast as (slot, weight) pairs (2**bits at most) to score every text.
 """
 
 from __future__ import annotations
@@ -79,8 +79,8 @@ def learn(rows: list[tuple[np.ndarray, int]], bits: int, epochs: int = EPOCHS) -
     return weight(np.arange(size))
 
 
-def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SAMPLE) -> np.ndarray:
-    """Weights from `sample` labelled texts at most, those of the smallest text hashes."""
+def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, weights other than 0) from `sample` labelled texts at most, those of the smallest text hashes."""
     rows = docs.select("doc_id", "text").join(labels.select("doc_id", F.col("toxic").cast("int")).filter("toxic in (0, 1)"), "doc_id").select(F.xxhash64("text", "doc_id").alias("h"), "text", "toxic")
     share = F.lit(1.0)
     n = rows.count()
@@ -96,10 +96,8 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SA
         used = np.flatnonzero(w)
         yield pd.DataFrame({"slot": used, "weight": w[used]})
 
-    weights = np.zeros((1 << bits) + 1)
-    for r in some.coalesce(1).mapInPandas(run, "slot long, weight double").collect():  # 2**bits rows at most
-        weights[r["slot"]] = r["weight"]
-    return weights
+    got = some.coalesce(1).mapInPandas(run, "slot long, weight double").orderBy("slot").collect()  # what L1 leaves, 2**bits rows at most
+    return np.array([r["slot"] for r in got], np.int64), np.array([r["weight"] for r in got], np.float32)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1, threshold: float = 0.7, bits: int = BITS, sample: int = SAMPLE) -> DataFrame:
@@ -110,11 +108,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int =
     Null and empty texts get the bias alone; repeated rows give repeated rows; columns
     besides doc_id and text are not read.
     """
-    weights = train(docs.filter(fold(F.col("doc_id"), mod) != held), labels, bits, sample).astype(np.float32)
+    weights = train(docs.filter(fold(F.col("doc_id"), mod) != held), labels, bits, sample)
     share = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, w = Hasher(bits), share.value
+        slots, w = Hasher(bits), np.zeros((1 << bits) + 1, np.float32)
+        w[share.value[0]] = share.value[1]
         for b in batches:
             s = np.array([w[slots(t)].sum(dtype=np.float64) for t in b.column(1).to_pylist()]) + float(w[-1])
             p = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
