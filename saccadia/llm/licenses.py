@@ -1,7 +1,7 @@
 """Licence scans by diagonal voting, in DataFrame functions alone.
 
-Every two-word gram of a text is joined by its hash to the positions of that gram in a
-small table of phrases and notices. A hit at text word i and template word j votes for the
+Every two-word gram of a text is hashed, and joined by its hash to the positions of that
+gram in a small table of phrases and notices. A hit at text word i and template word j votes for the
 diagonal i - j. Votes are added up for each (document, template, diagonal); a diagonal
 with all votes of a phrase is a place of it. For longer notices neighbouring diagonals
 (a word put in or left out) are merged, and a span counts if enough of the notice's
@@ -40,42 +40,48 @@ def license_words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), NO_WORD), "")
 
 
-def _templates(spark: SparkSession, phrases: dict[str, str], notices: dict[str, str]) -> DataFrame:
+def _templates(spark: SparkSession, phrases: dict[str, str], notices: dict[str, str]) -> tuple[DataFrame, list[int]]:
+    """(template positions by the hash of their two-word gram, the distinct hashes)."""
     rows = []
     for n, (text, label) in enumerate([*phrases.items(), *notices.items()]):
         ws = text.split()
-        rows += [(n, label, n < len(phrases), len(ws) - 1, j, f"{a} {b}") for j, (a, b) in enumerate(zip(ws, ws[1:], strict=False))]
-    t = spark.createDataFrame(rows, "template int, label string, exact boolean, grams int, j int, gram string")
-    return t.withColumn("gram_hash", F.xxhash64("gram"))
+        rows += [(n, label, n < len(phrases), len(ws) - 1, j, a, b) for j, (a, b) in enumerate(zip(ws, ws[1:], strict=False))]
+    t = spark.createDataFrame(rows, "template int, label string, exact boolean, grams int, j int, first string, second string")
+    t = t.withColumn("gram", F.xxhash64("first", "second"))
+    return t, [r["gram"] for r in t.select("gram").distinct().collect()]  # a fixed table of this file
 
 
 def license_spans(docs: DataFrame, share: float = 0.75, slack: int = 2, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> DataFrame:
-    """(row, label, exact, first_word, last_word, share): verified spans, words from 0.
+    """row and n_words of each row of docs, with label, exact, first_word, last_word and share of each
+    verified span (words from 0), or nulls where it has none.
 
-    docs: row, text. Exact phrases give a row for each place; notices give spans whose
-    diagonals lie within `slack` words of each other and hold `share` of their grams.
+    docs: row (unique), text. Exact phrases give a row for each place; notices give spans whose
+    diagonals lie within `slack` words of each other and hold `share` of their grams. Texts are
+    split once; of all their rolling grams those leave the scan whose hash a template has. All
+    grouping is by row, so it shares one shuffle.
     """
-    t = F.broadcast(_templates(docs.sparkSession, phrases, notices))
+    t, known = _templates(docs.sparkSession, phrases, notices)
     # the templates are ASCII, and lower-casing other letters moves no word's edge
-    grams = docs.select("row", license_words(F.lower("text")).alias("ws")).select(
-        "row",
-        F.posexplode(F.transform(F.slice("ws", 1, F.greatest(F.size("ws") - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get("ws", i + 1)))).alias("i", "text_gram"),
-    )
-    hits = grams.join(t, (F.xxhash64("text_gram") == F.col("gram_hash")) & (F.col("text_gram") == F.col("gram")))
-    votes = hits.groupBy("row", "template", "label", "exact", "grams", (F.col("i") - F.col("j")).alias("diagonal")).agg(
+    split = docs.select("row", license_words(F.lower("text")).alias("ws"))
+    grams = F.transform("ws", lambda w, i: F.struct(F.xxhash64(w, F.get("ws", i + 1)).alias("gram"), i.alias("i"), w.alias("one"), F.get("ws", i + 1).alias("two")))
+    met = F.filter(grams, lambda g: g["gram"].isin(known))
+    hits = split.select("row", F.size("ws").cast("long").alias("n_words"), F.explode_outer(met).alias("g")).select("row", "n_words", "g.gram", "g.i", "g.one", "g.two")
+    # a hash that meets is verified by the words themselves
+    hits = hits.join(F.broadcast(t), (hits["gram"] == t["gram"]) & (hits["one"] == t["first"]) & (hits["two"] == t["second"]), "left").drop(t["gram"]).repartition("row")
+    votes = hits.groupBy("row", "n_words", "template", "label", "exact", "grams", (F.col("i") - F.col("j")).alias("diagonal")).agg(
         F.collect_set("j").alias("js"), F.min("i").alias("lo"), F.max("i").alias("hi")
     )
-    full = votes.filter("exact and size(js) = grams").select("row", "label", "exact", F.col("lo").alias("first_word"), (F.col("hi") + 1).alias("last_word"), F.lit(1.0).alias("share"))
     w = Window.partitionBy("row", "template").orderBy("diagonal")
-    far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(w) > slack, F.lit(True))
-    merged = (
-        votes.filter("not exact").withColumn("new", far.cast("int")).withColumn("island", F.sum("new").over(w))
-        .groupBy("row", "template", "label", "grams", "island")
+    # each diagonal of a phrase is a place of its own; those of a notice join their neighbours
+    apart = F.col("exact") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(w) > slack, F.lit(True))
+    spans = (
+        votes.withColumn("new", apart.cast("int")).withColumn("island", F.sum("new").over(w))
+        .groupBy("row", "n_words", "template", "label", "exact", "grams", "island")
         .agg(F.size(F.array_distinct(F.flatten(F.collect_list("js")))).alias("met"), F.min("lo").alias("first_word"), (F.max("hi") + 1).alias("last_word"))
-        .withColumn("share", F.col("met") / F.col("grams")).filter(F.col("share") >= share)
-        .select("row", "label", F.lit(False).alias("exact"), "first_word", "last_word", "share")
+        .withColumn("share", F.col("met") / F.col("grams"))
     )
-    return full.unionByName(merged)
+    good = F.when(F.col("exact"), F.col("met") == F.col("grams")).otherwise(F.col("share") >= share)
+    return spans.select("row", "n_words", *[F.when(good, F.col(c)).alias(c) for c in ("label", "exact", "first_word", "last_word", "share")])
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -84,22 +90,13 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     n_base: places of PHRASES; first_word and last_word: their smallest and largest start.
     labels adds those of NOTICES; both lists are distinct, sorted and comma-joined ('' for
     none). score: the best share of a notice or phrase met, 0 where none is. Null texts
-    count as empty. Rows that repeat doc_id and text share one row's spans and give a row
-    each; a null doc_id is a value like others; other columns are not read.
+    count as empty. Each row is scanned for itself, repeated rows and null doc_ids too; no
+    rows give no rows; other columns are not read.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.struct("doc_id", F.xxhash64("text").alias("th")))
-    # repeated rows vote on the same diagonals: their votes are sets, so they don't add up
-    spans = license_spans(rows.select("row", "text"))
+    rows = docs.select(F.struct(F.monotonically_increasing_id().alias("at"), "doc_id").alias("row"), "text")
     base = F.when(F.col("exact"), F.col("first_word"))
-    found = spans.groupBy("row").agg(
-        F.count(base).alias("n_base"), F.min(base).alias("first_word"), F.max(base).alias("last_word"),
+    return license_spans(rows).groupBy("row").agg(
+        F.first("n_words").alias("n_words"), F.count(base).alias("n_base"), F.min(base).cast("long").alias("first_word"), F.max(base).cast("long").alias("last_word"),
         F.array_join(F.sort_array(F.collect_set(F.when(F.col("exact"), F.col("label")))), ",").alias("base_labels"),
-        F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"), F.max("share").alias("score"),
-    ).withColumnRenamed("row", "r")
-    sized = rows.select("row", F.size(license_words(F.col("text"))).cast("long").alias("n_words"))
-    same = F.col("row.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("row.th") == F.col("r.th"))
-    return sized.join(found, same, "left").select(
-        F.col("row.doc_id").alias("doc_id"), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
-        F.col("first_word").cast("long"), F.col("last_word").cast("long"), F.coalesce("base_labels", F.lit("")).alias("base_labels"),
-        F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
-    )
+        F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"), F.coalesce(F.max("share"), F.lit(0.0)).alias("score"),
+    ).select("row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")

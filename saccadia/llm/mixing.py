@@ -150,14 +150,14 @@ def mixed(docs: DataFrame, most: int = 3) -> DataFrame:
 def repeat_documents(docs: DataFrame, most: int = 3) -> DataFrame:
     """documents with each row as often as the mix takes it (0 to `most` times), columns as they are.
 
-    Rows that repeat doc_id and text share the copies of all of them: each takes the whole
+    Rows that repeat doc_id, text and source share the copies of all of them: each takes the whole
     part of their mean, and one more by a chance that makes up the rest. Null texts count
     as one copy; a null source is a source; no rows give no rows.
     """
-    kid, kth, n, th = fresh(docs, "mix_id", "mix_th", "mix_copies", "mix_hash")
-    chosen = mix_sources(docs, most).groupBy(F.col("doc_id").alias(kid), F.col("th").alias(kth)).agg(F.avg("copies").alias(n))
+    kid, kth, ks, n, th = fresh(docs, "mix_id", "mix_th", "mix_source", "mix_copies", "mix_hash")
+    chosen = mix_sources(docs, most).groupBy(F.col("doc_id").alias(kid), F.col("th").alias(kth), F.col("source").alias(ks)).agg(F.avg("copies").alias(n))
     marked = docs.withColumn(th, F.xxhash64("text"))
-    joined = marked.join(chosen, marked["doc_id"].eqNullSafe(chosen[kid]) & (marked[th] == chosen[kth]))
+    joined = marked.join(chosen, marked["doc_id"].eqNullSafe(chosen[kid]) & (marked[th] == chosen[kth]) & marked["source"].eqNullSafe(chosen[ks]))
     chance = F.pmod(F.xxhash64(F.monotonically_increasing_id(), th), F.lit(1 << 30)) / float(1 << 30)
     times = F.floor(n) + F.when(chance < F.col(n) - F.floor(n), 1).otherwise(0)
     return joined.withColumn(n, F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(docs.columns)
