@@ -31,34 +31,48 @@ CHARS, ROWS, SEGMENT, ALPHABET, UNKNOWN = 160_000, 400, 2048, 62, "und"
 BATCH = 2_000_000
 
 
-def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
-    """Transitions of the automaton of all substrings of a sequence; state 0 is the root."""
-    go: list[dict[int, int]] = [{}]
-    link, size, last = [-1], [0], 0
+def suffix_automaton(codes: list[int], dense: int) -> tuple[np.ndarray, dict[int, dict[int, int]]]:
+    """Transitions of the automaton of all substrings of a sequence; state 0 is the root.
+
+    A table (state x code, -1 for none) for codes below `dense`, dicts by state for the others.
+    """
+    go, far = np.full((2 * len(codes) + 1, dense), -1, np.int32), {}
+    link, size, last, n = [-1], [0], 0, 1
+
+    def step(p, c):
+        return go.item(p, c) if c < dense else far.get(p, {}).get(c, -1)
+
+    def put(p, c, t):
+        if c < dense:
+            go[p, c] = t
+        else:
+            far.setdefault(p, {})[c] = t
+
     for c in codes:
-        cur = len(go)
-        go.append({})
+        cur, n = n, n + 1
         size.append(size[last] + 1)
         link.append(0)
         p = last
-        while p >= 0 and c not in go[p]:
-            go[p][c] = cur
+        while p >= 0 and step(p, c) < 0:
+            put(p, c, cur)
             p = link[p]
         if p >= 0:
-            q = go[p][c]
+            q = step(p, c)
             if size[q] == size[p] + 1:
                 link[cur] = q
             else:
-                twin = len(go)
-                go.append(dict(go[q]))
+                twin, n = n, n + 1
+                go[twin] = go[q]
+                if q in far:
+                    far[twin] = dict(far[q])
                 size.append(size[p] + 1)
                 link.append(link[q])
-                while p >= 0 and go[p].get(c) == q:
-                    go[p][c] = twin
+                while p >= 0 and step(p, c) == q:
+                    put(p, c, twin)
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
-    return go
+    return go[:n], far
 
 
 def plain(text: str) -> str:
@@ -76,23 +90,16 @@ class Model:
         top = [c for c, _ in sorted(Counter(text).items(), key=lambda x: (-x[1], x[0]))]
         few = ALPHABET - 2
         codes = {c: n if n < few else n - few + ALPHABET for n, c in enumerate(top)}
-        go = suffix_automaton([codes[c] for c in text])
+        here, odd = suffix_automaton([codes[c] for c in text], ALPHABET)
         self.rare = max(1, len(top) - few)
-        here, far = np.full((len(go), ALPHABET), -1, np.int32), []
-        for s, out in enumerate(go):
-            for c, t in out.items():
-                if c < ALPHABET:
-                    here[s, c] = t
-                elif s:
-                    far.append((s * self.rare + c - ALPHABET, t))
         root = np.maximum(here[0], 0) * (2 * ALPHABET) + 1
-        here *= 2 * ALPHABET
-        self.step = np.where(here >= 0, here, root)
-        self.step[0] = root
-        self.step = self.step.ravel()
-        far = np.array(sorted(far), np.int64).reshape(-1, 2)
+        here = here * (2 * ALPHABET)
+        np.copyto(here, root, where=here < 0)
+        here[0] = root
+        self.step = here.ravel()
+        far = np.array(sorted((s * self.rare + c - ALPHABET, t) for s, out in odd.items() if s for c, t in out.items()), np.int64).reshape(-1, 2)
         self.keys, self.targets = far[:, 0].copy(), far[:, 1].copy()
-        self.from_root = np.array([go[0].get(ALPHABET + n, 0) for n in range(self.rare)], np.int64)
+        self.from_root = np.array([odd.get(0, {}).get(ALPHABET + n, 0) for n in range(self.rare)], np.int64)
         self.of = np.array([codes.get(c, few) for c in letters] + [few], np.int32)
 
     def move(self, state: np.ndarray, ids: np.ndarray) -> np.ndarray:

@@ -269,7 +269,7 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     Sets are linked where their Jaccard similarity is at least `similarity`, verified on the
     sets. Candidates agree in one of PARTS segments of a fingerprint but for one bit; the
     segments grow with the number of sets, so buckets stay thin. Members of long runs are
-    linked to the run's first node, then to others chosen by chance, and those that are
+    linked to the run's first node, then to another chosen by chance, and those that are
     still in different components are compared with one another.
     """
     spark = docs.sparkSession
@@ -277,13 +277,11 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     nodes = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"), F.min("fp").alias("fp"))
     nodes = written(nodes, "nodes")
     bits = min(32, max(12, math.ceil(math.log2(max(nodes.count(), 1))) + 4))
-    mask, keys = (1 << bits) - 1, []
-    for n in range(PARTS):
-        seg = F.shiftrightunsigned(F.element_at("fp", n // 2 + 1), 32 * (n % 2)).bitwiseAND(mask)
-        for k in range(bits):
-            keys.append(seg.bitwiseAND(mask & ~(1 << k)).bitwiseOR(F.lit((n * 32 + k) << 33)))
+    # segment n is `bits` bits of a half word; key (n, k) leaves out its bit k
+    half, mask = "shiftrightunsigned(fp[n div 2], 32 * (n % 2))", f"{(1 << bits) - 1}L"
+    keys = F.expr(f"flatten(transform(sequence(0, {PARTS - 1}), n -> transform(sequence(0, {bits - 1}), k -> ({half} & {mask} & ~shiftleft(1L, k)) | shiftleft(cast(n * 32 + k as bigint), 33))))")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    v = nodes.select("node", "fp").repartition(tasks, "node").select(F.explode(F.array(*keys)).alias("key"), "node")
+    v = nodes.select("node", "fp").repartition(tasks, "node").select(F.explode(keys).alias("key"), "node")
     met = written(v.repartitionByRange(2 * tasks, "key", "node").sortWithinPartitions("key", "node").mapInArrow(_met, "kind int, key long, a long, b long"), "met")
     edge = met.filter("kind = 2").select("key", "a")
     over = edge.join(edge.withColumnRenamed("a", "b"), "key").filter("a < b").select("a", "b")
@@ -291,12 +289,12 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     one_each = rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("sh").alias("sh"))
     links = _similar(pairs, one_each, similarity)
     runs = met.filter("kind = 1").select("key", F.col("a").alias("node"))
-    for turn in range(3):
+    for turn in range(2):
         roots = components(links)
         root = F.coalesce("root", "node").alias("root")
         known = runs.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("key", "node", root)
         split = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("pivot")).filter("lo <> hi")
-        if turn < 2:
+        if turn < 1:
             more = known.join(split, "key").filter(F.col("root") != F.col("pivot.root")).select(F.col("pivot.node").alias("x"), F.col("node").alias("y"))
         else:
             left = known.join(split.select("key"), "key", "left_semi")
@@ -309,7 +307,7 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
         found = _similar(more, one_each, similarity)
         old, links = links, written(links.unionByName(found), "links")
         released(old, found, more)
-        if turn == 2:
+        if turn == 1:
             roots = components(links)
     return nodes.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", F.coalesce("root", "node").alias("root"), "first")
 
