@@ -53,8 +53,21 @@ class Setup:
         if min(self.width, self.height, self.width_mm, self.height_mm) <= 0 or (self.d is not None and self.d <= 0):
             raise ValueError("sizes and distances must be positive")
 
-    def update(self, **changes) -> Setup:
-        return replace(self, **changes)
+    def update(self, distance=None, camera=None, **changes) -> Setup:
+        """The setup with some settings changed, angles and lengths as in `of`; a new distance or offset gives a new d."""
+        for k in changes:
+            if k in ("dx", "dy", "d", "width_mm", "height_mm", "r"):
+                changes[k] = parse_distance(changes[k]) if changes[k] is not None else None
+            elif k in ("pitch", "yaw", "theta", "phi"):
+                changes[k] = parse_angle(changes[k]) if changes[k] is not None else None
+        if distance is None and self.d is not None and {"dx", "dy"} & set(changes) and "d" not in changes:
+            distance = math.sqrt(self.d**2 + self.dx**2 + self.dy**2)
+        out = replace(self, **changes)
+        if distance is not None or camera is not None:
+            new = Setup.of(out.width, out.height, out.width_mm, out.height_mm, distance, (out.dx, out.dy), (out.pitch, out.yaw), camera)
+            out = replace(out, **({"d": new.d} if distance is not None else {}), **({"r": new.r, "theta": new.theta, "phi": new.phi} if camera is not None else {}))
+        out.validate()
+        return out
 
     def camera_position(self) -> tuple[float, float, float]:
         s = self.r * math.sin(self.theta)

@@ -32,29 +32,36 @@ def butterworth(order: int, cutoff: float, fs: float) -> tuple[np.ndarray, np.nd
     return np.real(b * a.sum() / b.sum()), a
 
 
-def _iir(b, a, x, state):
-    out = np.empty_like(x)
-    z = state.copy()
-    for n, v in enumerate(x):
-        out[n] = y = b[0] * v + z[0]
-        z[:-1] = b[1:-1] * v + z[1:] - a[1:-1] * y
-        z[-1] = b[-1] * v - a[-1] * y
+def decay(a: np.ndarray, to: float = 1e-12) -> int:
+    """Samples until the filter's response has died down to `to` of its size."""
+    r = np.abs(np.roots(a)).max(initial=0.0)
+    return 1 if r <= 0 else int(np.ceil(np.log(to) / np.log(min(r, 1 - 1e-9)))) + len(a)
+
+
+def impulse(b: np.ndarray, a: np.ndarray, n: int) -> np.ndarray:
+    """The first n values of the filter's impulse response."""
+    out = np.zeros(n)
+    for k in range(n):
+        out[k] = (b[k] if k < len(b) else 0.0) - sum(a[j] * out[k - j] for j in range(1, min(k, len(a) - 1) + 1))
     return out
 
 
+def _causal(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """x through the response h, as if x[0] had stood for ever before: one product of spectra."""
+    long = np.concatenate([np.full(len(h), x[0]), x])
+    n = 1 << (len(long) + len(h)).bit_length()
+    return np.fft.irfft(np.fft.rfft(long, n) * np.fft.rfft(h, n), n)[len(h) : len(long)]
+
+
 def zero_phase(b, a, x) -> np.ndarray:
     """Forward and backward pass with odd extension and steady-state starts."""
     n = len(a) - 1
     pad = min(3 * (n + 1), len(x) - 1)
     if pad < 1:
         return np.array(x, float)
+    h = impulse(np.asarray(b), np.asarray(a), decay(np.asarray(a)))
     long = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
-    companion = np.zeros((n, n))
-    companion[:, 0] = -a[1:]
-    companion[:-1, 1:] = np.eye(n - 1)
-    start = np.linalg.solve(np.eye(n) - companion, b[1:] - a[1:] * b[0])
-    y = _iir(b, a, long, start * long[0])
-    y = _iir(b, a, y[::-1], start * y[-1])[::-1]
+    y = _causal(h, _causal(h, long)[::-1])[::-1]
     return y[pad : len(y) - pad]
 
 
@@ -62,13 +69,13 @@ def lowpass(x, cutoff, fs, order=2) -> np.ndarray:
     return zero_phase(*butterworth(order, cutoff, fs), np.asarray(x, float))
 
 
-def lowpass_gaps(x, cutoff, fs, order=2, rounds=5) -> np.ndarray:
-    """Low-pass of a signal with NaN gaps, refilled from the last result each round."""
+def lowpass_gaps(x, cutoff, fs, order=2, rounds=5, mean=None) -> np.ndarray:
+    """Low-pass of a signal with NaN gaps, filled with the mean and refilled from the last result each round."""
     x = np.asarray(x, float)
     gap = np.isnan(x)
-    if gap.all():
+    if gap.all() and mean is None:
         return x.copy()
-    y = np.where(gap, x[~gap].mean(), x)
+    y = np.where(gap, x[~gap].mean() if mean is None else mean, x)
     for _ in range(rounds if gap.any() else 0):
         y = np.where(gap, lowpass(y, cutoff, fs, order), x)
     return lowpass(y, cutoff, fs, order)
@@ -87,51 +94,129 @@ def kernel_duration(npar, tmax, least=1e-8, step=1.0) -> float:
     return t
 
 
-def bspline_basis(t, knots, degree=3) -> np.ndarray:
-    """Basis matrix by the recursion over degrees; knots with repeated ends."""
+def local_basis(t, knots, degree=3) -> tuple[np.ndarray, np.ndarray]:
+    """(first, values): of each t the degree + 1 B-splines that aren't zero there, from column `first` on."""
     t, knots = np.asarray(t, float), np.asarray(knots, float)
-    last = np.flatnonzero(knots < knots[-1])[-1]
-    b = np.stack([(t >= knots[i]) & ((t < knots[i + 1]) | ((i == last) & (t <= knots[-1]))) for i in range(len(knots) - 1)], 1).astype(float)
+    n = len(knots) - degree - 1
+    j = np.clip(np.searchsorted(knots, t, "right") - 1, degree, n - 1)
+    v = np.zeros((len(t), degree + 1))
+    v[:, 0] = 1
     for k in range(1, degree + 1):
-        new = np.zeros((len(t), len(knots) - 1 - k))
-        for i in range(new.shape[1]):
-            for at, lo, hi, sign in ((i, knots[i], knots[i + k], 1), (i + 1, knots[i + k + 1], knots[i + 1], -1)):
-                if hi != lo:
-                    new[:, i] += b[:, at] * (t - lo) / (hi - lo)
-        b = new
-    return b
+        carry = np.zeros(len(t))
+        for r in range(k):
+            lo, hi = knots[j + r + 1 - k], knots[j + r + 1]
+            w = np.divide(v[:, r], hi - lo, out=np.zeros(len(t)), where=hi > lo)
+            v[:, r] = carry + (hi - t) * w
+            carry = (t - lo) * w
+        v[:, k] = carry
+    return j - degree, v
+
+
+def bspline_basis(t, knots, degree=3) -> np.ndarray:
+    """Basis matrix; knots with repeated ends."""
+    first, v = local_basis(t, knots, degree)
+    out = np.zeros((len(v), len(knots) - degree - 1))
+    for k in range(degree + 1):
+        out[np.arange(len(v)), first + k] += v[:, k]
+    return out
 
 
 def clamped_knots(lo, hi, per_second=1.0) -> np.ndarray:
+    """At least two knots between the ends, evenly spaced, and each end four times."""
     n = max(int(np.ceil((hi - lo) / 1000 * per_second)), 2)
-    return np.concatenate([[lo] * 3, np.linspace(lo, hi, n), [hi] * 3])
-
-
-def nonnegative(a, y, rounds=None) -> np.ndarray:
-    """Non-negative least squares by active sets."""
-    n = a.shape[1]
-    x, free = np.zeros(n), np.zeros(n, bool)
-    for _ in range(rounds or 3 * n):
-        w = a.T @ (y - a @ x)
-        w[free] = -np.inf
-        j = int(np.argmax(w)) if n else 0
-        if not n or w[j] <= 1e-9:
+    return np.concatenate([[lo] * 4, np.linspace(lo, hi, n + 2)[1:-1], [hi] * 4])
+
+
+def banded_normal(first, v, weight, y, n) -> tuple[np.ndarray, np.ndarray]:
+    """(diagonals 0..degree of the weighted normal matrix, right side) of a local basis."""
+    width = v.shape[1]
+    band, rhs = np.zeros((width, n)), np.zeros(n)
+    for a in range(width):
+        rhs += np.bincount(first + a, v[:, a] * weight * y, n)[:n]
+        for b in range(a, width):
+            band[b - a] += np.bincount(first + a, v[:, a] * v[:, b] * weight, n)[:n]
+    return band, rhs
+
+
+def banded_solve(band, rhs) -> np.ndarray:
+    """Solves a symmetric positive system given by its diagonals 0, 1, ... (band[d][i] is entry (i, i + d))."""
+    width, n = band.shape
+    low, x = np.zeros((n, width)), np.array(rhs, float)
+    for i in range(n):
+        for d in range(min(width - 1, i), -1, -1):
+            k = i - d
+            first = max(0, i - width + 1, k - width + 1)
+            s = band[d][k] - sum(low[i, i - m] * low[k, k - m] for m in range(first, k))
+            low[i, d] = np.sqrt(max(s, 1e-300)) if d == 0 else s / low[k, 0]
+        x[i] = (x[i] - sum(low[i, d] * x[i - d] for d in range(1, min(width - 1, i) + 1))) / low[i, 0]
+    for i in range(n - 1, -1, -1):
+        x[i] = (x[i] - sum(low[i + d, d] * x[i + d] for d in range(1, min(width - 1, n - 1 - i) + 1))) / low[i, 0]
+    return x
+
+
+def banded_mean(first, v, coef) -> np.ndarray:
+    """Values of the spline."""
+    return sum(v[:, k] * coef[first + k] for k in range(v.shape[1]))
+
+
+def nonnegative(a, y) -> np.ndarray:
+    """Non-negative least squares of a dense matrix."""
+    a = np.asarray(a, float)
+    return nonnegative_gram([{j: float(v) for j, v in enumerate(row)} for row in a.T @ a], a.T @ y)
+
+
+def nonnegative_gram(gram: list[dict[int, float]], b, rounds: int = 5000, tolerance: float = 1e-12) -> np.ndarray:
+    """Non-negative least squares from the sparse rows of the normal matrix, one coordinate at a time."""
+    x = np.zeros(len(gram))
+    for _ in range(rounds):
+        moved = 0.0
+        for j, row in enumerate(gram):
+            if row.get(j, 0.0) > 0:
+                new = max(0.0, x[j] + (b[j] - sum(v * x[k] for k, v in row.items())) / row[j])
+                moved = max(moved, abs(new - x[j]))
+                x[j] = new
+        if moved <= tolerance * max(1.0, np.abs(x).max(initial=0.0)):
             break
-        free[j] = True
-        while True:
-            s = np.zeros(n)
-            s[free] = np.linalg.lstsq(a[:, free], y, rcond=None)[0]
-            bad = free & (s <= 0)
-            if not bad.any():
-                x = s
-                break
-            step = np.min(x[bad] / np.maximum(x[bad] - s[bad], 1e-300))
-            x = x + step * (s - x)
-            free &= x > 1e-12
-            x[~free] = 0
     return x
 
 
+def response_fit(t, y, onsets, npar, tmax) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, prediction): non-negative weights of a response to each onset.
+
+    A response is only worked out while it lasts, and only overlapping ones meet.
+    """
+    last, order = kernel_duration(npar, tmax), np.argsort(onsets, kind="stable")
+    on = np.asarray(onsets, float)[order]
+    lo, hi = np.searchsorted(t, on, "left"), np.searchsorted(t, on + last, "right")
+    h = [pupil_kernel(t[a:b] - o, npar, tmax) for a, b, o in zip(lo, hi, on, strict=True)]
+    rhs, gram = np.array([k @ y[a:b] for k, a, b in zip(h, lo, hi, strict=True)]), [{} for _ in on]
+    for i in range(len(on)):
+        j = i
+        while j < len(on) and (lo[j] < hi[i] or j == i):
+            a, b = lo[j], min(hi[i], hi[j])
+            gram[i][j] = gram[j][i] = float(h[i][a - lo[i] : b - lo[i]] @ h[j][: b - a]) if b > a else 0.0
+            j += 1
+    x, pred = nonnegative_gram(gram, rhs), np.zeros(len(t))
+    for w, k, a, b in zip(x, h, lo, hi, strict=True):
+        pred[a:b] += w * k
+    out = np.zeros(len(on))
+    out[order] = x
+    return out, pred
+
+
+def shrinking_grid(f, lo, hi, sizes, rounds=6) -> np.ndarray:
+    """The place of the least f in a box, on a grid that shrinks around its best point."""
+    lo, hi = np.array(lo, float), np.array(hi, float)
+    low, high, best = lo.copy(), hi.copy(), None
+    for _ in range(rounds):
+        axes = [np.linspace(a, b, n) if b > a else np.array([a]) for a, b, n in zip(low, high, sizes, strict=True)]
+        points = np.stack(np.meshgrid(*axes, indexing="ij"), -1).reshape(-1, len(axes))
+        best = min(points, key=lambda p: f(*p))
+        half = (high - low) / 6
+        low, high = np.maximum(best - half, lo), np.minimum(best + half, hi)
+    return best
+
+
 def golden(f, lo, hi, rounds=40) -> float:
     g = (np.sqrt(5) - 1) / 2
     a, b = hi - g * (hi - lo), lo + g * (hi - lo)
@@ -160,27 +245,45 @@ def troughs(x) -> tuple[np.ndarray, np.ndarray]:
         if j < len(x) - 1 and x[i - 1] > x[i] < x[j + 1]:
             found.append((i + j) // 2)
         i = j + 1
-    prom = []
-    for k in found:
-        left = x[:k][::-1]
-        right = x[k + 1 :]
-        lo_l, lo_r = np.flatnonzero(left < x[k]), np.flatnonzero(right < x[k])
-        prom.append(min(left[: lo_l[0] if len(lo_l) else None].max(), right[: lo_r[0] if len(lo_r) else None].max()) - x[k])
-    return np.array(found, int), np.array(prom)
+    # how high the signal rises on each side before it falls below the trough: stacks of falling values
+    k = np.array(found, int)
+    return k, np.minimum(_rise(x, k), _rise(x[::-1], len(x) - 1 - k)) - x[k] if len(k) else np.zeros(0)
+
+
+def _rise(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each place the largest value to its left, back to the last smaller one."""
+    want, out, stack = set(at.tolist()), {}, []
+    for i, v in enumerate(x.tolist()):
+        top = -np.inf
+        while stack and stack[-1][0] >= v:
+            low, high = stack.pop()
+            top = max(top, low, high)
+        if i in want:
+            out[i] = top
+        stack.append((v, top))
+    return np.array([out[i] for i in at.tolist()])
 
 
 def cubic_spline(x, y, at) -> np.ndarray:
-    """Natural cubic spline through (x, y)."""
+    """Cubic spline through (x, y) whose third derivative goes on at the second and the last but one knot."""
     x, y, at = (np.asarray(v, float) for v in (x, y, at))
     n, h = len(x), np.diff(x)
-    if n < 3:
-        return np.interp(at, x, y)
-    m = np.eye(n)
-    rhs = np.zeros(n)
-    for i in range(1, n - 1):
-        m[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        rhs[i] = 6 * ((y[i + 1] - y[i]) / h[i] - (y[i] - y[i - 1]) / h[i - 1])
-    c = np.linalg.solve(m, rhs)
+    if n < 4:
+        return np.polyval(np.polyfit(x, y, n - 1), at)
+    rhs = 6 * np.diff(np.diff(y) / h)
+    low, mid, up = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy()
+    for e, o, off in ((0, 1, up), (-1, -2, low)):
+        mid[e] += h[e] * (1 + h[e] / h[o])
+        off[e] -= h[e] * h[e] / h[o]
+    for i in range(1, n - 2):
+        f = low[i] / mid[i - 1]
+        mid[i] -= f * up[i - 1]
+        rhs[i] -= f * rhs[i - 1]
+    c = np.zeros(n)
+    for i in range(n - 3, -1, -1):
+        c[i + 1] = (rhs[i] - (up[i] * c[i + 2] if i < n - 3 else 0)) / mid[i]
+    c[0] = c[1] + (c[1] - c[2]) * h[0] / h[1]
+    c[-1] = c[-2] + (c[-2] - c[-3]) * h[-1] / h[-2]
     k = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 2)
     a, b = (x[k + 1] - at) / h[k], (at - x[k]) / h[k]
     return a * y[k] + b * y[k + 1] + ((a**3 - a) * c[k] + (b**3 - b) * c[k + 1]) * h[k] ** 2 / 6

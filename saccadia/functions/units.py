@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 #: Accepted names of each unit; None is the sample index. Fixed values.
 ALIASES: dict[str | None, tuple[str, ...]] = {
-    "ms": ("ms", "msec", "millisecond", "milliseconds"),
+    "ms": ("ms", "millisecond", "milliseconds"),
     "sec": ("s", "sec", "secs", "second", "seconds"),
     "min": ("m", "min", "mins", "minute", "minutes"),
     "h": ("h", "hr", "hrs", "hour", "hours"),
-    None: ("samples", "sample", "index", "indices"),
+    None: ("index", "indices", "idx", "sample", "samples"),
 }
 #: Units in a millisecond.
 PER_MS = {"ms": 1.0, "sec": 1 / 1e3, "min": 1 / 6e4, "h": 1 / 3.6e6}

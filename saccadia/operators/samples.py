@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from saccadia.functions.kernels import smoothing_weights
+from saccadia.functions.units import to_unit
 
 
 def by():
@@ -56,6 +57,21 @@ def reset_time(df: DataFrame, t0: float | None = None) -> DataFrame:
     return df.withColumn("t_ms", F.col("t_ms") - (F.min("t_ms").over(by()) if t0 is None else t0))
 
 
+def reset_time_with(df: DataFrame, events: DataFrame, t0: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """samples and events moved alike: by t0, or so that each recording's first sample is at 0."""
+    if t0 is not None:
+        return reset_time(df, t0), reset_time(events, t0)
+    start = df.groupBy("recording_id").agg(F.min("t_ms").alias("_t0"))
+    return reset_time(df), events.join(start, "recording_id").withColumn("t_ms", F.col("t_ms") - F.col("_t0")).drop("_t0")
+
+
+def duration(df: DataFrame, unit: str = "min") -> DataFrame:
+    """recording_id, step_ms (the median time step), duration: samples times the step."""
+    step = df.withColumn("step", F.col("t_ms") - F.lag("t_ms").over(ordered()))
+    a = step.groupBy("recording_id").agg(F.median("step").alias("step_ms"), F.count("*").alias("n"))
+    return a.select("recording_id", "step_ms", to_unit(F.col("n") * F.col("step_ms"), unit).alias("duration"))
+
+
 def sampling_rate(df: DataFrame) -> DataFrame:
     """recording_id, fs: 1000 over the median time step, rounded."""
     step = df.withColumn("step", F.col("t_ms") - F.lag("t_ms").over(ordered()))
@@ -94,12 +110,20 @@ def downsample(df: DataFrame, signals: list[str], by: int) -> DataFrame:
     return df.groupBy("recording_id", block.alias("i")).agg(*aggs)
 
 
-def merge_eyes(df: DataFrame, left: str, right: str, out: str) -> DataFrame:
-    """Mean of the unmasked eyes; masked only where both are."""
+def downsample_to(df: DataFrame, signals: list[str], fs: float, target: float) -> DataFrame:
+    """downsample() by the whole part of fs over the target rate."""
+    if target > fs:
+        raise ValueError("the target rate is over the recording's")
+    return downsample(df, signals, int(fs / target))
+
+
+def merge_eyes(df: DataFrame, left: str, right: str, out: str, keep: bool = True) -> DataFrame:
+    """Mean of the unmasked eyes; masked only where both are. `keep` keeps the eyes."""
     a, b = visible(left), visible(right)
     n = a.isNotNull().cast("int") + b.isNotNull().cast("int")
     mean = (F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0))) / n
-    return df.withColumns({out: F.when(n > 0, mean), mask_of(out): n == 0})
+    done = df.withColumns({out: F.when(n > 0, mean), mask_of(out): n == 0})
+    return done if keep else done.drop(left, right, mask_of(left), mask_of(right))
 
 
 def merge_masks(df: DataFrame, signals: list[str]) -> DataFrame:
@@ -120,43 +144,56 @@ def fill_gaps(df: DataFrame, signals: list[str], wide: float = 2.0) -> DataFrame
     return indexed(keep.unionByName(rows), "t_ms")
 
 
-def fir(signal: str, weights: list[float], first: int, edge: str = "repeat") -> Column:
-    """Sum of weights[k] * sample[i + first + k]; beyond the ends the edge sample, or its mirror image.
+def fir(signal: str, weights: list[float], first: int) -> Column:
+    """Sum of weights[k] * sample[i + first + k]; beyond the ends the edge sample. Null where a sample in the window is null."""
+    n = F.count("*").over(by())
+    whole = ordered().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    head, tail = F.first(signal).over(whole), F.last(signal).over(whole)
+
+    def at(k):
+        v = F.lead(signal, k).over(ordered()) if k >= 0 else F.lag(signal, -k).over(ordered())
+        return F.when(F.col("i") + k < 0, head).when(F.col("i") + k > n - 1, tail).otherwise(v)
 
-    Null where a sample in the window is null.
+    return reduce(lambda x, y: x + y, [w * at(first + k) for k, w in enumerate(weights)])
+
+
+def mirrored_fir(df: DataFrame, signal: str, weights: list[float], out: str) -> DataFrame:
+    """Centred weights over the samples and their mirror image beyond both ends: the few rows that the
+    windows at the ends reach are added once, then each weight is one lag or lead."""
+    reach, i = len(weights) // 2, F.col("i")
+    n = F.count("*").over(by())
+    places = F.array_compact(F.array(i, F.when((i >= 1) & (i <= reach), -i), F.when((i <= F.col("_n") - 2) & (i >= F.col("_n") - 1 - reach), 2 * (F.col("_n") - 1) - i)))
+    rows = df.withColumn("_n", n).withColumn("_j", F.explode(places))
+    w = by().orderBy("_j")
+    at = lambda k: F.lead(signal, k).over(w) if k >= 0 else F.lag(signal, -k).over(w)
+    value = reduce(lambda x, y: x + y, [c * at(k - reach) for k, c in enumerate(weights)])
+    return rows.withColumn("_value", value).filter("_j = i").withColumn(out, F.col("_value")).drop("_n", "_j", "_value")
+
+
+def smooth(df: DataFrame, signal: str, length: int, shape: str = "hanning", direction: str = "center", strict: bool = True) -> DataFrame:
+    """Smoothing by a normalised window: centred with mirrored ends, or over the past or future with the edge repeated.
+
+    A centred window of even length leans to the past. Windows under 3 change nothing. A missing sample, or a
+    recording shorter than the window, is an error when the result is read; unless `strict`, a window with a
+    missing sample gives null.
     """
-    n, last = F.count("*").over(by()), len(weights) - 1 + first
-    head, tail = F.first(signal).over(ordered().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.last(signal).over(ordered().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    if edge == "mirror":
-        reach = max(abs(first), abs(last))
-
-        def at(k):
-            # sample -j mirrors j, and n - 1 + j mirrors n - 1 - j; both lie in reach of the row
-            j = F.abs(F.col("i") + k)
-            away = F.when(j > n - 1, 2 * (n - 1) - j).otherwise(j) - F.col("i")
-            near = [(m, F.lag(signal, -m).over(ordered()) if m < 0 else F.lead(signal, m).over(ordered())) for m in range(-reach, reach + 1)]
-            return F.coalesce(*[F.when(away == m, v) for m, v in near])
-
-        terms = [w * at(first + k) for k, w in enumerate(weights)]
-    else:
-        def at(k):
-            v = F.lead(signal, k).over(ordered()) if k >= 0 else F.lag(signal, -k).over(ordered())
-            return F.when(F.col("i") + k < 0, head).when(F.col("i") + k > n - 1, tail).otherwise(v)
-
-        terms = [w * at(first + k) for k, w in enumerate(weights)]
-    return reduce(lambda x, y: x + y, terms)
-
-
-def smooth(df: DataFrame, signal: str, length: int, shape: str = "hanning", direction: str = "center") -> DataFrame:
-    """Smoothing by a normalised window: centred with mirrored ends, or over the past or future with the edge repeated."""
+    if direction not in ("center", "backward", "forward"):
+        raise ValueError("direction is 'center', 'backward' or 'forward'")
+    if length < 3:
+        return df
     w = smoothing_weights(shape, length)
+    if strict:
+        short = F.count("*").over(by()) < length
+        bad = F.when(F.col(signal).isNull(), F.lit("a missing sample")).when(short, F.lit("a recording shorter than the window"))
+        df = df.withColumn(signal, F.when(bad.isNotNull(), F.raise_error(bad).cast("double")).otherwise(F.col(signal)))
     if direction == "center":
-        value = fir(signal, w, -(length // 2), "mirror")
-    elif direction == "backward":
-        value = fir(signal, w, -(length - 1))
-    else:
-        value = fir(signal, w, 0)
-    return df.withColumn(signal, value)
+        return mirrored_fir(df, signal, w if length % 2 else [*w, 0.0], signal)
+    return df.withColumn(signal, fir(signal, w, -(length - 1) if direction == "backward" else 0))
+
+
+def smooth_ms(df: DataFrame, signal: str, fs: float, width_ms: float = 11, shape: str = "hanning", direction: str = "center") -> DataFrame:
+    """smooth() with a window in milliseconds, rounded up to samples; the mask stays."""
+    return smooth(df, signal, -int(-width_ms / 1000 * fs // 1), shape, direction)
 
 
 def filled_linear(df: DataFrame, signal: str, out: str) -> DataFrame:
