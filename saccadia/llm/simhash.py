@@ -14,6 +14,7 @@ only members of different components, met again on a finer key, are compared.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -27,8 +28,9 @@ from saccadia.llm.common import components, fresh, released, written
 
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 DENSE = 48
-#: The pipeline's stage: 64-bit words of a fingerprint, segments (two a word at most), its widest difference, runs paired in full.
-WORDS, PARTS, FAR, THIN = 7, 14, 110, 8
+#: The pipeline's stage: 64-bit words of a fingerprint, segments (two a word, from the first words), its widest difference
+#: (two sds over what a similarity of 0.8 has), that of the 32 bits in a node, runs paired in full.
+WORDS, PARTS, FAR, NODE_FAR, THIN = 16, 14, 178, 12, 8
 
 
 LANES = np.uint64(0x0101010101010101)
@@ -221,7 +223,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(2, key[i], node[i], node[i])
 
     def close(k, a, b):
-        few = np.bitwise_count((a ^ b).view(np.uint64) >> np.uint64(32)) <= 14
+        few = np.bitwise_count((a ^ b).view(np.uint64) >> np.uint64(32)) <= NODE_FAR
         return rows(0, k[few], np.minimum(a, b)[few], np.maximum(a, b)[few])
 
     for b in batches:
@@ -247,20 +249,35 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(2, np.array([open_key]), one, one)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs (a, b) those whose shingle sets are similar: first by fingerprints, then by the sets."""
-    fps = sets.select("node", "fp")
-    x, y = fps.toDF("a", "fa"), fps.toDF("b", "fb")
-    apart = F.aggregate(F.zip_with("fa", "fb", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, v: s + v)
-    near = written(pairs.join(x, "a").join(y, "b").filter(apart <= FAR).select("a", "b"), "candidates")
+def _prints_close(a, b):
+    """Whether two fingerprints differ in few enough bits for similar sets."""
+    return functools.reduce(lambda s, v: s + v, [F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(WORDS)]) <= FAR
+
+
+def _nodes_close(a, b):
+    """The same, roughly, of the bits in two nodes."""
+    return F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), 32)) <= NODE_FAR
+
+
+def _first_met(key, a, b, bits: int):
+    """Whether `key` is the first one that two fingerprints share, so that a pair is looked at once."""
+    tag = F.shiftright(key, 33)
+    n, k = F.shiftright(tag, 5), tag.bitwiseAND(31)
+    seg = lambda fp, m: F.shiftrightunsigned(F.get(fp, F.lit(m // 2)), 32 * (m % 2)).bitwiseAND((1 << bits) - 1)
+    differ = [F.bit_count(seg(a, m).bitwiseXOR(seg(b, m))) for m in range(PARTS)]
+    none_before = functools.reduce(lambda s, v: s & v, [(F.lit(m) >= n) | (d > 1) for m, d in enumerate(differ)])
+    equal = functools.reduce(lambda s, v: s | v, [(F.lit(m) == n) & (d == 0) for m, d in enumerate(differ)])
+    return none_before & ((k == 0) | ~equal)
+
+
+def _similar(near: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (a, b) with close fingerprints those whose shingle sets are similar."""
     need = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     full = sets.join(need, "node", "left_semi").select("node", "sh")
     both = F.size(F.array_intersect("sa", "sb"))
     pair = near.join(full.toDF("a", "sa"), "a").join(full.toDF("b", "sb"), "b")
     # two empty sets (texts without words) are one node, so no sum is 0
-    out = written(pair.filter(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "similar")
-    released(near)
-    return out
+    return written(pair.filter(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "similar")
 
 
 def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -286,21 +303,25 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     edge = met.filter("kind = 2").select("key", "a")
     over = edge.join(edge.withColumnRenamed("a", "b"), "key").filter("a < b").select("a", "b")
     pairs = met.filter("kind = 0").select("a", "b").unionByName(over).distinct()
-    one_each = rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("sh").alias("sh"))
-    links = _similar(pairs, one_each, similarity)
-    runs = met.filter("kind = 1").select("key", F.col("a").alias("node"))
+    fps = nodes.select("node", "fp")
+    near = written(pairs.join(fps.toDF("a", "fa"), "a").join(fps.toDF("b", "fb"), "b").filter(_prints_close(F.col("fa"), F.col("fb"))).select("a", "b"), "candidates")
+    one_each = rows.groupBy("node").agg(F.min("sh").alias("sh"))
+    links = _similar(near, one_each, similarity)
+    runs = written(met.filter("kind = 1").select("key", F.col("a").alias("node")).join(fps, "node"), "long-runs")
+    released(near)
     for turn in range(2):
         roots = components(links)
-        root = F.coalesce("root", "node").alias("root")
-        known = runs.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("key", "node", root)
-        split = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("pivot")).filter("lo <> hi")
+        known = runs.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("key", "node", "fp", F.coalesce("root", "node").alias("root"))
+        split = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by(F.struct("node", "root", "fp"), F.xxhash64("node", F.lit(turn))).alias("pivot")).filter("lo <> hi")
         if turn < 1:
-            more = known.join(split, "key").filter(F.col("root") != F.col("pivot.root")).select(F.col("pivot.node").alias("x"), F.col("node").alias("y"))
+            x, y = [F.col(f"pivot.{c}") for c in ("node", "root", "fp")], [F.col(c) for c in ("node", "root", "fp")]
+            more = known.join(split, "key").filter((x[1] != y[1]) & _nodes_close(x[0], y[0]) & _prints_close(x[2], y[2]))
         else:
             left = known.join(split.select("key"), "key", "left_semi")
-            more = left.alias("l").join(left.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.root") < F.col("r.root"))).select(F.col("l.node").alias("x"), F.col("r.node").alias("y"))
-        far = F.bit_count(F.shiftrightunsigned(F.col("x").bitwiseXOR(F.col("y")), 32)) > 14
-        more = written(more.filter(~far).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "more")
+            x, y = ([F.col(f"{t}.{c}") for c in ("node", "root", "fp")] for t in "lr")
+            met_once = _nodes_close(x[0], y[0]) & _first_met(F.col("l.key"), x[2], y[2], bits) & _prints_close(x[2], y[2])
+            more = left.alias("l").join(left.alias("r"), (F.col("l.key") == F.col("r.key")) & (x[1] < y[1]) & met_once)
+        more = written(more.select(F.least(x[0], y[0]).alias("a"), F.greatest(x[0], y[0]).alias("b")).distinct(), "more")
         if more.isEmpty():
             released(more)
             break
