@@ -338,3 +338,28 @@ def test_streams(spark, tmp_path):
         q.awaitTermination(60)
         time.sleep(0.1)
     assert {r["v"] for r in spark.table("means").collect()} == {0.0, None, 2.0, 3.0}
+
+
+def test_small_kernels_and_setups():
+    last = K.kernel_duration(10.1, 930.0)
+    assert K.pupil_kernel(np.array([last]))[0] <= 1e-8 < K.pupil_kernel(np.array([last - 1]))[0]
+    s = geo.Setup.of(1000, 800, 500, 400, 600, camera=(30, -400, 450))
+    assert s.camera_position() == pytest.approx((30, -400, 450)) and geo.Setup.from_dict(s.to_dict()) == s and s.is_complete()
+    with pytest.raises(ValueError):
+        geo.Setup.of(1000, 800, 500, 400, 10, offset=(20, 0))
+
+
+def test_rectangle_from_angles(spark):
+    from saccadia.functions.rois import Rectangle
+
+    s = geo.Setup.of(1000, 1000, 500, 500, 600)
+    box = Rectangle.from_degrees(("-5 deg", "-5 deg"), ("5 deg", "5 deg"), s)
+    side = 600 * np.tan(np.radians(5)) * 2
+    got_ = spark.range(1).select(box.contains(F.lit(500 + side - 0.1), F.lit(500)), box.contains(F.lit(500 + side + 0.1), F.lit(500))).first()
+    assert tuple(got_) == (True, False)
+
+
+def test_noise_has_its_spread(spark):
+    df = signal(spark, [5.0] * 2000)
+    noisy = gen.with_noise(df, "v", 2.0, seed=4)
+    assert noisy.agg(F.stddev("v")).first()[0] == pytest.approx(2.0, rel=0.1)
