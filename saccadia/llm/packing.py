@@ -195,8 +195,7 @@ def _slots(made, rest, hist, window):
     rows.sort()
     a = np.array(rows, np.int64).reshape(-1, 5)
     base += -(-tokens // window)
-    full = {}
-    return (a[:, 0] << 40) + a[:, 1], a[:, 1], a[:, 2], a[:, 3], a[:, 4], base, full
+    return (a[:, 0] << 40) + a[:, 1], a[:, 1], a[:, 2], a[:, 3], a[:, 4], base
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
@@ -213,7 +212,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     for r in counts.groupBy("rem").agg(F.sum("docs").alias("docs"), F.sum("fulls").alias("fulls")).collect():  # `window` rows at most
         hist[r["rem"]], fulls[r["rem"]] = r["docs"], r["fulls"]
     made, rest = plan(hist, window)
-    *table, base, _ = _slots(made, rest, hist, window)
+    *table, base = _slots(made, rest, hist, window)
     share = spark.sparkContext.broadcast((table, base + np.concatenate(([0], np.cumsum(fulls)[:-1]))))
     before = Window.partitionBy("rem").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("rem", "part", F.coalesce(F.sum("docs").over(before), F.lit(0)).alias("d0"), F.coalesce(F.sum("fulls").over(before), F.lit(0)).alias("f0"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from saccadia.llm import embed_dedup, language, licenses, linededup, lm, mixing, packing, quality, simhash, toxicity
 
@@ -106,4 +105,4 @@ def oracle_sql() -> dict[str, str]:
     return {"op7_lines": _LINES, "op10_quality": _QUALITY}
 
 
-__all__ = ["F", "oracle_sql", "queries"]
+__all__ = ["oracle_sql", "queries"]
