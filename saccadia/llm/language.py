@@ -6,7 +6,7 @@ is parsed greedily into the longest stretches that the language's sample holds;
 that the sample lacks is a phrase of its own. Fewer phrases for its length mean less cross
 entropy, and the language that needs fewest wins.
 
-What is broadcast is the sample text; each Python worker builds the automata from it once.
+What is broadcast is the sample text; each task builds the automata from it and lets them go.
 Whole texts are parsed. Segments of `SEGMENT` code points run side by side in numpy, each
 as if a phrase began with it; then each takes up the state that the segment before it
 ended in, until both parses agree, so phrases cross the borders as in one long parse.
@@ -14,7 +14,8 @@ ended in, until both parses agree, so phrases cross the borders as in one long p
 
 from __future__ import annotations
 
-import hashlib
+import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ from saccadia.llm.common import fold
 #: ALPHABET: columns of a dense table; rarer characters have a list of their own. ROWS: labelled texts of a language at most.
 CHARS, ROWS, SEGMENT, ALPHABET, UNKNOWN = 160_000, 400, 2048, 62, "und"
 #: Code points parsed side by side.
-BATCH = 2_000_000
+BATCH = 1_000_000
 
 
 def suffix_automaton(codes: list[int], dense: int) -> tuple[np.ndarray, dict[int, dict[int, int]]]:
@@ -76,8 +77,13 @@ def suffix_automaton(codes: list[int], dense: int) -> tuple[np.ndarray, dict[int
 
 
 def plain(text: str) -> str:
-    """What is learned and parsed: lower case, digits as 0, white space as blanks."""
-    return "".join("0" if c.isdigit() else " " if c.isspace() else c for c in text.lower())
+    """What is learned and parsed: letters and marks in lower case, and one blank for whatever lies between words."""
+    kept = "".join(c if _spells(c) else " " for c in text.lower())
+    return re.sub(" +", " ", kept)
+
+
+def _spells(c: str) -> bool:
+    return c.isalpha() or unicodedata.category(c) in ("Mn", "Mc")
 
 
 class Model:
@@ -100,7 +106,7 @@ class Model:
         far = np.array(sorted((s * self.rare + c - ALPHABET, t) for s, out in odd.items() if s for c, t in out.items()), np.int64).reshape(-1, 2)
         self.keys, self.targets = far[:, 0].copy(), far[:, 1].copy()
         self.from_root = np.array([odd.get(0, {}).get(ALPHABET + n, 0) for n in range(self.rare)], np.int64)
-        self.of = np.array([codes.get(c, few) for c in letters] + [few], np.int32)
+        self.of = np.array([codes.get(c, few) for c in letters] + [few, few], np.int32)
 
     def move(self, state: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Entries after one letter (as an index of all letters) in each state."""
@@ -129,21 +135,24 @@ class Parser:
         self.letters = sorted(set("".join(texts.values())))
         self.models = [Model(texts[k], self.letters) for k in self.langs]
         index = {c: n for n, c in enumerate(self.letters)}
-        self.points, self.alpha = np.full(0x110000, len(self.letters), np.int32), np.zeros(0x110000, bool)
+        self.blank = index.get(" ", len(self.letters))
+        # code of a code point; what doesn't spell is a blank, and unknown letters come after all known ones
+        self.points, self.alpha = np.full(0x110000, self.blank, np.int32), np.zeros(0x110000, bool)
         for c in range(0x110000):
             x = chr(c)
             self.alpha[c] = x.isalpha()
-            if x.isdigit() and "0" in index:
-                self.points[c] = index["0"]
-            elif x.isspace() and " " in index:
-                self.points[c] = index[" "]
-        for x, n in index.items():
-            self.points[ord(x)] = n
+            if self.alpha[c] or unicodedata.category(x) in ("Mn", "Mc"):
+                self.points[c] = index.get(x, len(self.letters) + 1)
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(texts x languages) phrase counts, and whether each text has a letter."""
-        raw = [np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
-        letters = np.array([bool(self.alpha[r].any()) for r in raw], bool)
+        raw, letters = [], np.zeros(len(texts), bool)
+        for n, t in enumerate(texts):
+            r = np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+            letters[n] = self.alpha[r].any()
+            r = self.points[r]
+            blank = r == self.blank
+            raw.append(r[~(blank & np.concatenate(([False], blank[:-1])))] if len(r) else r)
         spans = [(n, at) for n, r in enumerate(raw) for at in range(0, len(r), SEGMENT)]
         total = np.zeros((len(texts), len(self.langs)), np.int64)
         if not spans or not self.langs:
@@ -156,7 +165,7 @@ class Parser:
         ids = np.zeros((lens[0], len(order)), np.int32)
         for col, k in enumerate(order):
             n, at = spans[k]
-            ids[: lens[col], col] = self.points[raw[n][at : at + SEGMENT]]
+            ids[: lens[col], col] = raw[n][at : at + SEGMENT]
         owners = np.array([spans[k][0] for k in order])
         for k, model in enumerate(self.models):
             np.add.at(total[:, k], owners, _parse(model, ids, lens, before))
@@ -195,32 +204,21 @@ def _parse(model: Model, ids: np.ndarray, lens: np.ndarray, before: np.ndarray)
     return count
 
 
-_PARSERS: dict[str, Parser] = {}
-
-
-def parser(samples: dict[str, str]) -> Parser:
-    """The parser of these samples, built once in a process."""
-    key = hashlib.sha256(repr(sorted(samples.items())).encode("utf-8", "surrogatepass")).hexdigest()
-    if key not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key] = Parser(samples)
-    return _PARSERS[key]
-
-
 def samples(docs: DataFrame, chars: int = CHARS) -> dict[str, str]:
     """Sample text of each language: whole texts in the order of their hashes until its share of `chars` is full.
 
-    `ROWS` texts of a language at most. Texts over a quarter of the share come after all
-    others, and only such a text is cut to the share, where a language has no other.
+    `ROWS` texts of a language at most. Many texts tell a language better than a few long ones: those up
+    to a fortieth of the share come first, then those up to an eighth, then all others, of which only one
+    that is longer than the share is cut to it.
     """
     labelled = docs.filter("lang is not null and text is not null and length(text) > 0").select("lang", F.col("text").cast("string").alias("text"))
     kinds = labelled.select("lang").distinct().count()
     each = max(2_000, chars // max(kinds, 1))
-    long, order = F.length("text") > each // 4, ["long", "h", "text"]
-    w = Window.partitionBy("lang").orderBy(*order)
-    some = labelled.withColumns({"h": F.xxhash64("text"), "long": long}).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= ROWS)
+    tier = F.when(F.length("text") <= each // 40, 0).when(F.length("text") <= each // 8, 1).otherwise(2)
+    w = Window.partitionBy("lang").orderBy("tier", "h", "text")
+    some = labelled.withColumns({"h": F.xxhash64("text"), "tier": tier}).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= ROWS)
     upto = F.coalesce(F.sum(F.least(F.length("text"), F.lit(each))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = F.when(F.col("long"), F.substring("text", 1, each)).otherwise(F.col("text"))
+    cut = F.substring("text", 1, each)
     out: dict[str, list[str]] = {}
     for r in some.withColumn("upto", upto).filter(F.col("upto") < each).select("lang", "rank", cut.alias("text")).orderBy("lang", "rank").collect():
         out.setdefault(r["lang"], []).append(r["text"])
@@ -260,8 +258,8 @@ def identify(docs: DataFrame, mod: int = 4, held: int = 2, chars: int = CHARS) -
     share = _shared_samples(docs, mod, held, chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = parser(share.value)
-        for b in batches:
+        p = Parser(share.value)
+        for b in _cut(batches):
             pred, score = predict(p, [t or "" for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -269,6 +267,13 @@ def identify(docs: DataFrame, mod: int = 4, held: int = 2, chars: int = CHARS) -
     return out.select("doc_id", (fold(F.col("doc_id"), mod) == held).alias("held_out"), "lang_pred", "score")
 
 
+def _cut(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches in slices, so that few texts are Python strings at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _groups(texts: list[str]) -> Iterator[list[str]]:
     part, n = [], 0
     for t in texts:
@@ -290,8 +295,8 @@ def known_language(docs: DataFrame, mod: int = 4, held: int = 2, chars: int = CH
     share, at = _shared_samples(docs, mod, held, chars), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = parser(share.value)
-        for b in batches:
+        p = Parser(share.value)
+        for b in _cut(batches):
             pred, _ = predict(p, [t or "" for t in b.column(at).to_pylist()])
             yield b.filter(pa.array([x != UNKNOWN for x in pred], pa.bool_()))
 
