@@ -26,7 +26,10 @@ def in_order(df: DataFrame, keys: list[str], parts: int | None = None, name: str
     """
     dealt = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
     rows = dealt.sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id())
-    return written(rows, name).withColumn("part", F.shiftright("at", PART_BITS))
+    table = written(rows, name)
+    out = table.withColumn("part", F.shiftright("at", PART_BITS))
+    out.scratch_path = table.scratch_path
+    return out
 
 
 def piece(group: list[str]):
