@@ -1,10 +1,10 @@
-"""The ten operators as queries over the test tables, and their SQL where it can say them."""
+"""The operators as queries over the test tables, and their SQL where it can say them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saccadia.llm import embed_dedup, language, licenses, linededup, lm, mixing, packing, quality, simhash, toxicity
+from saccadia.llm import conversations, embed_dedup, language, licenses, linededup, lm, mixing, packing, quality, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,8 +55,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damage(rows), rows)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_packing, op3_mixing, op4_lm, op5_language, op6_embeddings, op7_lines, op8_toxicity, op9_licenses, op10_quality)}
+    return {f.__name__: f for f in (op1_simhash, op2_packing, op3_mixing, op4_lm, op5_language, op6_embeddings, op7_lines, op8_toxicity, op9_licenses, op10_quality, op11_conversations)}
 
 
 _LINES = r"""
@@ -101,8 +106,65 @@ FROM f
 """
 
 
+_CONVERSATIONS = r"""
+WITH RECURSIVE bits AS (
+  -- each character's code, then eight steps (-1) of the CRC
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         flatten(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+                                lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])) AS steps FROM conversations),
+drawn AS (
+  SELECT conv_id, turn, role, text,
+         xor(4294967295, list_reduce(list_concat([4294967295], steps),
+             lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) % 20 AS d FROM bits),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+         CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE d WHEN 3 THEN [1, 2] WHEN 0 THEN [] ELSE [1] END) AS copy FROM drawn),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS k,
+         regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS bare, left(role, 1) AS initial FROM damaged),
+flagged AS (
+  SELECT *, CASE WHEN bare = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'd'
+                 WHEN NOT right(bare, 1) IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY k) || initial AS pair FROM placed),
+facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1, 0) - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+         count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (NOT pair IN ('su', 'ua', 'au')) AS illegal, max(k) AS n FROM flagged GROUP BY conv_id),
+-- a state: (cost, audit, repaired); opened: with what may be inserted before the next turn
+fold AS (
+  SELECT conv_id, n, CAST(0 AS BIGINT) AS k, {'c': CAST(0 AS BIGINT), 'a': '', 'r': ''} AS e, {'c': CAST(1000000000 AS BIGINT), 'a': '', 'r': ''} AS s,
+         {'c': CAST(3 AS BIGINT), 'a': 'I', 'r': chr(10) || 'user:'} AS u, {'c': CAST(6 AS BIGINT), 'a': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'} AS a
+  FROM facts
+  UNION ALL
+  SELECT conv_id, n, k, e, s, u, least(a, {'c': u.c + 3, 'a': u.a || 'I', 'r': u.r || chr(10) || 'assistant:'}) FROM (
+   SELECT conv_id, n, k, e, s, least(u, {'c': v.c + 3, 'a': v.a || 'I', 'r': v.r || chr(10) || 'user:'}) AS u, a FROM (
+    SELECT conv_id, n, k, e, s, u, a, least(e, s, a) AS v FROM (
+     SELECT f.conv_id, f.n, t.k, {'c': e.c + 4, 'a': e.a || 'D', 'r': e.r} AS e,
+            CASE WHEN stays AND initial = 's' THEN least({'c': s.c + 4, 'a': s.a || 'D', 'r': s.r}, {'c': e.c + late, 'a': e.a || 'K', 'r': e.r || line}) ELSE {'c': s.c + 4, 'a': s.a || 'D', 'r': s.r} END AS s,
+            CASE WHEN NOT stays THEN {'c': u.c + 4, 'a': u.a || 'D', 'r': u.r}
+                 WHEN initial = 'u' THEN least({'c': u.c + 4, 'a': u.a || 'D', 'r': u.r}, {'c': v.c + late, 'a': v.a || 'K', 'r': v.r || line})
+                 ELSE least({'c': u.c + 4, 'a': u.a || 'D', 'r': u.r}, {'c': v.c + late + 3, 'a': v.a || 'R', 'r': v.r || chr(10) || 'user:' || text}) END AS u,
+            CASE WHEN NOT stays THEN {'c': a.c + 4, 'a': a.a || 'D', 'r': a.r}
+                 WHEN initial = 'a' THEN least({'c': a.c + 4, 'a': a.a || 'D', 'r': a.r}, {'c': u.c + late, 'a': u.a || 'K', 'r': u.r || line})
+                 ELSE least({'c': a.c + 4, 'a': a.a || 'D', 'r': a.r}, {'c': u.c + late + 3, 'a': u.a || 'R', 'r': u.r || chr(10) || 'assistant:' || text}) END AS a
+     FROM (SELECT *, least(e, s, a) AS v FROM fold) f
+     JOIN (SELECT *, NOT fault IN ('b', 'd') AS stays, CASE fault WHEN 't' THEN 3 ELSE 0 END AS late, chr(10) || role || ':' || text AS line FROM flagged) t
+       ON t.conv_id IS NOT DISTINCT FROM f.conv_id AND t.k = f.k + 1)))),
+ended AS (
+  SELECT conv_id, least(e, a, {'c': s.c + 6, 'a': s.a || 'II', 'r': s.r || chr(10) || 'user:' || chr(10) || 'assistant:'},
+                        {'c': u.c + 3, 'a': u.a || 'I', 'r': u.r || chr(10) || 'assistant:'}) AS best FROM fold WHERE k = n)
+SELECT i.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost,
+       coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.r, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i
+LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM i.conv_id
+LEFT JOIN ended x ON x.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_lines": _LINES, "op10_quality": _QUALITY}
+    return {"op11_conversations": _CONVERSATIONS, "op7_lines": _LINES, "op10_quality": _QUALITY}
 
 
 __all__ = ["oracle_sql", "queries"]
