@@ -38,17 +38,22 @@ def drop_path(spark: SparkSession, path: str) -> None:
 _KEPT: set[str] = set()
 
 
+def held(spark: SparkSession, path: str) -> str:
+    """The path, which goes when the driver's Python ends."""
+    if not _KEPT:
+        atexit.register(_clean, spark)
+    _KEPT.add(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives executors.
 
     The table goes with `released`, or else when the driver's Python ends, as lazy results
     may read it till then.
     """
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    spark, path = df.sparkSession, held(df.sparkSession, scratch(df.sparkSession, name))
     df.write.parquet(path)
-    if not _KEPT:
-        atexit.register(_clean, spark)
-    _KEPT.add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

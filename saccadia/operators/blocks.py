@@ -58,6 +58,10 @@ def _last(v, w):
     return here, F.max_by(v, F.when(v.isNotNull(), F.col("at"))), -1, F.coalesce
 
 
+def _first(v, w):
+    return F.first(F.struct(v.alias("v"))).over(w), F.min_by(F.struct(v.alias("v")), "at"), -1, lambda here, carry: F.coalesce(carry, here)["v"]
+
+
 def _next(v, w):
     here = F.first(v, True).over(w.rowsBetween(0, Window.unboundedFollowing))
     return here, F.min_by(v, F.when(v.isNotNull(), F.col("at"))), 1, F.coalesce
@@ -73,15 +77,15 @@ def _max(v, w):
     return here, F.max(v), -1, F.greatest
 
 
-_KINDS = {"lag": _lag, "lead": _lead, "last": _last, "next": _next, "sum": _sum, "max": _max}
+_KINDS = {"lag": _lag, "lead": _lead, "last": _last, "first": _first, "next": _next, "sum": _sum, "max": _max}
 
 
 def scan(rows: DataFrame, group: list[str], **columns: tuple[str, Column]) -> DataFrame:
     """rows of `in_order` with running columns: name=(kind, value), in the order of the group's rows.
 
     lag, lead: the value one row before or after; last, next: the last value at or before,
-    the next at or after, nulls passed over; sum, max: of all rows up to this one, nulls
-    passed over. No task holds more of a group than one part has.
+    the next at or after, nulls passed over; first: the value of the group's first row; sum,
+    max: of all rows up to this one, nulls passed over. No task holds more of a group than one part has.
     """
     w, before, after = piece(group), {}, {}
     spec = {k: _KINDS[kind](v, w) for k, (kind, v) in columns.items()}
@@ -92,7 +96,7 @@ def scan(rows: DataFrame, group: list[str], **columns: tuple[str, Column]) -> Da
     found = pieces(rows, group, **before, **after)
     carry = {}
     for k, (kind, _) in columns.items():
-        over = {"sum": F.sum(k), "max": F.max(k)}.get(kind) if k in before else None
+        over = {"sum": F.sum(k), "max": F.max(k), "first": F.first(k, True)}.get(kind)
         if over is None:
             over = F.last(k, True) if k in before else F.first(k, True)
         carry[f"{k}_carry"] = over.over(back if k in before else ahead)
