@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saccadia.llm import conversations, embed_dedup, language, licenses, linededup, lm, mixing, packing, quality, simhash, toxicity
+from saccadia.llm import conversations, embed_dedup, interactions, language, licenses, linededup, lm, mixing, packing, quality, simhash, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -60,8 +60,16 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damage(rows), rows)
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_read(spark, sf_dir, "pages"))
+
+
+def op13_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit_filters(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_packing, op3_mixing, op4_lm, op5_language, op6_embeddings, op7_lines, op8_toxicity, op9_licenses, op10_quality, op11_conversations)}
+    return {f.__name__: f for f in (op1_simhash, op2_packing, op3_mixing, op4_lm, op5_language, op6_embeddings, op7_lines, op8_toxicity, op9_licenses, op10_quality, op11_conversations, op12_warc, op13_interactions)}
 
 
 _LINES = r"""
@@ -163,8 +171,53 @@ LEFT JOIN ended x ON x.conv_id IS NOT DISTINCT FROM i.conv_id
 """
 
 
+_WARC = r"""
+WITH p AS (
+  SELECT page_id, url, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+r AS (
+  SELECT *, row_number() OVER w AS n, first_value(page_id) OVER w AS first FROM p
+  WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id NULLS LAST, url NULLS LAST))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN n > 1 AND payload_bytes >= 100 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n > 1 AND payload_bytes >= 100 THEN first END AS refers_to FROM r
+"""
+
+
+_INTERACTIONS = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+fails AS (
+  SELECT w.doc_id, part, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic,
+         {'A': len(ws) < 200, 'B': 100 * len(list_distinct(ws)) < 50 * len(ws),
+          'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text), 'D': regexp_matches(text, '[#$%&*|]'),
+          'E': coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY text), false)} AS f
+  FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+cells AS (
+  SELECT part, [x.filter FOR x IN [{'filter': 'A', 'is': f.A}, {'filter': 'B', 'is': f.B}, {'filter': 'C', 'is': f.C}, {'filter': 'D', 'is': f.D}, {'filter': 'E', 'is': f.E}] IF x.is] AS mask,
+         count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM fails GROUP BY 1, 2),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, s AS step, filter_order[s] AS filter, string_split(left(filter_order, s - 1), '') AS before FROM orders, unnest([1, 2, 3, 4, 5]) t(s)),
+done AS (
+  SELECT part, filter_order, step, filter, sum(n) AS total,
+         sum(n) FILTER (list_has_any(mask, list_append(before, filter))) AS gone, sum(n) FILTER (list_contains(mask, filter)) AS failing,
+         sum(n) FILTER (list_contains(mask, filter) AND NOT list_has_any(mask, before)) AS removed, sum(n) FILTER (mask = [filter]) AS alone,
+         sum(good) FILTER (list_contains(mask, filter) AND NOT list_has_any(mask, before)) AS good_lost,
+         sum(toxic) FILTER (list_contains(mask, filter) AND NOT list_has_any(mask, before)) AS toxic_lost
+  FROM cells, steps GROUP BY part, filter_order, step, filter)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(total - coalesce(gone, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+       CAST(coalesce(failing, 0) - coalesce(removed, 0) AS BIGINT) AS redundant, CAST(coalesce(alone, 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM done
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_conversations": _CONVERSATIONS, "op7_lines": _LINES, "op10_quality": _QUALITY}
+    return {"op13_interactions": _INTERACTIONS, "op12_warc": _WARC, "op11_conversations": _CONVERSATIONS, "op7_lines": _LINES, "op10_quality": _QUALITY}
 
 
 __all__ = ["oracle_sql", "queries"]
