@@ -77,7 +77,12 @@ def _max(v, w):
     return here, F.max(v), -1, F.greatest
 
 
-_KINDS = {"lag": _lag, "lead": _lead, "last": _last, "first": _first, "next": _next, "sum": _sum, "max": _max}
+def _max_before(v, w):
+    here = F.max(v).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return here, F.max(v), -1, F.greatest
+
+
+_KINDS = {"max_before": _max_before, "lag": _lag, "lead": _lead, "last": _last, "first": _first, "next": _next, "sum": _sum, "max": _max}
 
 
 def scan(rows: DataFrame, group: list[str], **columns: tuple[str, Column]) -> DataFrame:
@@ -85,7 +90,7 @@ def scan(rows: DataFrame, group: list[str], **columns: tuple[str, Column]) -> Da
 
     lag, lead: the value one row before or after; last, next: the last value at or before,
     the next at or after, nulls passed over; first: the value of the group's first row; sum,
-    max: of all rows up to this one, nulls passed over. No task holds more of a group than one part has.
+    max: of all rows up to this one, max_before: of those before it, nulls passed over. No task holds more of a group than one part has.
     """
     w, before, after = piece(group), {}, {}
     spec = {k: _KINDS[kind](v, w) for k, (kind, v) in columns.items()}
@@ -96,7 +101,7 @@ def scan(rows: DataFrame, group: list[str], **columns: tuple[str, Column]) -> Da
     found = pieces(rows, group, **before, **after)
     carry = {}
     for k, (kind, _) in columns.items():
-        over = {"sum": F.sum(k), "max": F.max(k), "first": F.first(k, True)}.get(kind)
+        over = {"sum": F.sum(k), "max": F.max(k), "max_before": F.max(k), "first": F.first(k, True)}.get(kind)
         if over is None:
             over = F.last(k, True) if k in before else F.first(k, True)
         carry[f"{k}_carry"] = over.over(back if k in before else ahead)

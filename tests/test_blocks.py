@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from saccadia.operators.blocks import in_order, pieces, scan
 
-COLUMNS = {"lag": "lag", "lead": "lead", "last": "last", "first": "first", "next": "next", "sum": "sum", "max": "max"}
+COLUMNS = {"lag": "lag", "lead": "lead", "last": "last", "first": "first", "next": "next", "sum": "sum", "max": "max", "max_before": "max_before"}
 
 
 def test_scans_equal_windows_over_the_whole_group(spark):
@@ -22,7 +22,7 @@ def test_scans_equal_windows_over_the_whole_group(spark):
     got = scan(ordered, ["g"], **{k: (kind, v) for k, kind in COLUMNS.items()})
     w = Window.partitionBy("g").orderBy("i")
     up, down = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    want = df.withColumns({"lag": F.lag(v).over(w), "lead": F.lead(v).over(w), "last": F.last(v, True).over(up), "first": F.first(v).over(w), "next": F.first(v, True).over(down), "sum": F.sum(v).over(up), "max": F.max(v).over(up)})
+    want = df.withColumns({"lag": F.lag(v).over(w), "lead": F.lead(v).over(w), "last": F.last(v, True).over(up), "first": F.first(v).over(w), "next": F.first(v, True).over(down), "sum": F.sum(v).over(up), "max": F.max(v).over(up), "max_before": F.max(v).over(w.rowsBetween(Window.unboundedPreceding, -1))})
     assert sorted(map(str, got.drop("at", "part").collect())) == sorted(map(str, want.collect()))
 
 
