@@ -28,9 +28,11 @@ from saccadia.llm.common import components, fresh, released, written
 
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 DENSE = 48
-#: The pipeline's stage: 64-bit words of a fingerprint, segments (two a word, from the first words), its widest difference
-#: (two sds over what a similarity of 0.8 has), that of the 32 bits in a node, runs paired in full.
-WORDS, PARTS, FAR, NODE_FAR, THIN = 16, 14, 178, 12, 8
+#: The pipeline's stage: 64-bit words of a fingerprint, its widest difference (three sds over what a similarity of 0.8
+#: has), that of the 32 bits in a node, runs paired in full.
+WORDS, FAR, NODE_FAR, THIN = 16, 190, 13, 8
+#: Fewest segments, and the chance (by the model) with which a pair of similarity 0.8 meets in one of them.
+PARTS, MEET = 14, 0.985
 
 
 LANES = np.uint64(0x0101010101010101)
@@ -259,12 +261,41 @@ def _nodes_close(a, b):
     return F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), 32)) <= NODE_FAR
 
 
+def segments(bits: int, similarity: float = 0.8) -> int:
+    """Segments of `bits` bits so that a pair of this similarity meets with chance MEET at least.
+
+    A bit differs with chance acos(2J / (1 + J)) / pi, and a segment may differ in one. So
+    longer segments, as larger tables have them, come in larger numbers.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    one = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
+    return max(PARTS, math.ceil(math.log(1 - MEET) / math.log(1 - one)))
+
+
+def _segment(fp, n: int, bits: int):
+    """The n-th segment: of a half word, or beyond these the even bits of one and the odd bits of another."""
+    half = lambda m: F.shiftrightunsigned(F.get(fp, F.lit(m // 2)), 32 * (m % 2))
+    a, turn = n % (2 * WORDS), n // (2 * WORDS)
+    if not turn:
+        return half(a).bitwiseAND((1 << bits) - 1)
+    b = (a + 2 * turn - 1) % (2 * WORDS)
+    return half(a).bitwiseAND(0x55555555 & (1 << bits) - 1).bitwiseOR(half(b).bitwiseAND(0xAAAAAAAA & (1 << bits) - 1))
+
+
+def _keys(fp, bits: int):
+    """One key for each segment and each of its bits left out: (segment, bit) above the other bits."""
+    def of(n):
+        s = _segment(fp, n, bits)
+        return F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda k: s.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), k).bitwiseXOR(F.lit(-1).cast("long"))).bitwiseOR(F.call_function("shiftleft", (k + 32 * n).cast("long"), F.lit(33))))
+
+    return F.flatten(F.array(*[of(n) for n in range(segments(bits))]))
+
+
 def _first_met(key, a, b, bits: int):
     """Whether `key` is the first one that two fingerprints share, so that a pair is looked at once."""
     tag = F.shiftright(key, 33)
     n, k = F.shiftright(tag, 5), tag.bitwiseAND(31)
-    seg = lambda fp, m: F.shiftrightunsigned(F.get(fp, F.lit(m // 2)), 32 * (m % 2)).bitwiseAND((1 << bits) - 1)
-    differ = [F.bit_count(seg(a, m).bitwiseXOR(seg(b, m))) for m in range(PARTS)]
+    differ = [F.bit_count(_segment(a, m, bits).bitwiseXOR(_segment(b, m, bits))) for m in range(segments(bits))]
     none_before = functools.reduce(lambda s, v: s & v, [(F.lit(m) >= n) | (d > 1) for m, d in enumerate(differ)])
     equal = functools.reduce(lambda s, v: s | v, [(F.lit(m) == n) & (d == 0) for m, d in enumerate(differ)])
     return none_before & ((k == 0) | ~equal)
@@ -284,8 +315,10 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     """(node, root, doc_id, th): for each distinct shingle set its group and its first row.
 
     Sets are linked where their Jaccard similarity is at least `similarity`, verified on the
-    sets. Candidates agree in one of PARTS segments of a fingerprint but for one bit; the
-    segments grow with the number of sets, so buckets stay thin. Members of long runs are
+    sets. Candidates agree in one of the segments of a fingerprint but for one bit; segments
+    grow with the number of sets, so buckets stay thin, and their number grows with their
+    length, so that as many pairs meet. Rows that share all shingles are one set; null and
+    wordless texts are the empty set; no rows give none. Members of long runs are
     linked to the run's first node, then to another chosen by chance, and those that are
     still in different components are compared with one another.
     """
@@ -294,11 +327,8 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     nodes = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"), F.min("fp").alias("fp"))
     nodes = written(nodes, "nodes")
     bits = min(32, max(12, math.ceil(math.log2(max(nodes.count(), 1))) + 4))
-    # segment n is `bits` bits of a half word; key (n, k) leaves out its bit k
-    half, mask = "shiftrightunsigned(fp[n div 2], 32 * (n % 2))", f"{(1 << bits) - 1}L"
-    keys = F.expr(f"flatten(transform(sequence(0, {PARTS - 1}), n -> transform(sequence(0, {bits - 1}), k -> ({half} & {mask} & ~shiftleft(1L, k)) | shiftleft(cast(n * 32 + k as bigint), 33))))")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    v = nodes.select("node", "fp").repartition(tasks, "node").select(F.explode(keys).alias("key"), "node")
+    v = nodes.select("node", "fp").repartition(tasks, "node").select(F.explode(_keys(F.col("fp"), bits)).alias("key"), "node")
     met = written(v.repartitionByRange(2 * tasks, "key", "node").sortWithinPartitions("key", "node").mapInArrow(_met, "kind int, key long, a long, b long"), "met")
     edge = met.filter("kind = 2").select("key", "a")
     over = edge.join(edge.withColumnRenamed("a", "b"), "key").filter("a < b").select("a", "b")
@@ -338,13 +368,15 @@ def near_unique(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
 
     Groups are the components of links between texts whose sets of `width`-word shingles
     have a Jaccard similarity of `similarity` or more. The row of the smallest doc_id stays
-    (null ids last; of rows that share it the one of the smaller text hash); rows that
-    repeat it to the letter are one document and stay once. Rows of one doc_id with other
-    texts are documents of their own. Null and wordless texts are alike. No rows give none.
+    (null ids last; of rows that share it the one of the smaller text hash); rows that share
+    its id and text are one document, of which the smallest by all columns in turn stays.
+    Rows of one doc_id with other texts are documents of their own. Null and wordless texts are alike. No rows give none.
     """
     groups = near_groups(docs, width, similarity).groupBy("root").agg(F.min("first").alias("first"))
     th, kid, kth = fresh(docs, "th", "keep_id", "keep_th")
     keep = groups.select(F.col("first.doc_id").alias(kid), F.col("first.th").alias(kth))
     marked = docs.withColumn(th, F.xxhash64("text"))
     same = marked["doc_id"].cast("long").eqNullSafe(keep[kid]) & (marked[th] == keep[kth])
-    return marked.join(keep, same, "left_semi").dropDuplicates(["doc_id", th]).select(docs.columns)
+    whole = F.struct(*docs.columns)
+    kept = marked.join(keep, same, "left_semi").groupBy(F.col("doc_id").alias(kid), F.col(th).alias(kth)).agg(F.min(whole).alias(th))
+    return kept.select(f"{th}.*")
