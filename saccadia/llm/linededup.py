@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saccadia.llm.common import BLANKS, let, written
+from saccadia.llm.common import BLANKS, fresh, let, written
 
 _KEYS = "h1 long, h2 long, doc_id long, row long, pos int"
 _SEEN = "kind string, " + _KEYS
@@ -116,10 +116,12 @@ def _bitmap(n: int, positions) -> np.ndarray:
     return keep
 
 
-def _with_positions(docs: DataFrame, least: int) -> DataFrame:
-    gone = dropped_lines(docs, least).withColumnsRenamed({"doc_id": "_id", "row": "_row", "positions": "_gone"})
-    same = (docs["doc_id"].cast("long") == F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_row"))
-    return docs.join(gone, same, "left").drop("_id", "_row")
+def _with_positions(docs: DataFrame, least: int) -> tuple[DataFrame, str]:
+    """docs with the positions to drop, null where none, in a column of the name returned."""
+    kid, row, gone = fresh(docs, "line_id", "line_row", "line_gone")
+    found = dropped_lines(docs, least).withColumnsRenamed({"doc_id": kid, "row": row, "positions": gone})
+    same = (docs["doc_id"].cast("long") == F.col(kid)) & (F.xxhash64(docs["text"]) == F.col(row))
+    return docs.join(found, same, "left").drop(kid, row), gone
 
 
 def line_bitmaps(docs: DataFrame, least: int = 10) -> DataFrame:
@@ -139,27 +141,33 @@ def line_bitmaps(docs: DataFrame, least: int = 10) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(bits, pa.binary()), b.column(3)], ["doc_id", "n_lines", "n_dropped", "keep", "kept_sha256"])
 
     # texts are hashed where they are: only positions go to Python
-    marked = _with_positions(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), least).select(
-        "doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_dropped"),
-        F.sha2(F.coalesce(_kept_text(), F.lit("")), 256).alias("kept_sha256"), "_gone",
+    rows, gone = _with_positions(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), least)
+    marked = rows.select(
+        "doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"), F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_dropped"),
+        F.sha2(F.coalesce(_kept_text(gone), F.lit("")), 256).alias("kept_sha256"), gone,
     )
     return marked.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, keep binary, kept_sha256 string")
 
 
-def _kept_text():
-    """`text` without the lines at the positions of `_gone`: the stretches between them, joined."""
-    bounds = F.concat(F.array(F.lit(-1)), F.sort_array("_gone"), F.array(F.lit(1 << 30)))
+def _kept_text(gone: str):
+    """`text` without the lines at the positions in `gone`: the stretches between them, joined."""
+    bounds = F.concat(F.array(F.lit(-1)), F.sort_array(gone), F.array(F.lit(1 << 30)))
 
     def stretches(lines, cuts):
         return F.flatten(F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), lambda k: F.slice(lines, F.get(cuts, k) + 2, F.get(cuts, k + 1) - F.get(cuts, k) - 1)))
 
     rest = let(F.split("text", "\n", -1), lambda lines: let(bounds, lambda cuts: F.array_join(stretches(lines, cuts), "\n")))
-    return F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest)
+    return F.when(F.col(gone).isNull(), F.col("text")).otherwise(rest)
 
 
 def drop_repeated_lines(docs: DataFrame, least: int = 10) -> DataFrame:
-    """documents with the kept lines alone as text; every row stays, n_chars follows the text."""
-    out = _with_positions(docs, least).withColumn("text", _kept_text()).drop("_gone")
+    """documents with the kept lines alone as text; every row stays, n_chars follows the text.
+
+    A null text stays null; rows with a null doc_id keep all lines; repeated rows are cut
+    alike; no rows give no rows; other columns pass through.
+    """
+    rows, gone = _with_positions(docs, least)
+    out = rows.withColumn("text", _kept_text(gone)).drop(gone)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
