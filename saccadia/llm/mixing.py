@@ -119,8 +119,10 @@ def mix_sources(docs: DataFrame, most: int = 3) -> DataFrame:
         .select("s", F.col("size").alias("z"), "n", "ahead", "source_size", "target", F.least(F.lit(float(most)), F.exp(F.col("lam") * F.col("size") / F.col("mean"))).alias("rate"))
     )
     # documents of one size fall on its stretch of ranks by a hash, each block in BLOCK ranks
-    spot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    keyed = sized.select("doc_id", "source", "size", F.xxhash64("text").alias("th"), spot.alias("spot"))
+    # repeated rows are one row until here, and each has a spot of its own
+    spot = F.pmod(F.xxhash64("doc_id", "th", "nth"), F.lit(1 << 30)) / float(1 << 30)
+    same = sized.groupBy("doc_id", "source", "size", F.xxhash64("text").alias("th")).agg(F.count("*").alias("m"))
+    keyed = same.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "m"))).select("doc_id", "source", "size", "th", spot.alias("spot"))
     placed = keyed.join(frame, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).select(
         "doc_id", "th", "source", "size", "rate", "source_size", "target", ((F.col("ahead") + F.col("spot") * F.col("n")) / BLOCK).cast("long").alias("block")
     )
@@ -151,13 +153,14 @@ def repeat_documents(docs: DataFrame, most: int = 3) -> DataFrame:
     """documents with each row as often as the mix takes it (0 to `most` times), columns as they are.
 
     Rows that repeat doc_id, text and source share the copies of all of them: each takes the whole
-    part of their mean, and one more by a chance that makes up the rest. Null texts count
+    part of their mean, and one more by a chance, drawn from all columns, that makes up the
+    rest. Reruns agree. Null texts count
     as one copy; a null source is a source; no rows give no rows.
     """
     kid, kth, ks, n, th = fresh(docs, "mix_id", "mix_th", "mix_source", "mix_copies", "mix_hash")
     chosen = mix_sources(docs, most).groupBy(F.col("doc_id").alias(kid), F.col("th").alias(kth), F.col("source").alias(ks)).agg(F.avg("copies").alias(n))
     marked = docs.withColumn(th, F.xxhash64("text"))
     joined = marked.join(chosen, marked["doc_id"].eqNullSafe(chosen[kid]) & (marked[th] == chosen[kth]) & marked["source"].eqNullSafe(chosen[ks]))
-    chance = F.pmod(F.xxhash64(F.monotonically_increasing_id(), th), F.lit(1 << 30)) / float(1 << 30)
+    chance = F.pmod(F.xxhash64(*docs.columns, F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     times = F.floor(n) + F.when(chance < F.col(n) - F.floor(n), 1).otherwise(0)
     return joined.withColumn(n, F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(docs.columns)
