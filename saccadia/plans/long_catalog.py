@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from saccadia.operators import dyadic, extrema, long, selection
-from saccadia.plans.catalog import _G, _P, SQL, _around, _clicks, _out, query, r6
+from saccadia.operators import dyadic, extrema, long, selection, splines
+from saccadia.plans.catalog import _G, _MM, _P, SETUP, SQL, _around, _clicks, _out, query, r6
 from saccadia.sources.recordings import gaze_table, pupil_table
 
 # --- scans in parts: the rows of the operators whose windows hold a whole recording
@@ -101,3 +101,49 @@ SELECT recording_id, CAST(floor((a + b) / 2) AS BIGINT) AS i, v AS value, round(
 )
 def trough_prominence(spark, sf):
     return extrema.troughs(gaze_table(spark, sf), "pupil").select("recording_id", "i", "value", r6("prominence", "prominence"))
+
+
+# --- splines
+
+_KNOTS = """ends AS (SELECT recording_id, CAST(min(t) AS DOUBLE) AS lo, CAST(max(t) AS DOUBLE) AS hi, greatest(ceil((max(t) - min(t)) / 1000.0 * 5), 2) AS inn FROM g2 GROUP BY 1),
+kn AS (SELECT recording_id, inn, CAST(j AS INT) AS j, lo + (hi - lo) / (inn + 1) * greatest(0, least(inn + 1, j - 3)) AS k FROM ends, range(0, 200) r(j) WHERE j <= inn + 7),
+kk AS (SELECT recording_id, inn, j, k, lead(k, 1) OVER w AS k1, lead(k, 2) OVER w AS k2, lead(k, 3) OVER w AS k3, lead(k, 4) OVER w AS k4 FROM kn WINDOW w AS (PARTITION BY recording_id ORDER BY j)),
+d0 AS (SELECT g2.recording_id, g2.i, g2.t, kk.j, kk.k, kk.k1, kk.k2, kk.k3, kk.k4, CASE WHEN (t >= k AND t < k1) OR (t = k1 AND kk.j = inn + 3) THEN 1.0 ELSE 0.0 END AS b FROM g2 JOIN kk USING (recording_id)),
+d1 AS (SELECT *, coalesce((t - k) / nullif(k1 - k, 0) * b, 0) + coalesce((k2 - t) / nullif(k2 - k1, 0) * lead(b) OVER (PARTITION BY recording_id, i ORDER BY j), 0) AS c FROM d0),
+d2 AS (SELECT *, coalesce((t - k) / nullif(k2 - k, 0) * c, 0) + coalesce((k3 - t) / nullif(k3 - k1, 0) * lead(c) OVER (PARTITION BY recording_id, i ORDER BY j), 0) AS e FROM d1),
+d3 AS (SELECT recording_id, i, j, coalesce((t - k) / nullif(k3 - k, 0) * e, 0) + coalesce((k4 - t) / nullif(k4 - k1, 0) * lead(e) OVER (PARTITION BY recording_id, i ORDER BY j), 0) AS v FROM d2)"""
+_EVERY = "g2 AS (SELECT recording_id, i, i * 2.0 AS t FROM g)"
+
+
+def _knots(g):
+    return splines.evenly(g, "t_ms", 5.0)
+
+
+@query(f"WITH {_G}, {_EVERY}, {_KNOTS} SELECT recording_id, i, j AS basis, round(v, 10) AS value FROM d3 WHERE v > 1e-10")
+def spline_basis(spark, sf):
+    g = gaze_table(spark, sf)
+    return splines.basis(g, _knots(g)).filter("value > 1e-10").select("recording_id", "i", "basis", F.round("value", 10).alias("value"))
+
+
+@query(
+    f"""WITH {_G}, {_EVERY}, {_KNOTS}, {_MM},
+a AS (SELECT recording_id, CAST(b AS INT) AS j, avg(pupil) / 1e4 * (1 + 0.01 * b) AS a FROM g JOIN ends USING (recording_id), range(0, 200) r(b) WHERE b <= inn + 3 GROUP BY 1, 2, b),
+fit AS (SELECT recording_id, i, sum(v * a) AS size FROM d3 JOIN a USING (recording_id, j) GROUP BY 1, 2),
+e AS (SELECT mm.recording_id, mm.pupil / 1e4 AS p, mm.pupil / 1e4 - size * (x * r * sin(th) * cos(ph) + y * r * sin(th) * sin(ph) + d * r * cos(th)) / (sqrt(x * x + y * y + d * d) * r) AS e FROM mm JOIN fit USING (recording_id, i), s),
+rough AS (SELECT recording_id, 2.0 * sum((n - a) ** 2) AS r FROM (SELECT *, lead(a) OVER (PARTITION BY recording_id ORDER BY j) AS n FROM a) GROUP BY 1)
+SELECT recording_id, count(*) AS n, round(sum(e * e), 6) AS data_loss, round(any_value(r), 6) AS smooth_loss, round(sum(e * e) + any_value(r), 6) AS loss, round(sqrt(avg(e * e)), 6) AS rmse,
+  round(1 - sum(e * e) / (var_pop(p) * count(*)), 6) AS r2 FROM e JOIN rough USING (recording_id) GROUP BY 1"""
+)
+def foreshortening_objective(spark, sf):
+    x, y = SETUP.pixels_to_mm(F.col("left_x"), F.col("left_y"))
+    g = gaze_table(spark, sf).select("recording_id", "i", "t_ms", x.alias("x"), y.alias("y"), (F.col("pupil") / 1e4).alias("pupil"))
+    knots = _knots(g)
+    b = F.explode(F.sequence(F.lit(0), F.col("inner") + 3)).alias("basis")
+    coef = g.groupBy("recording_id").agg(F.avg("pupil").alias("m")).join(knots, "recording_id").select("recording_id", "m", b).select("recording_id", "basis", (F.col("m") * (1 + 0.01 * F.col("basis"))).alias("a"))
+    out = splines.objective(g, coef, knots, 1.4, 0.1, 600.0, SETUP.d, 2.0)
+    return out.select("recording_id", "n", *[r6(c, c) for c in ("data_loss", "smooth_loss", "loss", "rmse", "r2")])
+
+
+@query()
+def baseline_spline_long(spark, sf):
+    return splines.asymmetric_baseline(pupil_table(spark, sf), "pupil", rounds=8)
