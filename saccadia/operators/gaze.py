@@ -64,3 +64,22 @@ def mask_offscreen(df: DataFrame, setup: Setup, eyes: tuple[str, ...] = ("left",
         off = off_screen(e, setup, honour_mask)
         out |= {mask_of(f"{e}_{v}"): F.col(mask_of(f"{e}_{v}")) | off for v in "xy"}
     return df.withColumns(out)
+
+
+def correct_foreshortening(df: DataFrame, setup: Setup, eyes: tuple[str, ...] = ("left",), midpoint: tuple[float, float] | None = None, store_as: str = "pupil") -> DataFrame:
+    """<eye>_<store_as>: the pupil of each eye times sqrt(dist² / d² + 1), dist in mm from a midpoint in pixels.
+
+    The midpoint is the screen's centre if none is given. A mask goes with its pupil; where the
+    gaze is missing the corrected pupil is missing and masked.
+    """
+    out = {}
+    mx, my = midpoint or (setup.width / 2, setup.height / 2)
+    for e in eyes:
+        if missing := [s for s in (f"{e}_x", f"{e}_y", f"{e}_pupil") if s not in df.columns]:
+            raise ValueError(f"missing: {missing}")
+        x0, y0 = setup.pixels_to_mm(F.lit(float(mx)), F.lit(float(my)))
+        x, y = setup.pixels_to_mm(F.col(f"{e}_x"), F.col(f"{e}_y"))
+        value = F.col(f"{e}_pupil") * F.sqrt(((x - x0) ** 2 + (y - y0) ** 2) / setup.d**2 + 1)
+        to = f"{e}_{store_as}"
+        out |= {to: value, mask_of(to): F.col(mask_of(f"{e}_pupil")) | value.isNull()}
+    return df.withColumns(out)

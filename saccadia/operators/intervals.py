@@ -132,6 +132,16 @@ def stat_per_event(samples: DataFrame, iv: DataFrame, signals: list[str], stat="
     return samples_in(rows, spans, "i", 256).groupBy("recording_id", "event_id").agg(*[statistic(stat, F.col(s)).alias(s) for s in signals])
 
 
+def subtotals(df: DataFrame, keys: list[str], value: str, stats: tuple[str, ...] = ("n", "mean", "min", "max"), cross: bool = False) -> DataFrame:
+    """Statistics of a value by all keys, by fewer of them from the right (or, with `cross`, by any of them) and over all.
+
+    One pass over the rows for all of these. `grouping` has a bit for each key, the first one
+    highest: 1 where the row is over all values of that key, which is null there.
+    """
+    groups = df.cube(*keys) if cross else df.rollup(*keys)
+    return groups.agg(F.grouping_id().alias("grouping"), *[statistic(s, F.col(value)).alias(s) for s in stats])
+
+
 def masked(samples: DataFrame, iv: DataFrame, signals: list[str], at: str = "i") -> DataFrame:
     """samples with the masks of the signals set inside the intervals."""
     hit = covered(samples, iv, at, "_hit")

@@ -53,6 +53,22 @@ def sub_slice(df: DataFrame, start: float, end: float, factor: float = 1.0) -> D
     return df.filter((t >= start) & (t <= end)).withColumn("i", (F.row_number().over(ordered()) - 1).cast("long"))
 
 
+def slice_with(df: DataFrame, events: DataFrame, store: DataFrame | None, start: float, end: float, factor: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """sub_slice() of the samples, the events within the same times, and stored intervals on the new sample index.
+
+    Intervals (in sample indices) are cut at the slice's ends; those that lie outside go. A
+    recording without a sample left loses its events and intervals too.
+    """
+    t = F.col("t_ms") * factor
+    kept = df.filter((t >= start) & (t <= end))
+    edges = kept.groupBy("recording_id").agg(F.min("i").alias("_first"), F.count("*").alias("_n"))
+    inside = events.filter((t >= start) & (t <= end)).join(edges.select("recording_id"), "recording_id", "left_semi")
+    if store is not None:
+        cut = store.join(edges, "recording_id").withColumns({"start": F.greatest(F.lit(0.0), F.col("start") - F.col("_first")), "end": F.least(F.col("_n").cast("double"), F.col("end") - F.col("_first"))})
+        store = cut.filter("end > start").select(store.columns)
+    return sub_slice(df, start, end, factor), inside, store
+
+
 def reset_time(df: DataFrame, t0: float | None = None) -> DataFrame:
     return df.withColumn("t_ms", F.col("t_ms") - (F.min("t_ms").over(by()) if t0 is None else t0))
 

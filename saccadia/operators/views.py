@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from saccadia.functions.tables import written
 from saccadia.functions.units import to_unit
 from saccadia.operators import columns
 from saccadia.operators import intervals as iv
@@ -64,6 +65,35 @@ def levels(df: DataFrame, signal: str, factors: tuple[int, ...] = (10, 100, 1000
     return ends.select("recording_id", "factor", "chunk", F.posexplode("two").alias("pos", "s")).select("recording_id", "factor", "chunk", F.col("pos").cast("long").alias("pos"), F.col("s.t_ms").alias("t_ms"), F.col("s.value").alias("value"), F.col("s.masked").alias("masked"))
 
 
+def pyramid(df: DataFrame, signal: str, factors: tuple[int, ...] = (10, 100, 1000)) -> DataFrame:
+    """recording_id, factor, chunk, pos (0, 1), t_ms, normal, masked: levels() as two lines, of samples that aren't masked and that are.
+
+    Each factor is a multiple of the one before, and each level is made from the one below
+    it, so samples are read once: a level has a row for each of its chunks.
+    """
+    if not factors or any(b % a or b == a for a, b in zip(factors, factors[1:], strict=False)):
+        raise ValueError("each factor is a multiple of the one before")
+    m, ends = mask_of(signal), df.groupBy("recording_id").agg(F.count("*").alias("_n"))
+    v, here = F.col(signal), F.struct("i", "t_ms", F.col(signal).alias("value"), F.col(m).alias("masked"))
+    # least and largest with the first of equal values, first and last for chunks without a value
+    least, most = F.struct(v.alias("v"), F.col("i").alias("i")), F.struct(v.alias("v"), F.negative("i").alias("i"))
+    there = lambda x: F.when(v.isNotNull(), x)
+    level = df.groupBy("recording_id", F.floor(F.col("i") / factors[0]).cast("long").alias("chunk")).agg(
+        F.min(there(F.struct(least.alias("k"), here.alias("s")))).alias("low"), F.max(there(F.struct(most.alias("k"), here.alias("s")))).alias("high"), F.min(here).alias("first"), F.max(here).alias("last")
+    )
+    out = None
+    for k, factor in enumerate(factors):
+        if k:
+            level = below.groupBy("recording_id", F.floor(F.col("chunk") / (factor // factors[k - 1])).cast("long").alias("chunk")).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first"), F.max("last").alias("last"))
+        below = written(level, f"level-{factor}")
+        whole = below.join(ends, "recording_id").filter(F.col("chunk") < F.greatest(F.lit(1), F.floor(F.col("_n") / factor)))
+        two = F.sort_array(F.array(F.coalesce("low.s", "first"), F.coalesce("high.s", "last")))
+        rows = whole.select("recording_id", F.lit(factor).alias("factor"), "chunk", F.posexplode(two).alias("pos", "s"))
+        line = rows.select("recording_id", "factor", "chunk", F.col("pos").cast("long").alias("pos"), "s.t_ms", F.when(~F.col("s.masked"), F.col("s.value")).alias("normal"), F.when(F.col("s.masked"), F.col("s.value")).alias("masked"))
+        out = line if out is None else out.unionByName(line)
+    return out
+
+
 def mask_timelines(df: DataFrame, merge: bool = False) -> DataFrame:
     """[start, end) index runs of masked samples of every signal as `key`, or of any signal."""
     if merge:

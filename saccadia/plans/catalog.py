@@ -762,10 +762,11 @@ def event_pick(spark, sf):
     return es.pick(p, [0, 5]).union(es.take(p, -3, -1)).select("recording_id", "event_id").distinct()
 
 
-@query(f"WITH {_P}, b AS (SELECT recording_id, max(t_ms) AS hi FROM p WHERE i < 40 GROUP BY 1) SELECT recording_id, event_id FROM p JOIN b USING (recording_id) WHERE label = 'click' AND t_ms > hi")
+@query(f"WITH {_P}, b AS (SELECT recording_id, max(t_ms) AS hi FROM p GROUP BY 1) SELECT recording_id, event_id FROM p JOIN b USING (recording_id) WHERE label = 'click' AND t_ms + 259200000 > hi")
 def events_outside(spark, sf):
     p = pupil_table(spark, sf)
-    return es.outside(_clicks(p), p.filter("i < 40")).select("recording_id", "event_id")
+    late = _clicks(p).withColumn("t_ms", F.col("t_ms") + 259_200_000)
+    return es.outside(late, p).select("recording_id", "event_id")
 
 
 @query(f"WITH {_P} SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY t_ms, label) - 1 AS event_id, label, round(t_ms, 3) AS t_ms FROM p WHERE label <> 'view'")
@@ -1012,12 +1013,12 @@ def foreshortening_residuals(spark, sf):
 
 @query()
 def fake_fixations(spark, sf):
-    return gen.fixations(spark)
+    return gen.fixations(spark, gaze_table(spark, sf))
 
 
 @query()
 def fake_trials(spark, sf):
-    return gen.Simulation("trials", {"n": 2, "ntrials": 10, "fs": 50}).run(spark, seed=5)
+    return gen.Simulation("trials", {"n": pupil_table(spark, sf), "ntrials": 10, "fs": 50}).run(spark, seed=5)
 
 
 __all__ = ["QUERIES", "SQL"]

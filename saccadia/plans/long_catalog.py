@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from saccadia.functions import units
+from saccadia.functions.tables import held, scratch
 from saccadia.operators import dyadic, extrema, long, selection, splines
-from saccadia.plans.catalog import _G, _MM, _P, SETUP, SQL, _around, _clicks, _out, query, r6
-from saccadia.sources.recordings import gaze_table, pupil_table
+from saccadia.operators import gaze as gz
+from saccadia.operators import intervals as iv
+from saccadia.operators import samples as sm
+from saccadia.operators import stores as st
+from saccadia.operators import views as vw
+from saccadia.plans.catalog import _G, _MM, _P, _RUNS, SETUP, SQL, _around, _clicks, _out, query, r6
+from saccadia.sources.recordings import gaze_table, pupil_table, read_bundle, write_bundle
 
 # --- scans in parts: the rows of the operators whose windows hold a whole recording
 
@@ -147,3 +155,65 @@ def foreshortening_objective(spark, sf):
 @query()
 def baseline_spline_long(spark, sf):
     return splines.asymmetric_baseline(pupil_table(spark, sf), "pupil", rounds=8)
+
+
+# --- storage, slices, levels and subtotals
+
+
+@query(f"WITH {_P} SELECT recording_id, i, pupil, round(t_ms - lag(t_ms) OVER (PARTITION BY recording_id ORDER BY i), 3) AS step_ms FROM p")
+def bundle_in_buckets(spark, sf):
+    """Written in buckets, read back, and run through a window without a shuffle."""
+    path = held(spark, scratch(spark, "bundle"))
+    write_bundle(path, 8, samples=pupil_table(spark, sf).select("recording_id", "i", "t_ms", "pupil"))
+    w = Window.partitionBy("recording_id").orderBy("i")
+    return read_bundle(spark, path, "samples").select("recording_id", "i", "pupil", F.round(F.col("t_ms") - F.lag("t_ms").over(w), 3).alias("step_ms"))
+
+
+_SLICED = f"""WITH {_P}, k AS (SELECT recording_id, min(i) AS a, count(*) AS n FROM p WHERE t_ms / 3600000.0 BETWEEN 100 AND 400 GROUP BY 1)"""
+
+
+@query(f"{_SLICED} SELECT recording_id, event_id, round(t_ms, 6) AS t_ms FROM p JOIN k USING (recording_id) WHERE label = 'click' AND t_ms / 3600000.0 BETWEEN 100 AND 400")
+def slice_events(spark, sf):
+    p = pupil_table(spark, sf)
+    return sm.slice_with(p, _clicks(p), None, 100, 400, units.factor("h"))[1].select("recording_id", "event_id", r6("t_ms", "t_ms"))
+
+
+@query(f"{_SLICED}, {_RUNS.format(flag='pupil IS NULL')} SELECT recording_id, CAST(greatest(0, s - a) AS DOUBLE) AS start, CAST(least(n, e - a) AS DOUBLE) AS end FROM runs JOIN k USING (recording_id) WHERE least(n, e - a) > greatest(0, s - a)")
+def slice_stored(spark, sf):
+    p = pupil_table(spark, sf)
+    store = st.stored(iv.runs(p, F.col("pupil__m")), "left")
+    return sm.slice_with(p, _clicks(p), store, 100, 400, units.factor("h"))[2].select("recording_id", "start", "end")
+
+
+@query(f"WITH {_G}, {_MM} SELECT g.recording_id, g.i, round(g.pupil * sqrt((((left_x - 40) * 5) ** 2 + ((left_y - 10) * (200.0 / 60)) ** 2) / (d * d) + 1), 4) AS size, left_x__m AS masked FROM g, s")
+def foreshortening_corrected(spark, sf):
+    g = gaze_table(spark, sf).withColumns({"left_pupil": F.col("pupil"), "left_pupil__m": F.col("left_x__m")})
+    out = gz.correct_foreshortening(g, SETUP, ("left",), (40, 10), "size")
+    return out.select("recording_id", "i", F.round("left_size", 4).alias("size"), F.col("left_size__m").alias("masked"))
+
+
+@query(
+    f"""WITH {_G}, n AS (SELECT recording_id, count(*) AS n FROM g GROUP BY 1), f(factor) AS (VALUES (5), (50), (500)),
+r AS (SELECT g.recording_id, factor, CAST(floor(i / factor) AS BIGINT) AS chunk, i, left_x FROM g JOIN n USING (recording_id) CROSS JOIN f WHERE floor(i / factor) < greatest(1, floor(n / factor))),
+a AS (SELECT recording_id, factor, chunk, arg_min(i, (left_x, i)) AS lo, arg_max(i, (left_x, -i)) AS hi FROM r GROUP BY 1, 2, 3),
+e AS (SELECT recording_id, factor, chunk, CAST(0 AS BIGINT) AS pos, least(lo, hi) AS i FROM a UNION ALL SELECT recording_id, factor, chunk, CAST(1 AS BIGINT), greatest(lo, hi) FROM a)
+SELECT recording_id, factor, chunk, pos, CAST(i * 2.0 AS DOUBLE) AS t_ms, CASE WHEN NOT left_x__m THEN left_x END AS normal, CASE WHEN left_x__m THEN left_x END AS masked FROM e JOIN g USING (recording_id, i)"""
+)
+def lod_pyramid(spark, sf):
+    return vw.pyramid(gaze_table(spark, sf), "left_x", (5, 50, 500))
+
+
+_TOTALS = "count(pupil) AS n, round(sum(pupil), 3) AS sum, min(pupil) AS min, max(pupil) AS max"
+
+
+@query(f"WITH {_P} SELECT label, recording_id, CAST(grouping(label, recording_id) AS BIGINT) AS grouping, {_TOTALS} FROM p GROUP BY ROLLUP (label, recording_id)")
+def subtotals_by_label(spark, sf):
+    out = iv.subtotals(pupil_table(spark, sf), ["label", "recording_id"], "pupil", ("n", "sum", "min", "max"))
+    return out.withColumns({"sum": F.round("sum", 3), "grouping": F.col("grouping").cast("long")})
+
+
+@query(f"WITH {_P} SELECT label, masked, CAST(grouping(label, masked) AS BIGINT) AS grouping, {_TOTALS} FROM (SELECT *, pupil IS NULL AS masked FROM p) GROUP BY CUBE (label, masked)")
+def subtotals_crossed(spark, sf):
+    p = pupil_table(spark, sf).withColumnRenamed("pupil__m", "masked")
+    out = iv.subtotals(p, ["label", "masked"], "pupil", ("n", "sum", "min", "max"), cross=True)
+    return out.withColumns({"sum": F.round("sum", 3), "grouping": F.col("grouping").cast("long")})

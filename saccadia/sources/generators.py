@@ -1,4 +1,4 @@
-"""Synthetic recordings with known truth, made in parallel from spark.range."""
+"""Synthetic recordings with known truth, made in parallel, one a number or one for each recording of a table."""
 
 from __future__ import annotations
 
@@ -14,8 +14,10 @@ from saccadia.functions.geometry import Setup, cos_alpha
 from saccadia.operators.samples import mask_of
 
 
-def _per(spark: SparkSession, n: int, fn, schema: str) -> DataFrame:
-    return spark.range(n).withColumnRenamed("id", "recording_id").groupBy("recording_id").applyInPandas(lambda p: fn(int(p["recording_id"].iloc[0])), schema)
+def _per(spark: SparkSession, n: int | DataFrame, fn, schema: str) -> DataFrame:
+    """fn of each recording_id from 0 to n - 1, or of those (whole numbers) that a DataFrame has."""
+    ids = n.select(F.col("recording_id").cast("long").alias("recording_id")).distinct() if isinstance(n, DataFrame) else spark.range(n).withColumnRenamed("id", "recording_id")
+    return ids.groupBy("recording_id").applyInPandas(lambda p: fn(int(p["recording_id"].iloc[0])), schema)
 
 
 def pupil_baseline(spark: SparkSession, n: int = 4, seconds: float = 20, fs: float = 100, mean: float = 750, amplitude: float = 100, freq: float = 0.5, seed: int = 1) -> DataFrame:
@@ -30,7 +32,7 @@ def pupil_baseline(spark: SparkSession, n: int = 4, seconds: float = 20, fs: flo
     return _per(spark, n, fn, "recording_id long, i long, t_ms double, pupil double")
 
 
-def fixations(spark: SparkSession, n: int = 4, seconds: float = 20, mean_ms: float = 300, sd_ms: float = 100, screen=((0, 1920), (0, 1080)), count: int | None = None, seed: int = 1) -> DataFrame:
+def fixations(spark: SparkSession, n: int | DataFrame = 4, seconds: float = 20, mean_ms: float = 300, sd_ms: float = 100, screen=((0, 1920), (0, 1080)), count: int | None = None, seed: int = 1) -> DataFrame:
     """Fixations with normal durations (50 ms at least), shortened to the time if they fill more of it, at uniform places."""
 
     def fn(rec: int) -> pd.DataFrame:
@@ -93,7 +95,7 @@ def _positive_normal(g, mean: float, sd: float, n: int) -> np.ndarray:
 
 
 def pupil_responses(
-    spark: SparkSession, n: int = 2, trials: int = 8, isi: float = 2500, fs: float = 20, noise: float = 0.01, seed: int = 3, pad: float = 5000, baseline_freq: float | None = None,
+    spark: SparkSession, n: int | DataFrame = 2, trials: int = 8, isi: float = 2500, fs: float = 20, noise: float = 0.01, seed: int = 3, pad: float = 5000, baseline_freq: float | None = None,
     weight=(1.0, 0.2), npar=(10.1, 0.0), tmax=(930.0, 0.0), spurious: int = 0, response_times: tuple[float, float] | None = None, scale=(5.0, 1.0),
 ) -> DataFrame:
     """Baseline, responses of known weight to each event, responses to `spurious` hidden ones, and noise; `event` marks samples.
@@ -133,7 +135,7 @@ def pupil_responses(
     return _per(spark, n, fn, "recording_id long, i long, t_ms double, pupil double, baseline double, event boolean, weight double")
 
 
-def trials(spark: SparkSession, n: int = 1, ntrials: int = 100, isi: float = 2000, response_times=(1000.0, 500.0), fs: float = 1000, **settings) -> DataFrame:
+def trials(spark: SparkSession, n: int | DataFrame = 1, ntrials: int = 100, isi: float = 2000, response_times=(1000.0, 500.0), fs: float = 1000, **settings) -> DataFrame:
     """pupil_responses with a stimulus every `isi` ms and a response to each."""
     return pupil_responses(spark, n, ntrials, isi, fs, response_times=response_times, baseline_freq=settings.pop("baseline_freq", 0.2), **settings)
 

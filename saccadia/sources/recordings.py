@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Callable
 from urllib.parse import urlparse
 
@@ -11,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from saccadia.operators.samples import indexed, ingest, mask_of
 
@@ -111,14 +113,39 @@ def read_tracker_events(spark: SparkSession, path: str) -> DataFrame:
     return kinds.select("recording_id", F.substring(F.col("w")[0], 2, 10).alias("kind"), F.col("w")[1].alias("eye"), F.col("w")[2].try_cast("double").alias("start"), F.col("w")[3].try_cast("double").alias("end"), rest.alias("values"))
 
 
-def write_bundle(path: str, **tables: DataFrame) -> None:
-    """Each table as Parquet under path/name."""
+def write_bundle(path: str, buckets: int = 0, sort: str = "i", **tables: DataFrame) -> None:
+    """Each table as Parquet under path/name.
+
+    With `buckets`, tables that have recording_id are dealt into that many files by it, each
+    sorted by recording and `sort`: what is read back needs no shuffle for windows and joins
+    by recording, and a recording is found in one file. How a table is laid out is written
+    beside it. A recording is in one file, whatever its length.
+    """
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        keys = [k for k in ("recording_id", sort) if k in df.columns] if buckets and "recording_id" in df.columns else []
+        spark, to = df.sparkSession, f"{path}/{name}"
+        if keys:
+            table = f"bundle_{uuid.uuid4().hex}"
+            df.repartition(buckets, "recording_id").write.mode("overwrite").bucketBy(buckets, "recording_id").sortBy(*keys).option("path", to).saveAsTable(table)
+            spark.sql(f"DROP TABLE {table}")  # the name; the files stay
+        else:
+            df.write.mode("overwrite").parquet(to)
+        layout = json.dumps({"schema": df.schema.jsonValue(), "buckets": buckets if keys else 0, "sorted": keys})
+        spark.createDataFrame([(layout,)], "value string").coalesce(1).write.mode("overwrite").text(f"{to}.layout")
 
 
 def read_bundle(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{name}")
+    """A table of write_bundle; a bucketed one comes with its buckets and their order."""
+    layout = json.loads(spark.read.text(f"{path}/{name}.layout").first()["value"])
+    if not layout["buckets"]:
+        return spark.read.schema(StructType.fromJson(layout["schema"])).parquet(f"{path}/{name}")
+    table = f"bundle_{uuid.uuid5(uuid.NAMESPACE_URL, f'{path}/{name}#{json.dumps(layout)}').hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in StructType.fromJson(layout["schema"]))
+    by = ", ".join(f"`{k}`" for k in layout["sorted"])
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet CLUSTERED BY (recording_id) SORTED BY ({by}) INTO {layout['buckets']} BUCKETS LOCATION '{path}/{name}'")
+    # one file a bucket: its order counts as the rows' order
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    return spark.table(table)
 
 
 def study_paths(spark: SparkSession, config: str, kind: str, subjects: list[str] | None = None) -> dict[str, str]:
