@@ -264,12 +264,12 @@ def _rise(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.array([out[i] for i in at.tolist()])
 
 
-def cubic_spline(x, y, at) -> np.ndarray:
-    """Cubic spline through (x, y) whose third derivative goes on at the second and the last but one knot."""
-    x, y, at = (np.asarray(v, float) for v in (x, y, at))
+def cubic_moments(x, y) -> np.ndarray:
+    """Second derivatives at the knots of cubic_spline; up to three points lie on one polynomial."""
+    x, y = (np.asarray(v, float) for v in (x, y))
     n, h = len(x), np.diff(x)
     if n < 4:
-        return np.polyval(np.polyfit(x, y, n - 1), at)
+        return np.full(n, 2 * np.polyfit(x - x[0], y, 2)[0] if n == 3 else 0.0)
     rhs = 6 * np.diff(np.diff(y) / h)
     low, mid, up = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy()
     for e, o, off in ((0, 1, up), (-1, -2, low)):
@@ -284,6 +284,16 @@ def cubic_spline(x, y, at) -> np.ndarray:
         c[i + 1] = (rhs[i] - (up[i] * c[i + 2] if i < n - 3 else 0)) / mid[i]
     c[0] = c[1] + (c[1] - c[2]) * h[0] / h[1]
     c[-1] = c[-2] + (c[-2] - c[-3]) * h[-1] / h[-2]
+    return c
+
+
+def cubic_spline(x, y, at) -> np.ndarray:
+    """Cubic spline through (x, y) whose third derivative goes on at the second and the last but one knot."""
+    x, y, at = (np.asarray(v, float) for v in (x, y, at))
+    n, h = len(x), np.diff(x)
+    if n < 4:
+        return np.polyval(np.polyfit(x, y, n - 1), at)
+    c = cubic_moments(x, y)
     k = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 2)
     a, b = (x[k + 1] - at) / h[k], (at - x[k]) / h[k]
     return a * y[k] + b * y[k + 1] + ((a**3 - a) * c[k] + (b**3 - b) * c[k + 1]) * h[k] ** 2 / 6

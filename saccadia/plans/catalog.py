@@ -12,6 +12,7 @@ from saccadia.functions import rois, units
 from saccadia.operators import blinks as bl
 from saccadia.operators import calibration as cal
 from saccadia.operators import columns as co
+from saccadia.operators import envelopes
 from saccadia.operators import epochs as ep
 from saccadia.operators import events as es
 from saccadia.operators import gaze as gz
@@ -19,6 +20,7 @@ from saccadia.operators import intervals as iv
 from saccadia.operators import models as md
 from saccadia.operators.history import History
 from saccadia.operators import samples as sm
+from saccadia.operators import splines
 from saccadia.operators import stores as st
 from saccadia.operators import views as vw
 from saccadia.sources import generators as gen
@@ -971,7 +973,7 @@ def signal_quality(spark, sf):
 def response_fit(spark, sf):
     """Responses to clicks, on the clock of the table: one hour stands for a millisecond."""
     p = _with_clicks(spark, sf).withColumn("t_ms", F.col("t_ms") / 3_600_000)
-    return md.response(p, "pupil")
+    return envelopes.response_weights(p, "pupil")
 
 
 @query()
@@ -982,12 +984,12 @@ def response_baseline(spark, sf):
 
 @query()
 def baseline_envelope(spark, sf):
-    return md.baseline(pupil_table(spark, sf), "pupil", 1.0, 0.2)
+    return envelopes.trough_baseline(pupil_table(spark, sf), "pupil", 1.0, 0.2)
 
 
 @query()
 def baseline_spline(spark, sf):
-    return md.asymmetric_baseline(pupil_table(spark, sf), "pupil")
+    return splines.asymmetric_baseline(pupil_table(spark, sf), "pupil", rounds=8)
 
 
 @query()

@@ -152,11 +152,6 @@ def foreshortening_objective(spark, sf):
     return out.select("recording_id", "n", *[r6(c, c) for c in ("data_loss", "smooth_loss", "loss", "rmse", "r2")])
 
 
-@query()
-def baseline_spline_long(spark, sf):
-    return splines.asymmetric_baseline(pupil_table(spark, sf), "pupil", rounds=8)
-
-
 # --- storage, slices, levels and subtotals
 
 
