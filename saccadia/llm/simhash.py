@@ -32,7 +32,7 @@ DENSE = 48
 #: has), that of the 32 bits in a node, runs paired in full.
 WORDS, FAR, NODE_FAR, THIN = 16, 190, 13, 8
 #: Fewest segments, and the chance (by the model) with which a pair of similarity 0.8 meets in one of them.
-PARTS, MEET = 14, 0.985
+PARTS, MEET = 14, 0.97
 
 
 LANES = np.uint64(0x0101010101010101)
@@ -269,7 +269,9 @@ def segments(bits: int, similarity: float = 0.8) -> int:
     """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     one = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
-    return max(PARTS, math.ceil(math.log(1 - MEET) / math.log(1 - one)))
+    n = math.ceil(math.log(1 - MEET) / math.log(1 - one))
+    # segments beyond the half words share bits with others and so count for less
+    return max(PARTS, n + max(0, n - 2 * WORDS) * 2 // 5)
 
 
 def _segment(fp, n: int, bits: int):
@@ -320,7 +322,7 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     length, so that as many pairs meet. Rows that share all shingles are one set; null and
     wordless texts are the empty set; no rows give none. Members of long runs are
     linked to the run's first node, then to another chosen by chance, and those that are
-    still in different components are compared with one another.
+    still outside the run's largest component are compared with all of the run.
     """
     spark = docs.sparkSession
     rows = written(prints(docs, width), "prints")
@@ -347,10 +349,12 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
             x, y = [F.col(f"pivot.{c}") for c in ("node", "root", "fp")], [F.col(c) for c in ("node", "root", "fp")]
             more = known.join(split, "key").filter((x[1] != y[1]) & _nodes_close(x[0], y[0]) & _prints_close(x[2], y[2]))
         else:
-            left = known.join(split.select("key"), "key", "left_semi")
+            # those outside a run's largest component, against all of the run
+            sizes = known.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1").withColumnRenamed("key", "k")
+            minor = known.join(sizes, (F.col("key") == F.col("k")) & (F.col("root") != F.col("main"))).select("key", "node", "root", "fp", "main")
             x, y = ([F.col(f"{t}.{c}") for c in ("node", "root", "fp")] for t in "lr")
             met_once = _nodes_close(x[0], y[0]) & _first_met(F.col("l.key"), x[2], y[2], bits) & _prints_close(x[2], y[2])
-            more = left.alias("l").join(left.alias("r"), (F.col("l.key") == F.col("r.key")) & (x[1] < y[1]) & met_once)
+            more = minor.alias("l").join(known.alias("r"), (F.col("l.key") == F.col("r.key")) & ((y[1] == F.col("l.main")) | (x[1] < y[1])) & met_once)
         more = written(more.select(F.least(x[0], y[0]).alias("a"), F.greatest(x[0], y[0]).alias("b")).distinct(), "more")
         if more.isEmpty():
             released(more)
