@@ -5,14 +5,18 @@ escape; symbols are written in a Huffman code, so a text is a row of binary deci
 decision is predicted by the code node alone, whose counts follow from the symbols' counts,
 and by hashed contexts - the last word, and the last two - whose slots hold how often 0 and
 1 came. The predictions are mixed in the logistic domain with weights gated by the depth of
-the node and by how sure the contexts are, and refined as the text goes on: after each block
-of decisions the mix is scaled by what the blocks before have shown. After an escape a word
+the node and by how sure the contexts are. They are refined as a text goes on: before each
+block of decisions, every predictor's share of the mix moves by a Newton step on the blocks
+of that text before it. After an escape a word
 has its add-one share of the words that have no symbol; words never seen in training share
 one place there, just as in the unigram base, so both models spread over the same outcomes.
 The sum of -log2 of all these probabilities is the text's bits.
 
-Word counts and slot counts cover all training rows. Tasks learn slot counts and weights
-for their own rows; the slot counts are added up in chunks and the weights averaged. What
+Word counts and slot counts cover all training rows; tasks count slots for their own rows and
+the counts are added up in chunks. The weights are learned on one row in `PART` by a hash
+of its id, against slots that the other rows alone have filled, by a few Newton steps whose
+sums run over all these rows; then these rows' slots are added. So neither the slots nor the
+weights hang on how rows are dealt to tasks. What
 is broadcast is bounded: 2**bits one-byte slots for each context, and `head` words with
 their counts, of which the first `SYMBOLS` have a code. Words outside the head meet their
 counts by an equality join.
@@ -30,14 +34,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saccadia.llm.common import fold, written
+from saccadia.llm.common import fold, released, written
 
 HEAD, SYMBOLS, BITS, CONTEXTS, CHUNK = 1 << 17, 1 << 14, 22, 2, 1 << 15
 #: Decisions handled at once, decisions in an adaptive block, and words counted before a flush.
 BATCH, BLOCK, FLUSH = 400_000, 512, 300_000
 GATES, SCALE, FLOOR = 64, 12.0, 0.4
-#: One batch in so many moves the weights of the mix while slots are learned.
-MIX_EVERY = 8
+#: One row in so many teaches the weights of the mix; Newton steps, and what damps them; the same for the steps within a text.
+PART, STEPS, DAMP, DAMP_TEXT = 8, 4, 50.0, 200.0
 END_WORD = b" "
 
 
@@ -119,6 +123,9 @@ class Coder:
         s = np.where((ids < 0) | (ids > self.esc), self.esc, ids)
         w = (ids + 2).astype(np.uint32)
         w1, w2 = (np.concatenate((np.zeros(k, np.uint32), w[:-k]))[: len(w)] for k in (1, 2))
+        # nothing is known across the end of a text (id 0)
+        w2[(w1 == 2) | (w2 == 2)] = 0
+        w1[w1 == 2] = 0
         c = [w1 * np.uint32(0x9E3779B1), w1 * np.uint32(0x85EBCA77) + w2 * np.uint32(0xC2B2AE3D) + np.uint32(7)]
         n = self.size[s]
         ends = np.cumsum(n, dtype=np.int32)
@@ -168,110 +175,149 @@ def _initial() -> np.ndarray:
     return np.repeat(np.array([[0.7, 0.3, 0.3]]), GATES, 0)
 
 
-def learn(docs: DataFrame, coder) -> tuple[list[np.ndarray], np.ndarray]:
-    """(a slot table of signed bytes for each context, weights by gate) from all rows."""
-    spark, size = docs.sparkSession, 1 << coder.value.bits
+def slot_counts(docs: DataFrame, coder) -> DataFrame:
+    """(context, at, data): counts of 0 and 1 by slot, chunk by chunk, of each task's rows."""
+    size = 1 << coder.value.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, pack = coder.value, zstandard.ZstdCompressor(1)
-        seen = [np.zeros(2 * size, np.int32) for _ in range(CONTEXTS)]
-        w, total = _initial(), 0
-        for turn, (_, texts) in enumerate(_batches(batches, 0, BATCH // 12)):
-            flat = [x for ws in texts for x in ws]
-            bit, path, slots, _, _ = code.decisions(flat)
-            total += len(bit)
-            if 0 < turn < MIX_EVERY or turn % MIX_EVERY == MIX_EVERY - 1:
-                # as the rows come: predict with what has been seen, then move the weights
-                st = [np.log((t[2 * s + 1] + FLOOR) / (t[2 * s] + FLOOR)).clip(-8, 8).astype(np.float32) for t, s in zip(seen, slots, strict=True)]
-                gate = _gates(code.deep[path], st)
-                st = [code.plain[path], *st]
-                for _ in range(2):
-                    z = sum(w[gate, k].astype(np.float32) * x for k, x in enumerate(st))
-                    p = _squash(z)
-                    err, var = bit - p, p * (1 - p)
-                    for k, x in enumerate(st):
-                        g = np.bincount(gate, err * x, GATES)
-                        h = np.bincount(gate, var * x * x, GATES)
-                        w[:, k] = np.clip(w[:, k] + 0.25 * g / (h + 500), -0.2, 2)
+        seen, total = [np.zeros(2 * size, np.int32) for _ in range(CONTEXTS)], 0
+        for _, texts in _batches(batches, 0, BATCH // 12):
+            bit, _, slots, _, _ = code.decisions([x for ws in texts for x in ws])
             one = np.ones(len(bit), np.int32)
             for t, s in zip(seen, slots, strict=True):
                 np.add.at(t, 2 * s + bit, one)
-        rows = [(k, at, pack.compress(t[2 * at : 2 * (at + CHUNK)].tobytes())) for k, t in enumerate(seen) for at in range(0, size, CHUNK) if t[2 * at : 2 * (at + CHUNK)].any()]
-        if total:
-            rows.append((-1, total, w.tobytes()))
+            total += len(bit)
+        chunks = range(0, size, CHUNK) if total else ()
+        rows = [(k, at, pack.compress(t[2 * at : 2 * (at + CHUNK)].tobytes())) for k, t in enumerate(seen) for at in chunks if t[2 * at : 2 * (at + CHUNK)].any()]
         cols = list(zip(*rows, strict=True)) if rows else [()] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["context", "at", "data"])
 
-    parts = written(docs.select(F.col("text").cast("string")).mapInArrow(run, "context int, at long, data binary"), "slots")
+    return written(docs.select(F.col("text").cast("string")).mapInArrow(run, "context int, at long, data binary"), "slots")
 
+
+def slot_tables(parts: DataFrame, bits: int) -> list[np.ndarray]:
+    """A table of signed bytes for each context: the log odds of each slot's counts over all parts."""
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Adds up the sorted rows of each chunk, one row in memory at a time."""
         here, sums, out = None, None, []
-        unpack = zstandard.ZstdDecompressor()
+        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(1)
 
         def close():
             n0, n1 = sums[::2], sums[1::2]
             st = np.log((n1 + FLOOR) / (n0 + FLOOR)).clip(-8, 8)
             return (*here, pack.compress(np.rint(st * SCALE).astype(np.int8).tobytes()))
 
-        pack = zstandard.ZstdCompressor(1)
         for b in batches:
             for k, at, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (k, at) != here:
                     if here is not None:
                         out.append(close())
                     here, sums = (k, at), np.zeros(2 * CHUNK, np.int64)
-                sums += np.frombuffer(unpack.decompress(data), np.int32)
+                part = np.frombuffer(unpack.decompress(data), np.int32)
+                sums[: len(part)] += part
         if here is not None:
             out.append(close())
         cols = list(zip(*out, strict=True)) if out else [()] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["context", "at", "data"])
 
-    tables = [np.zeros(size, np.int8) for _ in range(CONTEXTS)]
-    merged = parts.filter("context >= 0").repartition("context", "at").sortWithinPartitions("context", "at").mapInArrow(add, "context int, at long, data binary")
+    tables = [np.zeros(1 << bits, np.int8) for _ in range(CONTEXTS)]
+    merged = parts.repartition("context", "at").sortWithinPartitions("context", "at").mapInArrow(add, "context int, at long, data binary")
     unpack = zstandard.ZstdDecompressor()
     for r in merged.toLocalIterator():  # the whole is 2**bits bytes a context
-        tables[r["context"]][r["at"] : r["at"] + CHUNK] = np.frombuffer(unpack.decompress(bytes(r["data"])), np.int8)
+        part = tables[r["context"]][r["at"] : r["at"] + CHUNK]
+        part[:] = np.frombuffer(unpack.decompress(bytes(r["data"])), np.int8)[: len(part)]
+    return tables
 
-    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, acc = 0, np.zeros((GATES, CONTEXTS + 1))
-        for b in batches:
-            for n, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                acc += n * np.frombuffer(data).reshape(GATES, -1)
-                total += n
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([acc.tobytes()])], ["n", "data"])
 
-    total, acc = 0, np.zeros((GATES, CONTEXTS + 1))
-    for r in parts.filter("context = -1").mapInArrow(mean, "n long, data binary").toLocalIterator():
-        total, acc = total + r["n"], acc + np.frombuffer(bytes(r["data"])).reshape(GATES, -1)
-    return tables, (acc / total if total else _initial())
+def _stretched(path, slots, code, tables) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Gate of each decision, and the log odds that the node alone and each context give."""
+    st = [t.take(s).astype(np.float32) * np.float32(1 / SCALE) for t, s in zip(tables, slots, strict=True)]
+    return _gates(code.deep.take(path), st), [code.plain.take(path), *st]
+
+
+_PAIRS = [(a, b) for a in range(CONTEXTS + 1) for b in range(a, CONTEXTS + 1)]
+
+
+def mixing_weights(docs: DataFrame, coder, tables: list[np.ndarray]) -> np.ndarray:
+    """Weights by gate: damped Newton steps on the log loss of all rows, each one aggregation of some hundred sums."""
+    spark, weights, k = docs.sparkSession, _initial(), CONTEXTS + 1
+    for _ in range(STEPS):
+        model = spark.sparkContext.broadcast((tables, weights))
+
+        def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+            code, (tabs, w) = coder.value, model.value
+            sums = np.zeros((k + len(_PAIRS), GATES))
+            for _, texts in _batches(batches, 0, BATCH // 12):
+                bit, path, slots, _, _ = code.decisions([x for ws in texts for x in ws])
+                gate, st = _stretched(path, slots, code, tabs)
+                p = _squash(sum(w[gate, m] * x for m, x in enumerate(st)))
+                err, var = bit - p, p * (1 - p)
+                for m, x in enumerate(st):
+                    sums[m] += np.bincount(gate, err * x, GATES)
+                for m, (a, b) in enumerate(_PAIRS):
+                    sums[k + m] += np.bincount(gate, var * st[a] * st[b], GATES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size, dtype=np.int32)), pa.array(sums.reshape(-1))], ["cell", "value"])
+
+        got = docs.select(F.col("text").cast("string")).mapInArrow(run, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()
+        model.destroy()
+        sums = np.zeros((k + len(_PAIRS)) * GATES)
+        for r in got:
+            sums[r["cell"]] = r["value"]
+        sums = sums.reshape(-1, GATES)
+        hessian = np.zeros((GATES, k, k))
+        for m, (a, b) in enumerate(_PAIRS):
+            hessian[:, a, b] = hessian[:, b, a] = sums[k + m]
+        step = np.linalg.solve(hessian + DAMP * np.eye(k), sums[:k].T[:, :, None])[:, :, 0]
+        # sums in another order differ in their last digits: rounding takes these away
+        weights = (weights + step).clip(-0.2, 2).round(6)
+    return weights
+
+
+def learn(docs: DataFrame, coder) -> tuple[list[np.ndarray], np.ndarray]:
+    """(a slot table of signed bytes for each context, weights by gate) from all rows (doc_id, text)."""
+    teaches = F.pmod(F.xxhash64("doc_id"), F.lit(PART)) == PART - 1
+    bits = coder.value.bits
+    others, own = docs.filter(~teaches), docs.filter(teaches)
+    parts = slot_counts(others, coder)
+    weights = mixing_weights(own, coder, slot_tables(parts, bits))
+    more = slot_counts(own, coder)
+    tables = slot_tables(parts.unionByName(more), bits)
+    released(parts, more)
+    return tables, weights
 
 
 def _bits(bit, path, slots, code, tables, weights, doc_of) -> np.ndarray:
     """-log2 probability of each decision, refined over the blocks of its text.
 
-    doc_of: first decision of each text. A block's mix is scaled by one damped Newton
-    step on all blocks of the text before it.
+    doc_of: first decision of each text. Before a block, the share of each predictor is
+    changed by one damped Newton step on all blocks of the text before it.
     """
     n = len(bit)
-    st = [t.take(s).astype(np.float32) * np.float32(1 / SCALE) for t, s in zip(tables, slots, strict=True)]
-    gate, w32 = _gates(code.deep.take(path), st), weights.astype(np.float32)
-    z = code.plain.take(path)
-    z *= w32[:, 0].take(gate)
-    for k, x in enumerate(st):
-        x *= w32[:, k + 1].take(gate)
-        z += x
+    gate, st = _stretched(path, slots, code, tables)
+    w32 = weights.astype(np.float32)
+    for m, x in enumerate(st):
+        x *= w32[:, m].take(gate)
+    z = sum(st)
     edges = np.unique(np.concatenate([doc_of, *(np.arange(a, b, BLOCK) for a, b in zip(doc_of, np.append(doc_of[1:], n), strict=True) if b - a > BLOCK)]))
     if len(edges) > len(doc_of):
-        size = np.diff(np.append(edges, n))
+        size, k = np.diff(np.append(edges, n)), len(st)
         p = _squash(z)
-        text = np.searchsorted(doc_of, edges, "right") - 1
-        head = np.searchsorted(edges, doc_of)
-        g = np.add.reduceat((bit - p) * z, edges).astype(np.float64)
-        h = np.add.reduceat(p * (1 - p) * z * z, edges).astype(np.float64)
-        g, h = np.cumsum(g) - g, np.cumsum(h) - h
-        move = ((g - g[head][text]) / (h - h[head][text] + 200.0)).clip(-0.9, 2)
-        z *= np.repeat((1 + move).astype(np.float32), size)
+        err, var = bit - p, p * (1 - p)
+        head = np.searchsorted(edges, doc_of)[np.searchsorted(doc_of, edges, "right") - 1]
+
+        def before(v):
+            """Sum over the blocks of the same text before each block."""
+            c = np.add.reduceat(v, edges).astype(np.float64)
+            c = np.cumsum(c) - c
+            return c - c[head]
+
+        g = np.stack([before(err * x) for x in st], -1)
+        h = np.empty((len(edges), k, k))
+        for a, b in _PAIRS:
+            h[:, a, b] = h[:, b, a] = before(var * st[a] * st[b])
+        move = np.linalg.solve(h + DAMP_TEXT * np.eye(k), g[:, :, None])[:, :, 0].clip(-0.9, 2).astype(np.float32)
+        z = sum(x * np.repeat(1 + move[:, m], size) for m, x in enumerate(st))
     # log2(1 + e^-m) with m towards the bit that came; no chance is ever 0
     np.negative(z, out=z, where=bit > 0)
     return np.log2(1 + np.exp(z.clip(-16, 16)))
@@ -307,7 +353,7 @@ def score_texts(docs: DataFrame, mod: int = 7, held: int = 2, head: int = HEAD,
     rare = counts.filter(~inside & (F.col("word") != F.lit(END_WORD)))
     seen, kinds = rare.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     coder = spark.sparkContext.broadcast(Coder([w for w, _ in top], np.array([n for _, n in top], np.int64), int(seen) + int(kinds) + 1, bits))
-    tables, weights = learn(training, coder)
+    tables, weights = learn(training, coder)  # the same, however rows are dealt to tasks
     model = spark.sparkContext.broadcast((tables, weights))
     norm = float(np.log10(n_all + n_kinds + 1.0))
 
