@@ -28,8 +28,8 @@ from saccadia.llm.common import components, released, written
 BLOCK, SAMPLE, EACH, PROBES = 512, 20_000, 16, 2048
 #: Most codes in a half (33 million vectors; beyond that cells fill up), most cells to visit before all rows become one cell.
 MOST_CODES, MOST_VISITS = 2048, 1024
-#: Groups of linked recall queries to be found (fewer only if all rows have been queries); queries kept of a group.
-LINKED, MEMBERS = 300, 8
+#: Groups of linked recall queries wanted, queries kept of a group, and rows tried as queries before groups are made up.
+LINKED, MEMBERS, TRIED = 300, 8, 1 << 15
 
 
 def unit(rows) -> np.ndarray:
@@ -74,9 +74,12 @@ def _usable(e):
 def fit(reps: DataFrame, n: int, threshold: float, recall: float) -> tuple[tuple, int, float]:
     """(codebooks, cells to visit, recall measured on the probes).
 
-    Recall is the mean over groups of linked probes, so a large group counts once. The
-    cells are the fewest whose recall is enough at its lower bound - or as it stands, once
-    all rows have been probes. If no number of cells is enough, one cell holds all rows.
+    Recall is the mean over groups of linked probes, so a large group counts once. Where
+    links are so rare that TRIED random rows show fewer than LINKED groups, the others are
+    made up: a random row, and a vector just at the threshold from it in a random direction.
+    The cells are the fewest whose recall is enough at its lower bound - or as it stands,
+    once all rows have been probes. If no number of cells is enough, one cell holds all rows.
+    The driver holds LINKED * MEMBERS probes and a sample, whatever the table holds.
     """
     codes = int(min(MOST_CODES, max(4, math.sqrt(n / 8))))
     size = max(SAMPLE, EACH * codes)
@@ -85,17 +88,21 @@ def fit(reps: DataFrame, n: int, threshold: float, recall: float) -> tuple[tuple
     h = sample.shape[1] // 2
     books = (kmeans(sample[:, :h], codes), kmeans(sample[:, h:], codes))
     probes, group, whole = _linked(reps, n, sample.shape[1], threshold)
-    if not len(probes):  # every row has been compared with all others: only copies on another scale are left,
+    if not len(probes) and whole:  # every row has been compared with all others: only copies on another scale are left,
         return books, min(len(books[0]) * len(books[1]), 4), 1.0  # which may round to either side of a border in each half
+    groups = int(group.max()) + 1 if len(group) else 0
+    made, near = _made_up(sample, 0 if whole else max(0, LINKED - groups), threshold)
     grid = len(books[0]) * len(books[1])
     most = min(grid, 64)
     while True:
-        got = _ranks(reps, probes, books, most, threshold)
-        share = np.cumsum(got, 1)[:, :most] / got.sum(1, keepdims=True)
-        times = np.bincount(group)
-        share = np.stack([np.bincount(group, share[:, c]) for c in range(most)], 1) / times[:, None]
+        share = (visits(made, books, most) == visits(near, books, 1)).cumsum(1).astype(float) if len(made) else np.zeros((0, most))
+        if len(probes):
+            got = _ranks(reps, probes, books, most, threshold)
+            each = np.cumsum(got, 1)[:, :most] / got.sum(1, keepdims=True)
+            found = np.stack([np.bincount(group, each[:, c]) for c in range(most)], 1) / np.bincount(group)[:, None]
+            share = np.concatenate([found, share])
         mean = share.mean(0)
-        enough = np.flatnonzero((mean if whole else lower_bound(mean, len(times))) >= recall)
+        enough = np.flatnonzero((mean if whole else lower_bound(mean, len(share))) >= recall)
         if len(enough):
             return books, int(enough[0]) + 1, float(mean[enough[0]])
         if most >= min(grid, MOST_VISITS):
@@ -103,6 +110,16 @@ def fit(reps: DataFrame, n: int, threshold: float, recall: float) -> tuple[tuple
         most = min(grid, MOST_VISITS, 4 * most)
 
 
+def _made_up(sample: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """k rows of the sample, and for each a unit vector at the threshold's cosine from it."""
+    g = np.random.default_rng(11)
+    x = sample[g.integers(0, len(sample), k)]
+    y = g.normal(size=x.shape)
+    y -= (y * x).sum(1, keepdims=True) * x
+    norm = np.linalg.norm(y, axis=1, keepdims=True)
+    return x, threshold * x + math.sqrt(max(0.0, 1 - threshold * threshold)) * np.divide(y, norm, out=np.zeros_like(y), where=norm > 0)
+
+
 def lower_bound(mean, k: int, z: float = 1.645):
     """Wilson's one-sided lower bound of a mean of k shares."""
     return (mean + z * z / (2 * k) - z * np.sqrt(mean * (1 - mean) / k + z * z / (4 * k * k))) / (1 + z * z / k)
@@ -118,22 +135,28 @@ def _linked(reps: DataFrame, n: int, width: int, threshold: float) -> tuple[np.n
     """(probes with a link, their groups, whether all rows have been probes).
 
     Random rows are compared with all rows, in blocks, until the linked ones form `LINKED`
-    groups; probes that link with each other are one group. If need be all rows are probes.
+    groups or TRIED rows have been probes. Probes that link with each other are one group,
+    of which `MEMBERS` are kept as it grows.
     """
-    parts = max(1, math.ceil(n / max(1, min(PROBES, (1 << 22) // width))))
+    step = max(1, min(PROBES, (1 << 22) // width))
+    parts = max(1, math.ceil(n / step))
     at = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(parts))
-    found, group, done, step = np.zeros((0, width)), np.zeros(0, np.int64), 0, 1
-    while done < parts:
-        probes = unit(np.array([r["e"] for r in reps.filter((at >= done) & (at < done + step)).select("e").collect()]).reshape(-1, width))
-        done += step
+    found, group, done = np.zeros((0, width)), np.zeros(0, np.int64), 0
+    while done < parts and (done == 0 or done * step < TRIED):
+        probes = unit(np.array([r["e"] for r in reps.filter(at == done).select("e").collect()]).reshape(-1, width))
+        done += 1
         if len(probes):
             found = np.concatenate([found, probes[_has_link(reps, probes, threshold)]])
-            group = np.unique(_forest(np.concatenate([found[i : i + 256] @ found.T >= threshold for i in range(0, len(found), 256)])), return_inverse=True)[1] if len(found) else group
-        if len(found) and group.max() + 1 >= LINKED:
-            break
-    # a large group tells no more by each further member
-    keep = np.zeros(0, np.int64) if not len(found) else np.flatnonzero([(group[:i] == g).sum() < MEMBERS for i, g in enumerate(group)])
-    return found[keep], group[keep], done >= parts
+        if len(found):
+            group = _forest(np.concatenate([found[i : i + 256] @ found.T >= threshold for i in range(0, len(found), 256)]))
+            # a large group tells no more by each further member
+            order = np.argsort(group, kind="stable")
+            place = np.arange(len(group)) - np.searchsorted(group[order], group[order])
+            keep = np.sort(order[place < MEMBERS])
+            found, group = found[keep], np.unique(group[keep], return_inverse=True)[1]
+            if group.max() + 1 >= LINKED:
+                break
+    return found, group, done >= parts
 
 
 def _has_link(reps: DataFrame, probes: np.ndarray, threshold: float) -> np.ndarray:
