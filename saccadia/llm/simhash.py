@@ -24,15 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saccadia.llm.common import components, fresh, released, written
+from saccadia.llm.common import components, fresh, let, released, written
 
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 DENSE = 48
 #: The pipeline's stage: 64-bit words of a fingerprint, its widest difference (three sds over what a similarity of 0.8
 #: has), that of the 32 bits in a node, runs paired in full.
 WORDS, FAR, NODE_FAR, THIN = 16, 190, 13, 8
-#: Fewest segments, and the chance (by the model) with which a pair of similarity 0.8 meets in one of them.
-PARTS, MEET = 14, 0.97
+#: Bits of a segment left out together, fewest segments, and the chance (by the model) with which a pair of similarity 0.8 meets.
+WILD, PARTS, MEET = 4, 14, 0.975
 
 
 LANES = np.uint64(0x0101010101010101)
@@ -264,11 +264,13 @@ def _nodes_close(a, b):
 def segments(bits: int, similarity: float = 0.8) -> int:
     """Segments of `bits` bits so that a pair of this similarity meets with chance MEET at least.
 
-    A bit differs with chance acos(2J / (1 + J)) / pi, and a segment may differ in one. So
-    longer segments, as larger tables have them, come in larger numbers.
+    A bit differs with chance acos(2J / (1 + J)) / pi, and a pair meets where all bits of a
+    segment that differ are in one group of WILD. So longer segments, as larger tables have
+    them, come in larger numbers.
     """
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    one = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
+    same = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    groups = [min(WILD, bits - g) for g in range(0, bits, WILD)]
+    one = same**bits + sum(same ** (bits - g) - same**bits for g in groups)
     n = math.ceil(math.log(1 - MEET) / math.log(1 - one))
     # segments beyond the half words share bits with others and so count for less
     return max(PARTS, n + max(0, n - 2 * WORDS) * 2 // 5)
@@ -285,10 +287,11 @@ def _segment(fp, n: int, bits: int):
 
 
 def _keys(fp, bits: int):
-    """One key for each segment and each of its bits left out: (segment, bit) above the other bits."""
+    """One key for each segment and each of its groups of WILD bits left out: (segment, group) above the other bits."""
+    groups = F.array(*[F.struct(F.lit(~(((1 << WILD) - 1) << g)).alias("rest"), F.lit((g // WILD) << 33).alias("tag")) for g in range(0, bits, WILD)])
+
     def of(n):
-        s = _segment(fp, n, bits)
-        return F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda k: s.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), k).bitwiseXOR(F.lit(-1).cast("long"))).bitwiseOR(F.call_function("shiftleft", (k + 32 * n).cast("long"), F.lit(33))))
+        return let(_segment(fp, n, bits), lambda s: F.transform(groups, lambda g: s.bitwiseAND(g["rest"]).bitwiseOR(g["tag"] + F.lit(n << 38))))
 
     return F.flatten(F.array(*[of(n) for n in range(segments(bits))]))
 
@@ -297,7 +300,14 @@ def _first_met(key, a, b, bits: int):
     """Whether `key` is the first one that two fingerprints share, so that a pair is looked at once."""
     tag = F.shiftright(key, 33)
     n, k = F.shiftright(tag, 5), tag.bitwiseAND(31)
-    differ = [F.bit_count(_segment(a, m, bits).bitwiseXOR(_segment(b, m, bits))) for m in range(segments(bits))]
+
+    def groups(m):
+        """A bit for each group of four in which the segments differ."""
+        x = _segment(a, m, bits).bitwiseXOR(_segment(b, m, bits))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        return x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(0x11111111)
+
+    differ = [F.bit_count(groups(m)) for m in range(segments(bits))]
     none_before = functools.reduce(lambda s, v: s & v, [(F.lit(m) >= n) | (d > 1) for m, d in enumerate(differ)])
     equal = functools.reduce(lambda s, v: s | v, [(F.lit(m) == n) & (d == 0) for m, d in enumerate(differ)])
     return none_before & ((k == 0) | ~equal)
@@ -317,7 +327,7 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     """(node, root, doc_id, th): for each distinct shingle set its group and its first row.
 
     Sets are linked where their Jaccard similarity is at least `similarity`, verified on the
-    sets. Candidates agree in one of the segments of a fingerprint but for one bit; segments
+    sets. Candidates agree in one of the segments of a fingerprint but for one group of bits; segments
     grow with the number of sets, so buckets stay thin, and their number grows with their
     length, so that as many pairs meet. Rows that share all shingles are one set; null and
     wordless texts are the empty set; no rows give none. Members of long runs are
@@ -328,7 +338,7 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     rows = written(prints(docs, width), "prints")
     nodes = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"), F.min("fp").alias("fp"))
     nodes = written(nodes, "nodes")
-    bits = min(32, max(12, math.ceil(math.log2(max(nodes.count(), 1))) + 4))
+    bits = min(32, max(16, math.ceil(math.log2(max(nodes.count(), 1))) + 3 + WILD))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     v = nodes.select("node", "fp").repartition(tasks, "node").select(F.explode(_keys(F.col("fp"), bits)).alias("key"), "node")
     met = written(v.repartitionByRange(2 * tasks, "key", "node").sortWithinPartitions("key", "node").mapInArrow(_met, "kind int, key long, a long, b long"), "met")

@@ -31,7 +31,7 @@ def test_mixing_reruns_agree_whatever_the_layout(spark):
     assert mixing.mixed(df).count() == 200
 
 
-@pytest.mark.parametrize("bits", [12, 22, 32])
+@pytest.mark.parametrize("bits", [16, 22, 25, 32])
 def test_pairs_meet_at_any_length_of_segments(spark, bits):
     """Of pairs of each similarity, counted one by one, 0.95 agree in a segment but for one bit and pass the two bounds."""
     rng = np.random.default_rng(bits)
