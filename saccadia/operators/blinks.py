@@ -68,14 +68,15 @@ def velocity_blinks(df: DataFrame, signal: str, length: int, on: float | Column,
     onsets = marks.withColumns({"off": F.min(F.when(~F.col("on"), F.col("i"))).over(later), "some": some}).filter("on and some").join(sized, "recording_id")
     onsets = onsets.withColumn("off", F.coalesce("off", "n"))
     # of the onsets with one offset the first counts - unless it stands on the offset of the group before, and that is taken
-    groups = onsets.groupBy("recording_id", "n", "off").agg(F.min("i").alias("first"), F.min_by("i", "i").alias("_"), F.sort_array(F.collect_set("i")).alias("all"))
+    following = F.lead("i").over(Window.partitionBy("recording_id", "off").orderBy("i"))
+    groups = onsets.withColumn("next", following).groupBy("recording_id", "n", "off").agg(F.min("i").alias("first"), F.min_by("next", "i").alias("second"))
     w = by().orderBy("off")
-    groups = groups.withColumn("shared", F.coalesce(F.col("first") == F.lag("off").over(w), F.lit(False))).withColumn("only", F.col("shared") & (F.size("all") == 1))
+    groups = groups.withColumn("shared", F.coalesce(F.col("first") == F.lag("off").over(w), F.lit(False))).withColumn("only", F.col("shared") & F.col("second").isNull())
     # onsets that are alone on a shared sample alternate: each counts if the one before it doesn't
     run = groups.withColumn("k", F.row_number().over(w)).withColumn("since", F.col("k") - F.max(F.when(~F.col("only"), F.col("k"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     taken = run.withColumn("taken", F.col("since") % 2 == 0)
     before = F.coalesce(F.lag("taken").over(w), F.lit(False))
-    found = taken.withColumn("start", F.when(F.col("shared") & before & (F.size("all") > 1), F.get("all", F.lit(1))).otherwise(F.col("first"))).filter("taken")
+    found = taken.withColumn("start", F.when(F.col("shared") & before & F.col("second").isNotNull(), F.col("second")).otherwise(F.col("first"))).filter("taken")
     return grown(found.select("recording_id", "start", F.col("off").alias("end")), df, bad)
 
 
