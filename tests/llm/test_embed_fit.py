@@ -52,13 +52,13 @@ def test_no_links(spark, few_probes):
 
 
 def test_one_tight_group_and_rare_pairs(spark, few_probes):
-    """A group of 5,000 brings no more than a few probes, and pairs beside it are found."""
+    """A group of 500 brings no more than a few probes, and pairs beside it are found."""
     g = np.random.default_rng(3)
-    x = g.normal(size=(6000, 24))
-    x[:5000] = close(g, np.repeat(x[5000:5001], 5000, 0), 0.99)
-    x[5100:5160] = close(g, x[5200:5260], 0.94)
+    x = g.normal(size=(800, 24))
+    x[:500] = close(g, np.repeat(x[500:501], 500, 0), 0.99)
+    x[510:570] = close(g, x[610:670], 0.94)
     want = brute(x)
     got = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_vectors(frame(spark, x)).collect()}
     assert len(few_probes[0][0]) <= embed_dedup.MEMBERS + 16
-    assert sum(got[i] for i in range(5001)) >= 0.9 * want[:5001].sum()
-    assert sum(got[i] for i in range(5100, 5260)) >= 0.9 * want[5100:5260].sum()
+    assert sum(got[i] for i in range(501)) >= 0.9 * want[:501].sum()
+    assert sum(got[i] for i in range(510, 670)) >= 0.9 * want[510:670].sum()
