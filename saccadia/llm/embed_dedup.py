@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from saccadia.llm.common import components, released, written
 
-#: Vectors in a block of one cell; codebook sample, and rows of it for each code; recall queries at once.
-BLOCK, SAMPLE, EACH, PROBES = 512, 20_000, 16, 2048
+#: Members of a cell and vectors visiting it in a block; codebook sample, and rows of it for each code; recall queries at once.
+BLOCK, ASKERS, SAMPLE, EACH, PROBES = 1024, 2048, 20_000, 16, 2048
 #: Most codes in a half (33 million vectors; beyond that cells fill up), most cells to visit before all rows become one cell.
 MOST_CODES, MOST_VISITS = 2048, 1024
 #: Groups of linked recall queries wanted, queries kept of a group, and rows tried as queries before groups are made up.
@@ -212,6 +212,19 @@ def _forest(close: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _labels(close: np.ndarray, rows: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the smallest one in its component; close links nodes rows[i] and columns[j]."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, rows, np.where(close, label[columns][None, :], n).min(1))
+        np.minimum.at(new, columns, np.where(close, label[rows][:, None], n).min(0))
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def _linked_pairs(reps: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
     """(a, b, n) for the nodes of n distinct vectors of one width that have a link.
 
@@ -230,48 +243,50 @@ def _linked_pairs(reps: DataFrame, n: int, threshold: float, recall: float) -> D
                 yield c
 
     table = written(reps.select("e", "node", "times").mapInPandas(place, "e array<double>, node long, times long, visited array<int>"), "cells")
-    indexed = table.withColumn("cell", F.get("visited", F.lit(0)))
-    chunk = indexed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
-    own = indexed.join(chunk, "cell").withColumn("part", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    # a block: one part of a cell's members, and one part of a home cell's vectors that visit it
-    to = chunk.select(F.col("cell").alias("to"), F.col("chunks").alias("to_chunks"))
-    asks = own.select("cell", "part", "e", "node", "times", F.explode("visited").alias("to")).join(to, "to").withColumn("to_part", F.explode(F.sequence(F.lit(0), F.col("to_chunks") - 1)))
-    left = asks.filter((F.col("to") != F.col("cell")) | (F.col("to_part") >= F.col("part"))).select("cell", "part", "to", "to_part", "e", "node", "times", F.lit(True).alias("back"))
-    pairs = left.select("cell", "part", "to", "to_part").distinct()
-    members = own.select(F.col("cell").alias("to"), F.col("part").alias("to_part"), "e", "node", "times", "visited")
-    # of the cells that a member visits only one bit goes into the block
-    right = pairs.join(members, ["to", "to_part"]).select("cell", "part", "to", "to_part", "e", "node", "times", F.array_contains("visited", F.col("cell")).alias("back"))
-    both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
-
-    def block(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        cell, part, to, to_part = key
-        q, m = b[b["side"] == 0], b[b["side"] == 1]
+    home = F.get("visited", F.lit(0))
+    members = table.select(home.alias("to"), "e", "node", "times", home.alias("cell"), "visited")
+    asks = table.select(F.explode("visited").alias("to"), "e", "node", "times", home.alias("cell"), F.lit(None).cast("array<int>").alias("visited"))
+    # a block: one part of a cell's members, and one part of the vectors that visit the cell
+    sizes = members.groupBy("to").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    sizes = sizes.join(asks.groupBy("to").agg(F.ceil(F.count("*") / ASKERS).cast("int").alias("ask_parts")), "to")
+
+    def dealt(rows: DataFrame, mine: str, of: str, other: str, others: str) -> DataFrame:
+        """Each row in a part of its own, once for each part of the other side."""
+        return rows.join(sizes, "to").select(
+            "to", F.pmod(F.xxhash64("node"), F.col(of)).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias(other), "e", "node", "times", "cell", "visited"
+        )
+
+    both = dealt(members, "part", "parts", "ask_part", "ask_parts").unionByName(dealt(asks, "ask_part", "ask_parts", "part", "parts"))
+
+    def block(b: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"a": [], "b": [], "n": []})
+        asking = b["visited"].isna()
+        q, m = b[asking], b[~asking]
         if q.empty or m.empty:
-            return pd.DataFrame({"a": [], "b": [], "n": []})
+            return none
         x, y = unit(q["e"]), unit(m["e"])
         close = np.concatenate([x[i : i + 256] @ y.T >= threshold for i in range(0, len(x), 256)])
         a, c = q["node"].to_numpy(), m["node"].to_numpy()
-        ta, tc = q["times"].to_numpy(), m["times"].to_numpy()
-        close &= a[:, None] != c[None, :]
-        if not close.any():
-            return pd.DataFrame({"a": [], "b": [], "n": []})
+        order = np.argsort(c)
+        at = order[np.searchsorted(c[order], a).clip(max=len(c) - 1)]
+        close[np.arange(len(a)), at] &= c[at] != a
+        some, others = np.flatnonzero(close.any(1)), np.flatnonzero(close.any(0))
+        if not len(some):
+            return none
+        close, a, c = close[np.ix_(some, others)], a[some], c[others]
         # a vector that visits back counts the pair in its own block
-        same = cell == to and part == to_part
-        to_members = np.zeros_like(close) if same else close & (~m["back"].to_numpy(bool)[None, :] if cell != to else True)
+        homes, of = np.unique(q["cell"].to_numpy()[some], return_inverse=True)
+        back = np.stack([np.isin(homes, v) for v in m["visited"].iloc[others]], 1)[of]
         ids = np.unique(np.concatenate([a, c]))
-        whole = np.zeros((len(ids), len(ids)), bool)
-        whole[np.ix_(np.searchsorted(ids, a), np.searchsorted(ids, c))] |= close
-        whole |= whole.T
-        root = ids[_forest(whole)]
+        ia, ic = np.searchsorted(ids, a), np.searchsorted(ids, c)
         count = np.zeros(len(ids), np.int64)
-        np.add.at(count, np.searchsorted(ids, a), close @ tc)
-        np.add.at(count, np.searchsorted(ids, c), to_members.T @ ta)
-        some = whole.any(1)
-        return pd.DataFrame({"a": ids[some], "b": root[some], "n": count[some]})
+        np.add.at(count, ia, (close @ m["times"].to_numpy(float)[others]).astype(np.int64))
+        np.add.at(count, ic, (q["times"].to_numpy(float)[some] @ (close & ~back)).astype(np.int64))
+        return pd.DataFrame({"a": ids, "b": ids[_labels(close, ia, ic, len(ids))], "n": count})
 
     # blocks are small in bytes and long in work, so they aren't merged into few tasks
     tasks = max(2 * spark.sparkContext.defaultParallelism, n * cells // 4096)
-    found = both.repartition(tasks, "cell", "part", "to", "to_part").groupBy("cell", "part", "to", "to_part").applyInPandas(block, "a long, b long, n long")
+    found = both.repartition(tasks, "to", "part", "ask_part").groupBy("to", "part", "ask_part").applyInPandas(block, "a long, b long, n long")
     found = written(found, "links")
     released(table)
     return found
