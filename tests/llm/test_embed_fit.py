@@ -62,3 +62,27 @@ def test_one_tight_group_and_rare_pairs(spark, few_probes):
     assert len(few_probes[0][0]) <= embed_dedup.MEMBERS + 16
     assert sum(got[i] for i in range(501)) >= 0.9 * want[:501].sum()
     assert sum(got[i] for i in range(510, 670)) >= 0.9 * want[510:670].sum()
+
+
+def test_parts_of_cells_and_visitors(spark, monkeypatch):
+    """Cells and their visitors in many parts: each link is counted once at both ends, groups stay whole."""
+    monkeypatch.setattr(embed_dedup, "BLOCK", 7)
+    monkeypatch.setattr(embed_dedup, "ASKERS", 11)
+    g = np.random.default_rng(5)
+    x = g.normal(size=(240, 12))
+    x[:60] = close(g, np.repeat(x[60:61], 60, 0), 0.97)
+    x[100:140] = close(g, x[140:180], 0.92)
+    x[200:203] = x[203]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    root = np.arange(len(x))
+    for _ in x:
+        root = np.where(near, root[None, :], len(x)).min(1)
+    rows = {r["vec_id"]: r for r in embed_dedup.near_vectors(frame(spark, x), recall=1.0).collect()}
+    want = brute(x)
+    got = np.array([rows[i]["n_links"] for i in range(len(x))])
+    assert (got <= want).all()
+    assert got.sum() >= 0.98 * want.sum()
+    assert (got[:61] == want[:61]).mean() >= 0.9
+    assert [rows[i]["n_links"] for i in range(200, 204)] == want[200:204].tolist()
+    assert sum(rows[i]["component_id"] == root[i] for i in range(len(x))) >= 0.98 * len(x)
