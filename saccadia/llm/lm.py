@@ -12,10 +12,11 @@ has its add-one share of the words that have no symbol; words never seen in trai
 one place there, just as in the unigram base, so both models spread over the same outcomes.
 The sum of -log2 of all these probabilities is the text's bits.
 
-Word counts and slot counts cover all training rows; tasks count slots for their own rows and
+Texts are split and words looked up by Arrow's kernels, a few megabytes at a time. Word
+counts and slot counts cover all training rows; tasks count slots for their own rows and
 the counts are added up in chunks. The weights are learned on one row in `PART` by a hash
 of its id, against slots that the other rows alone have filled, by a few Newton steps whose
-sums run over all these rows; then these rows' slots are added. So neither the slots nor the
+sums run over all these rows, kept as their words' places in the head; then these rows' slots are added. So neither the slots nor the
 weights hang on how rows are dealt to tasks. What
 is broadcast is bounded: 2**bits one-byte slots for each context, and `head` words with
 their counts, of which the first `SYMBOLS` have a code. Words outside the head meet their
@@ -25,11 +26,11 @@ counts by an equality join.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 from saccadia.llm.common import fold, released, written
 
 HEAD, SYMBOLS, BITS, CONTEXTS, CHUNK = 1 << 17, 1 << 14, 22, 2, 1 << 15
-#: Decisions handled at once, decisions in an adaptive block, and words counted before a flush.
-BATCH, BLOCK, FLUSH = 400_000, 512, 300_000
+#: Decisions handled at once, decisions in an adaptive block, counted words held before a flush, and bytes of text split at once to count or to look up words.
+BATCH, BLOCK, FLUSH, PIECE, LOOKED_UP = 400_000, 512, 300_000, 1 << 25, 1 << 23
 GATES, SCALE, FLOOR = 64, 12.0, 0.4
 #: One row in so many teaches the weights of the mix; Newton steps, and what damps them; the same for the steps within a text.
 PART, STEPS, DAMP, DAMP_TEXT = 8, 4, 50.0, 200.0
@@ -46,31 +47,60 @@ END_WORD = b" "
 
 
 def text_words(text: str | None) -> list[bytes]:
+    """What `split_texts` gives for one text."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def split_texts(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(first word of each text and the number of all, all lower-cased words as binary)."""
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts.fill_null(""))))
+    words, edges = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    # a text without words is split into one empty word
+    full = pc.greater(pc.binary_length(words), 0)
+    kept = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False))))
+    return kept[edges], words.filter(full).cast(pa.binary())
+
+
+def _pieces(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Slices of about `most` bytes."""
+    sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+    return (texts.slice(a, b - a) for a, b in _ranges(sizes, most))
+
+
+def _ranges(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes add up to hardly more than `most`."""
+    upto, a = np.cumsum(sizes, dtype=np.int64), 0
+    while a < len(sizes):
+        b = min(int(np.searchsorted(upto, (upto[a - 1] if a else 0) + most, "right")) + 1, len(sizes))
+        yield a, b
+        a = b
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word binary, n) over all rows; the word ' ' is the end of a text."""
 
+    def summed(tables: list[pa.Table]) -> pa.Table:
+        if len(tables) == 1:
+            return tables[0]
+        return pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        rows, seen = 0, []
         for b in batches:
-            for t in b.column(0).to_pylist():
-                seen.update(text_words(t))
-            seen[END_WORD] += b.num_rows
-            if len(seen) > FLUSH:
-                yield from _counted(seen)
-                seen = Counter()
-        yield from _counted(seen)
+            rows += b.num_rows
+            for texts in _pieces(b.column(0), PIECE):
+                found = split_texts(texts)[1].value_counts()
+                seen.append(pa.table({"word": found.field(0), "n": found.field(1)}))
+                if sum(map(len, seen)) > FLUSH:
+                    seen = [summed(seen)]
+                    if len(seen[0]) > FLUSH // 2:
+                        yield from seen.pop().to_batches()
+        yield from summed([*seen, pa.table({"word": pa.array([END_WORD], pa.binary()), "n": pa.array([rows], pa.int64())})]).to_batches()
 
     got = docs.select(F.col("text").cast("string")).mapInArrow(run, "word binary, n long")
     return got.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _counted(seen: Counter) -> Iterator[pa.RecordBatch]:
-    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-
-
 def huffman(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, node, bit): the path of symbol s is node/bit[start[s]:start[s + 1]]; nodes from 0."""
     n = len(weights)
@@ -101,7 +131,7 @@ class Coder:
 
     def __init__(self, words: list[bytes], counts: np.ndarray, rare: int, bits: int = BITS):
         """words: the end, then others from frequent to rare; rare: add-one counts of all further ones."""
-        self.index = {w: i for i, w in enumerate(words)}
+        self.words = pa.array(words, pa.binary())
         self.counts, self.bits, self.esc = counts, bits, min(len(words), SYMBOLS)
         self.room = int((counts[self.esc :] + 1).sum()) + rare
         total = np.append(counts[: self.esc] + 1, self.room)
@@ -114,12 +144,33 @@ class Coder:
         depth = np.arange(len(self.node)) - np.repeat(start[:-1], np.diff(start))
         self.deep = (np.digitize(depth, (3, 7, 12)) * 16).astype(np.uint8)
         self.key = self.node * np.uint32(0x9E3779B1)
-        self.first_at, self.size = start[:-1].astype(np.int32), np.diff(start).astype(np.int32)
+        self.first_at, self.size = start[:-1], np.diff(start)
+
+    @property
+    def index(self) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(self.words.to_pylist())}
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """The place of each word among those of the head, -1 for others."""
+        return pc.index_in(words, self.words).fill_null(-1).to_numpy(zero_copy_only=False)
+
+    def text_places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """(place of each token, 0 for an end; first token of each text and the number of all; words, and the first of each text)."""
+        first, words = split_texts(texts)
+        start = first + np.arange(len(first))
+        out = np.zeros(start[-1], np.int32)
+        inner = np.ones(len(out), bool)
+        inner[start[1:] - 1] = False
+        out[inner] = self.places(words)
+        return out, start, words, first
 
     def decisions(self, words: list[bytes]):
         """(bit, place in the code, slots by context, decisions of each word, ids with -1 for others)."""
-        get = self.index.get
-        ids = np.array([get(w, -1) for w in words], np.int64)
+        ids = self.places(pa.array(words, pa.binary()))
+        return (*self.walk(ids), ids)
+
+    def walk(self, ids: np.ndarray):
+        """(bit, place in the code, slots by context, decisions of each token) of tokens by their places."""
         s = np.where((ids < 0) | (ids > self.esc), self.esc, ids)
         w = (ids + 2).astype(np.uint32)
         w1, w2 = (np.concatenate((np.zeros(k, np.uint32), w[:-k]))[: len(w)] for k in (1, 2))
@@ -128,9 +179,9 @@ class Coder:
         w1[w1 == 2] = 0
         c = [w1 * np.uint32(0x9E3779B1), w1 * np.uint32(0x85EBCA77) + w2 * np.uint32(0xC2B2AE3D) + np.uint32(7)]
         n = self.size[s]
-        ends = np.cumsum(n, dtype=np.int32)
+        ends = np.cumsum(n)
         path = np.repeat(self.first_at[s] - (ends - n), n)
-        path += np.arange(len(path), dtype=np.int32)
+        path += np.arange(len(path))
         key, slots = self.key.take(path), []
         for k in c:
             h = np.repeat(k, n)
@@ -139,13 +190,13 @@ class Coder:
             h ^= h >> np.uint32(15)
             h *= np.uint32(0x297A2D39)
             h >>= np.uint32(32 - self.bits)
-            slots.append(h.view(np.int32))
-        return self.bit.take(path), path, slots, n, ids
+            slots.append(h.astype(np.intp))
+        return self.bit.take(path), path, slots, n
 
 
-def _gates(deep, st) -> np.ndarray:
-    """Gate of each decision: the depth of its node, and how sure each hashed context is."""
-    sure = [(np.abs(x) > 0.3).view(np.uint8) + (np.abs(x) > 1.5).view(np.uint8) for x in st]
+def _gates(deep, odds) -> np.ndarray:
+    """Gate of each decision: the depth of its node, and how sure each hashed context is (log odds over 0.3, over 1.5)."""
+    sure = [(x > 0.3 * SCALE).view(np.uint8) + (x > 1.5 * SCALE).view(np.uint8) for x in map(np.abs, odds)]
     return deep + sure[0] + sure[1] * np.uint8(4)
 
 
@@ -153,21 +204,31 @@ def _squash(z):
     return 1 / (1 + np.exp(-z))
 
 
-def _batches(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[tuple[list, list[list[bytes]]]]:
-    """Rows in groups of about `most` words: (indices in the Arrow batch, words with the end)."""
-    for b in batches:
-        at, texts, n = [], [], 0
-        for k, t in enumerate(b.column(column).to_pylist()):
-            ws = text_words(t)
-            ws.append(END_WORD)
-            at.append(k)
-            texts.append(ws)
-            n += len(ws)
-            if n > most:
-                yield (b, at), texts
-                at, texts, n = [], [], 0
-        if at:
-            yield (b, at), texts
+def _from_texts(code: Coder, texts: pa.Array) -> Iterator[np.ndarray]:
+    """Places of tokens, whole texts of about BATCH // 12 tokens at a time."""
+    for piece in _pieces(texts, LOOKED_UP):
+        ids, start, _, _ = code.text_places(piece)
+        for a, b in _ranges(np.diff(start), BATCH // 12):
+            yield ids[start[a] : start[b]]
+
+
+def _from_places(code: Coder, rows: pa.Array) -> Iterator[np.ndarray]:
+    """The same from a row of `text_places` for each text."""
+    sizes = pc.binary_length(rows).to_numpy()
+    for a, b in _ranges(sizes, 4 * (BATCH // 12)):
+        yield np.frombuffer(b"".join(rows.slice(a, b - a).to_pylist()), np.int32)
+
+
+def text_places(docs: DataFrame, coder) -> DataFrame:
+    """(places): the places of each text's tokens, as 32-bit numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for piece in _pieces(b.column(0), LOOKED_UP):
+                ids, start, _, _ = coder.value.text_places(piece)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[a:b].tobytes() for a, b in zip(start, start[1:], strict=False)], pa.binary())], ["places"])
+
+    return written(docs.select(F.col("text").cast("string")).mapInArrow(run, "places binary"), "places")
 
 
 def _initial() -> np.ndarray:
@@ -175,25 +236,26 @@ def _initial() -> np.ndarray:
     return np.repeat(np.array([[0.7, 0.3, 0.3]]), GATES, 0)
 
 
-def slot_counts(docs: DataFrame, coder) -> DataFrame:
-    """(context, at, data): counts of 0 and 1 by slot, chunk by chunk, of each task's rows."""
+def slot_counts(rows: DataFrame, coder, read) -> DataFrame:
+    """(context, at, data): counts of 0 and 1 by slot, chunk by chunk, of each task's rows, which `read` takes from the one column."""
     size = 1 << coder.value.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, pack = coder.value, zstandard.ZstdCompressor(1)
         seen, total = [np.zeros(2 * size, np.int32) for _ in range(CONTEXTS)], 0
-        for _, texts in _batches(batches, 0, BATCH // 12):
-            bit, _, slots, _, _ = code.decisions([x for ws in texts for x in ws])
-            one = np.ones(len(bit), np.int32)
+        for ids in (i for b in batches for i in read(code, b.column(0))):
+            bit, _, slots, _ = code.walk(ids)
             for t, s in zip(seen, slots, strict=True):
-                np.add.at(t, 2 * s + bit, one)
+                s *= 2
+                s += bit
+                np.add.at(t, s, np.int32(1))
             total += len(bit)
         chunks = range(0, size, CHUNK) if total else ()
         rows = [(k, at, pack.compress(t[2 * at : 2 * (at + CHUNK)].tobytes())) for k, t in enumerate(seen) for at in chunks if t[2 * at : 2 * (at + CHUNK)].any()]
         cols = list(zip(*rows, strict=True)) if rows else [()] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["context", "at", "data"])
 
-    return written(docs.select(F.col("text").cast("string")).mapInArrow(run, "context int, at long, data binary"), "slots")
+    return written(rows.mapInArrow(run, "context int, at long, data binary"), "slots")
 
 
 def slot_tables(parts: DataFrame, bits: int) -> list[np.ndarray]:
@@ -232,34 +294,34 @@ def slot_tables(parts: DataFrame, bits: int) -> list[np.ndarray]:
 
 def _stretched(path, slots, code, tables) -> tuple[np.ndarray, list[np.ndarray]]:
     """Gate of each decision, and the log odds that the node alone and each context give."""
-    st = [t.take(s).astype(np.float32) * np.float32(1 / SCALE) for t, s in zip(tables, slots, strict=True)]
-    return _gates(code.deep.take(path), st), [code.plain.take(path), *st]
+    odds = [t.take(s) for t, s in zip(tables, slots, strict=True)]
+    return _gates(code.deep.take(path), odds).astype(np.intp), [code.plain.take(path), *(x * np.float32(1 / SCALE) for x in odds)]
 
 
 _PAIRS = [(a, b) for a in range(CONTEXTS + 1) for b in range(a, CONTEXTS + 1)]
 
 
-def mixing_weights(docs: DataFrame, coder, tables: list[np.ndarray]) -> np.ndarray:
-    """Weights by gate: damped Newton steps on the log loss of all rows, each one aggregation of some hundred sums."""
-    spark, weights, k = docs.sparkSession, _initial(), CONTEXTS + 1
+def mixing_weights(rows: DataFrame, coder, tables: list[np.ndarray]) -> np.ndarray:
+    """Weights by gate: damped Newton steps on the log loss of all rows of `text_places`, each one aggregation of some hundred sums."""
+    spark, weights, k = rows.sparkSession, _initial(), CONTEXTS + 1
     for _ in range(STEPS):
         model = spark.sparkContext.broadcast((tables, weights))
 
         def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             code, (tabs, w) = coder.value, model.value
             sums = np.zeros((k + len(_PAIRS), GATES))
-            for _, texts in _batches(batches, 0, BATCH // 12):
-                bit, path, slots, _, _ = code.decisions([x for ws in texts for x in ws])
+            for ids in (i for b in batches for i in _from_places(code, b.column(0))):
+                bit, path, slots, _ = code.walk(ids)
                 gate, st = _stretched(path, slots, code, tabs)
-                p = _squash(sum(w[gate, m] * x for m, x in enumerate(st)))
+                p = _squash(sum(w[:, m].take(gate) * x for m, x in enumerate(st)))
                 err, var = bit - p, p * (1 - p)
                 for m, x in enumerate(st):
                     sums[m] += np.bincount(gate, err * x, GATES)
-                for m, (a, b) in enumerate(_PAIRS):
-                    sums[k + m] += np.bincount(gate, var * st[a] * st[b], GATES)
+                for m, (x, y) in enumerate(_PAIRS):
+                    sums[k + m] += np.bincount(gate, var * st[x] * st[y], GATES)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size, dtype=np.int32)), pa.array(sums.reshape(-1))], ["cell", "value"])
 
-        got = docs.select(F.col("text").cast("string")).mapInArrow(run, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()
+        got = rows.mapInArrow(run, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()
         model.destroy()
         sums = np.zeros((k + len(_PAIRS)) * GATES)
         for r in got:
@@ -278,12 +340,12 @@ def learn(docs: DataFrame, coder) -> tuple[list[np.ndarray], np.ndarray]:
     """(a slot table of signed bytes for each context, weights by gate) from all rows (doc_id, text)."""
     teaches = F.pmod(F.xxhash64("doc_id"), F.lit(PART)) == PART - 1
     bits = coder.value.bits
-    others, own = docs.filter(~teaches), docs.filter(teaches)
-    parts = slot_counts(others, coder)
+    own = text_places(docs.filter(teaches), coder)
+    parts = slot_counts(docs.filter(~teaches).select(F.col("text").cast("string")), coder, _from_texts)
     weights = mixing_weights(own, coder, slot_tables(parts, bits))
-    more = slot_counts(own, coder)
+    more = slot_counts(own, coder, _from_places)
     tables = slot_tables(parts.unionByName(more), bits)
-    released(parts, more)
+    released(parts, more, own)
     return tables, weights
 
 
@@ -320,7 +382,20 @@ def _bits(bit, path, slots, code, tables, weights, doc_of) -> np.ndarray:
         z = sum(x * np.repeat(1 + move[:, m], size) for m, x in enumerate(st))
     # log2(1 + e^-m) with m towards the bit that came; no chance is ever 0
     np.negative(z, out=z, where=bit > 0)
-    return np.log2(1 + np.exp(z.clip(-16, 16)))
+    cost = np.exp(z.clip(-16, 16, out=z), out=z)
+    cost += 1
+    return np.log(cost, out=cost) * np.float32(1 / np.log(2))
+
+
+def _odd(ids, start, words) -> pa.Array:
+    """For each text its words outside the head, with how often each comes in it."""
+    at = np.flatnonzero(ids < 0)
+    text = np.searchsorted(start, at, "right") - 1
+    found = words.take(pa.array(at - text)).dictionary_encode()
+    kinds = max(1, len(found.dictionary))
+    pairs, times = np.unique(text * kinds + found.indices.to_numpy(), return_counts=True)
+    offsets = np.searchsorted(pairs, np.arange(len(start)) * kinds).astype(np.int32)
+    return pa.MapArray.from_arrays(pa.array(offsets), found.dictionary.take(pa.array(pairs % kinds)), pa.array(times))
 
 
 def score_texts(docs: DataFrame, mod: int = 7, held: int = 2, head: int = HEAD, bits: int = BITS) -> DataFrame:
@@ -359,32 +434,25 @@ def score_texts(docs: DataFrame, mod: int = 7, held: int = 2, head: int = HEAD,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, (tabs, ws) = coder.value, model.value
-        logs = np.log10(code.counts + 1.0)
-
-        def tail(i):
-            """Bits after the escapes of a text, but for the counts of words outside the head."""
-            far = i[i >= code.esc]
-            return ((i < 0).sum() + len(far)) * np.log2(code.room) - logs[far].sum() * np.log2(10.0)
-
-        names = ["doc_id", "n_tokens", "n_known", "base", "bits", "n_bytes", "rare"]
-        for (b, at), texts in _batches(batches, 1, BATCH // 12):
-            flat = [x for t in texts for x in t]
-            bit, path, slots, per_word, words = code.decisions(flat)
-            ends = np.cumsum([len(t) for t in texts])
-            first = np.concatenate(([0], ends[:-1]))
-            upto = np.concatenate(([0], np.cumsum(per_word)))
-            cost = _bits(bit, path, slots, code, tabs, ws, upto[first])
-            total = np.add.reduceat(cost.astype(np.float64), upto[first])
-            ids = np.split(words, ends[:-1])
-            out = []
-            for k, t, i, c in zip(at, texts, ids, total.tolist(), strict=True):
-                good = i[i >= 0]
-                known = int((code.counts[good] > 0).sum())
-                odd = Counter(t[j] for j in np.flatnonzero(i < 0).tolist())
-                out.append((b.column(0)[k].as_py(), len(t), known, float(logs[good].sum()), c + tail(i), sum(map(len, t)) + len(t) - 1, list(odd.items())))
-            kinds = [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.int64(), pa.map_(pa.binary(), pa.int64())]
-            cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+        logs = np.append(np.log10(code.counts + 1.0), 0.0)  # the last is for words outside the head
+        for b in batches:
+            at = 0
+            for piece in _pieces(b.column(1), LOOKED_UP):
+                ids, start, words, first = code.text_places(piece)
+                total = []
+                for x, y in _ranges(np.diff(start), BATCH // 12):
+                    bit, path, slots, per_word = code.walk(ids[start[x] : start[y]])
+                    upto = np.concatenate(([0], np.cumsum(per_word)))[start[x:y] - start[x]]
+                    total.append(np.add.reduceat(_bits(bit, path, slots, code, tabs, ws, upto).astype(np.float64), upto))
+                # after the escapes: the room of all words without a symbol, less the counts of those that the head has
+                gain, far = logs[ids], ids >= code.esc
+                n_far, far_gain, base = (np.add.reduceat(v, start[:-1]) for v in ((far | (ids < 0)).astype(np.int64), np.where(far, gain, 0.0), gain))
+                total = np.concatenate(total) + n_far * np.log2(code.room) - far_gain * np.log2(10.0)
+                known = np.add.reduceat(((ids >= 0) & (code.counts[ids] > 0)).astype(np.int64), start[:-1])
+                n_bytes = np.concatenate(([0], np.cumsum(pc.binary_length(words).to_numpy())))
+                out = [b.column(0).slice(at, len(piece)), np.diff(start), known, base, total, np.diff(n_bytes[first]) + np.diff(start), _odd(ids, start, words)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in out], ["doc_id", "n_tokens", "n_known", "base", "bits", "n_bytes", "rare"])
+                at += len(piece)
 
     raw = slim.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base double, bits double, n_bytes long, rare map<binary,bigint>")
     scored = written(raw.withColumn("row", F.monotonically_increasing_id()), "scored")

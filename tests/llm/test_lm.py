@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +123,52 @@ def test_score_against_brute_force(scored):
 def test_mix_beats_the_base_on_held_out_texts(scored):
     held = [r for r in scored[2][0] if r[4]]
     assert len(held) > 8 and sum(r[2] for r in held) > sum(r[3] for r in held)
+
+
+def test_texts_are_read_four_times(spark):
+    """To count words, to fill slots, to keep the rows that teach the weights, and to score; no Newton step reads them."""
+    seen, rows = spark.sparkContext.accumulator(0), corpus()[:40]
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).mapInArrow(counted, "doc_id long, text string")
+    assert len(lm.score_texts(df, head=HEAD, bits=BITS).collect()) == 40
+    assert 0 < seen.value <= 4 * 40
+
+
+ASCII = "".join(chr(k) + "x" for k in range(128))
+AWKWARD = [None, "", " \n\t ", "a\x1cb \x1d\x1e c\x1f\x85 d\u2003e\xa0f", ASCII, "ÀÉ İ ABC\x0bQ\x0c", " lead", "trail\r\n", "\x00 \x00\x00", "", "last"]
+
+
+@pytest.mark.parametrize("part", [slice(0, 11), slice(3, 8), slice(1, 3), slice(0, 1), slice(10, 11), slice(0, 0)])
+def test_texts_split_at_once_as_one_by_one(part):
+    texts = pa.array(AWKWARD, pa.string())[part]  # a slice begins inside the array's buffers
+    first, words = lm.split_texts(texts)
+    words = words.to_pylist()
+    assert [words[a:b] for a, b in zip(first, first[1:], strict=False)] == [lm.text_words(t) for t in texts.to_pylist()]
+
+
+def test_places_and_odd_words_of_pieces():
+    code = lm.Coder([lm.END_WORD, b"x", b"a", b"lead"], np.array([9, 5, 4, 2]), 7, BITS)
+    index = code.index
+    for most in (1, 20, 1 << 20):
+        got = []
+        for piece in lm._pieces(pa.array(AWKWARD, pa.string()), most):
+            ids, start, words, _ = code.text_places(piece)
+            odd = lm._odd(ids, start, words).to_pylist()
+            got += [(ids[a:b].tolist(), dict(o)) for a, b, o in zip(start, start[1:], odd, strict=False)]
+        want = [[*lm.text_words(t), lm.END_WORD] for t in AWKWARD]
+        assert got == [([index.get(w, -1) for w in ws], dict(Counter(w for w in ws if w not in index))) for ws in want]
+
+
+def test_words_counted_over_flushes(spark, monkeypatch):
+    rows = [t for _, t in corpus() if t] * 2
+    want = Counter(w for t in rows for w in [*lm.text_words(t), lm.END_WORD])
+    df = spark.createDataFrame([(t,) for t in rows], "text string").coalesce(2)
+    for flush, piece in ((lm.FLUSH, lm.PIECE), (100, 500), (0, 1)):
+        monkeypatch.setattr(lm, "FLUSH", flush)
+        monkeypatch.setattr(lm, "PIECE", piece)
+        assert {bytes(r["word"]): r["n"] for r in lm.word_counts(df).collect()} == want
