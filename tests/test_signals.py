@@ -122,6 +122,16 @@ def test_refined_edges_stay_in_their_window(spark):
     assert bl.refine(df, spans(spark, [(10, 12)]).select("recording_id", F.col("start").cast("long"), F.col("end").cast("long")), "v", 5, -20.0, 20.0).count() == 0
 
 
+def test_the_last_blink_counts_where_two_share_their_points(spark):
+    """Both have t2 = 1 and t3 = 10; the later one, from 1 on, has t4 = 19, the other 20."""
+    df = signal(spark, [float(i**3 % 17) for i in range(40)])
+    ends = "recording_id long, onset long, offset long"
+    want = bl.interpolate_cubic(df, spark.createDataFrame([(1, 1, 10)], ends), "v", "w")
+    for rows in ([(1, 0, 10), (1, 1, 10)], [(1, 1, 10), (1, 0, 10)]):
+        both = bl.interpolate_cubic(df, spark.createDataFrame(rows, ends).coalesce(1), "v", "w")
+        assert [r["w"] for r in both.orderBy("i").collect()] == [r["w"] for r in want.orderBy("i").collect()]
+
+
 @pytest.mark.parametrize(("method", "want"), [("linear", [2, 4, 6]), ("cubic", [2, 4, 6]), ("nearest", [0, 0, 8]), ("previous", [0, 0, 0]), ("next", [8, 8, 8])])
 def test_interpolated_intervals(spark, method, want):
     df = signal(spark, [0, None, None, None, 8, None])
