@@ -101,6 +101,8 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
 
     fps: distinct `fp`. In buckets that aren't dense every close pair is a link; in
     dense ones links to the bucket's smallest member stand for those inside a component.
+    Keys meet in sort-merge joins: Spark takes an exploded table for as small as what it
+    came from, and would broadcast all variants of a few hundred thousand fingerprints.
     """
     if radius > 4:
         raise ValueError("three segments with one free bit reach 4 differing bits")
@@ -110,13 +112,13 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
         v.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("pivot")).filter(F.col("n") > DENSE).select("key", "pivot"),
         "dense",
     )
-    thin = v.join(dense.select("key"), "key", "left_anti")
+    thin = v.join(dense.select("key").hint("merge"), "key", "left_anti")
     x, y = thin.alias("x"), thin.alias("y")
     met = (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp"))
-    pairs = x.join(y, met & _close(F.col("x.fp"), F.col("y.fp"), radius)).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
+    pairs = x.join(y.hint("merge"), met & _close(F.col("x.fp"), F.col("y.fp"), radius)).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
     if dense.isEmpty():
         return pairs
-    inside = written(v.join(dense, "key"), "dense-members")
+    inside = written(v.join(dense.hint("merge"), "key"), "dense-members")
     stars = written(
         inside.filter((F.col("fp") != F.col("pivot")) & _close(F.col("fp"), F.col("pivot"), radius)).select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct(),
         "stars",
@@ -128,10 +130,10 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
         F.explode(F.array(*[F.xxhash64("key", F.lit(k), F.shiftrightunsigned("fp", 13 * k).bitwiseAND((1 << 13) - 1)) for k in range(5)])).alias("fine"), "fp", "root"
     )
     mixed = finer.groupBy("fine").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("fine")
-    left = finer.join(mixed, "fine", "left_semi")
+    left = finer.join(mixed.hint("merge"), "fine", "left_semi")
     x, y = left.alias("x"), left.alias("y")
     met = (F.col("x.fine") == F.col("y.fine")) & (F.col("x.root") < F.col("y.root"))
-    across = x.join(y, met & _close(F.col("x.fp"), F.col("y.fp"), radius)).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
+    across = x.join(y.hint("merge"), met & _close(F.col("x.fp"), F.col("y.fp"), radius)).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
     return pairs.unionByName(stars).unionByName(across)
 
 

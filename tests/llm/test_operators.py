@@ -78,6 +78,18 @@ def test_simhash_links_in_dense_buckets(spark, monkeypatch):
     assert all((a ^ b).bit_count() <= 4 for a, b in found)
 
 
+@pytest.mark.parametrize("dense", [48, 5])
+def test_simhash_broadcasts_no_exploded_table(spark, monkeypatch, dense):
+    """Tables far below the size that Spark broadcasts: what is made 64 or 5 times as long of them is merged all the same."""
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    fps = spark.createDataFrame([(1 << k,) for k in range(40)] + [(k * 0x9E3779B97F4A7C1,) for k in range(2, 8)], "fp long")
+    links = simhash.links(fps)
+    assert links.count() >= 39
+    links.collect()
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"(\w+Join) \[(?:key|fine)#", plan) and not re.findall(r"Broadcast\w*Join \[(?:key|fine)#", plan)
+
+
 def test_packing(spark, docs):
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
     from tokenizers import Tokenizer
