@@ -54,16 +54,14 @@ def masked(df: DataFrame, store: DataFrame, kind: str = BLINKS) -> DataFrame:
 def looked_up(df: DataFrame, wanted: DataFrame, strict: bool = True) -> DataFrame:
     """Samples in long form (recording_id, i, eye, variable, value, masked) of the wanted (eye, variable) rows.
 
-    A wanted signal that df lacks is an error when the result is read, or left out.
+    A wanted signal that df lacks is an error when the result is read, or left out. The samples are read
+    once and stay where they are: the wanted rows, a few, go to them.
     """
-    long = None
-    for s in columns.matching(df):
-        eye, _, variable = s.partition("_")
-        one = df.select("recording_id", "i", F.lit(eye).alias("eye"), F.lit(variable).alias("variable"), F.col(s).alias("value"), F.col(mask_of(s)).alias("masked"))
-        long = one if long is None else long.unionByName(one)
-    if not strict:
-        return long.join(wanted, ["eye", "variable"]).select("recording_id", "i", "eye", "variable", "value", "masked")
-    out = wanted.join(long, ["eye", "variable"], "left")
-    name = F.concat_ws("_", "eye", "variable")
-    there = F.when(F.col("recording_id").isNull(), F.raise_error(F.concat(F.lit("no signal "), name)).cast("boolean")).otherwise(F.lit(True))
-    return out.filter(there).select("recording_id", "i", "eye", "variable", "value", "masked")
+    names = columns.matching(df)
+    there = F.concat_ws("_", "eye", "variable").isin(names) & F.col("eye").isNotNull() & F.col("variable").isNotNull()
+    if strict:
+        there = F.when(there, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no signal "), F.concat_ws("_", "eye", "variable"))).cast("boolean"))
+    each = [F.struct(F.lit(s).alias("name"), F.col(s).alias("value"), F.col(mask_of(s)).alias("masked")) for s in names]
+    long = df.select("recording_id", "i", F.explode(F.array(*each)).alias("s"))
+    known = wanted.select("eye", "variable").filter(there).withColumn("name", F.concat_ws("_", "eye", "variable"))
+    return long.join(F.broadcast(known), F.col("s.name") == F.col("name")).select("recording_id", "i", "eye", "variable", "s.value", "s.masked")

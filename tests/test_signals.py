@@ -276,6 +276,18 @@ def test_signals_as_columns(spark):
         st.looked_up(df, wanted).collect()
 
 
+def test_signals_are_looked_up_where_they_are(spark):
+    """No sample moves to one of a few tasks, one for each wanted signal; a signal wanted twice comes twice."""
+    rows = [(1, i, i * 1.0, float(i), i == 1, -float(i), False) for i in range(3)]
+    df = spark.createDataFrame(rows, "recording_id long, i long, t_ms double, left_x double, left_x__m boolean, right_pupil double, right_pupil__m boolean")
+    found = st.looked_up(df, spark.createDataFrame([("right", "pupil"), ("left", "x"), ("left", "x")], "eye string, variable string"))
+    assert sorted(tuple(r) for r in found.collect()) == sorted([(1, i, "left", "x", float(i), i == 1) for i in range(3)] * 2 + [(1, i, "right", "pupil", -float(i), False) for i in range(3)])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    with pytest.raises(Exception, match="no signal"):
+        st.looked_up(df, spark.createDataFrame([("left", "x"), (None, "left_x")], "eye string, variable string")).collect()
+
+
 def test_statistic_by_function_and_epochs(spark):
     s = signal(spark, [1, 2, None, 4, 5, 6])
     one = spark.createDataFrame([(1, 7, 11.0, 39.0), (1, 8, 21.0, 22.0)], "recording_id long, event_id long, start double, end double")
