@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,10 +15,33 @@ from saccadia.functions.geometry import Setup, cos_alpha
 from saccadia.operators.samples import mask_of
 
 
+#: Rows that a task hands on at once.
+ROWS = 1 << 17
+
+
 def _per(spark: SparkSession, n: int | DataFrame, fn, schema: str) -> DataFrame:
-    """fn of each recording_id from 0 to n - 1, or of those (whole numbers) that a DataFrame has."""
-    ids = n.select(F.col("recording_id").cast("long").alias("recording_id")).distinct() if isinstance(n, DataFrame) else spark.range(n).withColumnRenamed("id", "recording_id")
-    return ids.groupBy("recording_id").applyInPandas(lambda p: fn(int(p["recording_id"].iloc[0])), schema)
+    """fn of each recording_id from 0 to n - 1, or of those (whole numbers) that a DataFrame has.
+
+    A few ids make many rows, so they are dealt out, by no key: by the key of the distinct ids Spark would merge parts again.
+    """
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    if isinstance(n, DataFrame):
+        ids = n.select(F.col("recording_id").cast("long").alias("recording_id")).distinct().repartition(parts)
+    else:
+        ids = spark.range(0, n, 1, max(1, min(n, parts))).withColumnRenamed("id", "recording_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made = []
+        for b in batches:
+            for rec in b["recording_id"]:
+                made.append(fn(int(rec)))
+                if sum(map(len, made)) >= ROWS:
+                    yield pd.concat(made)
+                    made = []
+        if made:
+            yield pd.concat(made)
+
+    return ids.mapInPandas(run, schema)
 
 
 def pupil_baseline(spark: SparkSession, n: int = 4, seconds: float = 20, fs: float = 100, mean: float = 750, amplitude: float = 100, freq: float = 0.5, seed: int = 1) -> DataFrame:

@@ -344,6 +344,21 @@ def test_simulations_run_again(spark):
     assert steps.count() == 1000 and steps.select("recording_id", "x").distinct().count() > 10
 
 
+def test_simulated_recordings_are_dealt_out(spark):
+    """Many rows come of a few ids: these don't end up in one task; filters and kernels are worked out once."""
+    ids = spark.range(40).withColumnRenamed("id", "recording_id")
+    K.kernel_duration.cache_clear()
+    made = gen.trials(spark, ids.unionByName(ids), ntrials=2, fs=20)
+    at = made.groupBy(F.spark_partition_id().alias("part")).agg(F.countDistinct("recording_id").alias("n")).collect()
+    assert len(at) == 4 and sum(r["n"] for r in at) == 40
+    one = [tuple(r) for r in gen.trials(spark, 8, ntrials=2, fs=20).filter("recording_id = 7").orderBy("i").collect()]
+    assert one == [tuple(r) for r in made.filter("recording_id = 7").orderBy("i").collect()]
+    for _ in range(3):
+        K.kernel_duration(10.1, 930.0)
+        K.lowpass(np.arange(9.0), 0.2, 50.0)
+    assert K.kernel_duration.cache_info().misses == 1
+
+
 def test_setup_changes_keep_the_distance():
     s = geo.Setup.of(1920, 1080, 520, 290, "70 cm", offset=(30, 40))
     assert s.update(width=1000).d == s.d and s.update(dx=0, dy=0).d == pytest.approx(700)
