@@ -106,8 +106,8 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """
     if radius > 4:
         raise ValueError("three segments with one free bit reach 4 differing bits")
-    # few narrow rows become 64 times as many: spread them first, by a number that isn't merged again
-    v = _variants(fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"))
+    # few narrow rows become 64 times as many: spread them first, by no key, as parts by the key that fps is grouped by are merged again
+    v = _variants(fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     dense = written(
         v.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("pivot")).filter(F.col("n") > DENSE).select("key", "pivot"),
         "dense",
