@@ -209,6 +209,45 @@ def test_fits_recover_their_settings(spark):
     assert md.foreshortening(rows.withColumn("x", F.lit(None).cast("double")), setup.r, setup.d).count() == 0
 
 
+def test_camera_grid_is_solved_at_once():
+    """All points of a grid from sums over the samples, as each by itself; many systems as one by one."""
+    g = np.random.default_rng(2)
+    half = g.normal(size=(7, 9, 9)) + 4 * np.eye(9)
+    full = half @ half.transpose(0, 2, 1)
+    band = np.stack([np.pad(np.diagonal(full, k, 1, 2), ((0, 0), (0, k))) for k in range(4)], 1)
+    band[:, 0] += 40
+    rhs = g.normal(size=(7, 9))
+    assert K.banded_solve_many(band, rhs) == pytest.approx(np.stack([K.banded_solve(b, r) for b, r in zip(band, rhs, strict=True)]))
+    f = lambda u, v: (u - 0.3) ** 2 + (v + 1) ** 2 + u * v
+    assert K.shrinking_grid(lambda p: f(p[:, 0], p[:, 1]), (-2, -2), (2, 2), (5, 7), at_once=True).tolist() == K.shrinking_grid(f, (-2, -2), (2, 2), (5, 7)).tolist()
+
+
+def test_groups_go_on_over_batches(spark):
+    """Groups shorter and longer than a batch, a null key among them, each whole and in order."""
+    sizes = {None: 4, 1: 1, 2: 9, 3: 2, 4: 3, 5: 7}
+    rows = [(k, i) for k, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows[::-1], "recording_id long, i long")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        out = md.many_groups(df, ["recording_id"], md.each_group(lambda p: {"n": np.array([len(p["i"])]), "all": [p["i"].astype(float)]}), "n long, all array<double>").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert {r["recording_id"]: r["n"] for r in out} == sizes and len(out) == 6
+    assert all(r["all"] == list(range(r["n"])) for r in out)
+
+
+def test_camera_rows_are_worked_out_once(spark, tmp_path):
+    from saccadia.plans import catalog
+
+    rows = [(k % 2, k, 0, 1, float(5 + k % 40), float(2000 + k * 7 % 70000), 0.01, 0.02) for k in range(300)]
+    df = spark.createDataFrame(rows, "l_suppkey long, l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double")
+    df.withColumn("l_shipdate", F.timestamp_seconds("l_orderkey")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = catalog.foreshortening_residuals(spark, str(tmp_path))
+    assert found.count() == 2
+    assert "lineitem" not in found._jdf.queryExecution().optimizedPlan().toString() + str(found.inputFiles())
+
+
 def test_responses_and_baselines(spark):
     made = gen.pupil_responses(spark, 1, npar=(8.0, 0.0), tmax=(800.0, 0.0), weight=(1.0, 0.3)).cache()
     fit = md.response(made, "pupil", None, None, baseline="baseline")
