@@ -248,6 +248,15 @@ def test_camera_rows_are_worked_out_once(spark, tmp_path):
     assert "lineitem" not in found._jdf.queryExecution().optimizedPlan().toString() + str(found.inputFiles())
 
 
+def test_short_splines_are_solved_whole(monkeypatch):
+    z = np.random.default_rng(4).normal(size=90)
+    z[7] = np.nan
+    knots = np.concatenate([[0.0] * 3, np.linspace(0, 89, 12), [89.0] * 3])
+    whole = md._spline_below(z, knots, np.ones(90), 0.05)
+    monkeypatch.setattr(md, "FEW", 0)
+    assert whole == pytest.approx(md._spline_below(z, knots, np.ones(90), 0.05), abs=1e-6)
+
+
 def test_responses_and_baselines(spark):
     made = gen.pupil_responses(spark, 1, npar=(8.0, 0.0), tmax=(800.0, 0.0), weight=(1.0, 0.3)).cache()
     fit = md.response(made, "pupil", None, None, baseline="baseline")
