@@ -70,3 +70,25 @@ def test_baseline_equals_the_plain_solve(spark, waves):
     assert want.keys() == got.keys()
     for k, v in want.items():
         assert (v is None) == (got[k] is None) and (v is None or got[k] == pytest.approx(v, abs=1e-5))
+
+
+def test_systems_of_several_sizes_are_solved_together(spark):
+    """Recordings with other numbers of cells, some of them empty, against one system at a time."""
+    rows = [(r, i, float(np.sin(i / (3 + r)) + r)) for r, n in ((1, 30), (2, 55), (3, 30), (4, 9)) for i in range(n)]
+    df = spark.createDataFrame(rows, "recording_id long, i long, v double")
+    knots = splines.evenly(df, "i", 100.0)
+    sums = splines.normal_sums(splines.placed(df, knots, "i"), F.col("v"), F.lit(1.0))
+    n = {r["recording_id"]: r["inner"] + splines.DEGREE + 1 for r in knots.collect()}
+    got = {(r["recording_id"], r["basis"]): r["a"] for r in splines.solved(sums, knots, 0.01, 0.1).collect()}
+    assert len(got) == sum(n.values()) and len(set(n.values())) > 1
+    cells = sums.collect()
+    for rec, size in n.items():
+        full, right = 0.01 * np.eye(size) + 0.1 * np.diff(np.eye(size), axis=0).T @ np.diff(np.eye(size), axis=0), np.zeros(size)
+        for c in (c for c in cells if c["recording_id"] == rec):
+            for a in range(4):
+                right[c["cell"] + a] += c[f"r_{a}"]
+                for b in range(a, 4):
+                    full[c["cell"] + a, c["cell"] + b] += c[f"m_{a}{b}"]
+                    if b > a:
+                        full[c["cell"] + b, c["cell"] + a] += c[f"m_{a}{b}"]
+        assert [got[rec, k] for k in range(size)] == pytest.approx(np.linalg.solve(full, right).tolist())
